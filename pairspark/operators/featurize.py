@@ -78,8 +78,13 @@ class FeatureCache:
     Failed and oversize entries are left out and reported.
     """
 
-    def __init__(self, spark: SparkSession, path: str, value_type: str, max_bytes: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, value_type: str, max_bytes: int | None = None,
+                 shard_digits: int = 1):
         self.spark, self.path, self.value_type, self.max_bytes = spark, path, value_type, max_bytes
+        self.shard_digits = shard_digits
+
+    def _shard(self) -> Column:
+        return F.substring("sha", 1, self.shard_digits)
 
     def _schema(self) -> str:
         return f"sha string, value {self.value_type}, shard string"
@@ -96,7 +101,7 @@ class FeatureCache:
     def split(self, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """Distinct keys found and not found in the cache."""
         wanted = keys.select(key).distinct().withColumn("sha", sha_key(F.col(key)))
-        wanted = wanted.withColumn("shard", F.substring("sha", 1, 2))
+        wanted = wanted.withColumn("shard", self._shard())
         stored = self.table().select("shard", "sha")
         return wanted.join(stored, ["shard", "sha"], "left_semi"), wanted.join(stored, ["shard", "sha"], "left_anti")
 
@@ -105,7 +110,7 @@ class FeatureCache:
         rows = computed
         if self.max_bytes is not None:
             rows = rows.where(self._bytes() <= self.max_bytes)
-        rows = rows.withColumn("sha", sha_key(F.col(key))).withColumn("shard", F.substring("sha", 1, 2))
+        rows = rows.withColumn("sha", sha_key(F.col(key))).withColumn("shard", self._shard())
         # One file per shard and task of the shuffle, not one per shard and input task.
         spread = rows.select("sha", "value", "shard").repartition("shard", F.pmod(F.xxhash64("sha"), F.lit(4)))
         spread.write.mode("append").partitionBy("shard").parquet(self.path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import os
 import tarfile
 from collections.abc import Iterator
@@ -134,7 +135,12 @@ def _member_ligands(archive: tarfile.TarFile, member: tarfile.TarInfo) -> Iterat
 
 
 def read_smiles_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Ligands of ``.tar.gz`` archives, one task per archive, streamed in batches."""
+    """Ligands of ``.tar.gz`` archives; many archives are read side by side."""
+    return archive_ligands(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def archive_ligands(archives: DataFrame) -> DataFrame:
+    """Distinct ligands of archives given as ``path, content``, streamed in batches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"]):
@@ -142,18 +148,11 @@ def read_smiles_archives(spark: SparkSession, path: str) -> DataFrame:
                     member = _choose_member(archive)
                     if member is None:
                         raise ValueError(f"archive without a usable file: {name}")
-                    batch, row = [], 0
-                    for smiles in _member_ligands(archive, member):
-                        batch.append((name, row, smiles))
-                        row += 1
-                        if len(batch) == 10_000:
-                            yield pd.DataFrame(batch, columns=["file", "row", "smiles"])
-                            batch = []
-                    if batch:
+                    numbered = enumerate(_member_ligands(archive, member))
+                    while batch := [(name, row, smiles) for row, smiles in itertools.islice(numbered, 10_000)]:
                         yield pd.DataFrame(batch, columns=["file", "row", "smiles"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "file string, row long, smiles string")
+    rows = archives.mapInPandas(run, "file string, row long, smiles string")
     return _distinct_ligands(rows.select("smiles", F.struct("file", F.lit(0).cast("long").alias("block"), "row").alias("ord")))
 
 

@@ -48,7 +48,12 @@ def read_ligand_files(spark: SparkSession, path: str | list[str]) -> tuple[DataF
     The format follows the suffix; an unknown one raises. Of an SDF the first molecule
     counts; PDBQT lines are cut after column 66.
     """
-    texts = _texts(spark, path).withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    return parse_ligands(_texts(spark, path))
+
+
+def parse_ligands(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Atom and bond tables of whole files given as ``path, value``."""
+    texts = texts.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     message = F.concat(F.lit("unknown structure suffix: "), "path")
     texts = texts.withColumn("suffix", F.when(F.col("suffix").isin(LIGAND_SUFFIXES), F.col("suffix")).otherwise(
         F.raise_error(message).cast("string")))
@@ -102,11 +107,11 @@ def _kind(code: Column) -> Column:
 
 def _mol2(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Only the first molecule of a file counts.
-    first = F.element_at(F.split("value", "@<TRIPOS>MOLECULE"), 2)
+    first = F.get(F.split("value", "@<TRIPOS>MOLECULE"), F.lit(1))
     held = texts.select("path", first.alias("value"))
 
     def section(name: str) -> DataFrame:
-        after = F.element_at(F.split("value", f"@<TRIPOS>{name}\n"), 2)
+        after = F.get(F.split("value", f"@<TRIPOS>{name}\n"), F.lit(1))
         lines = F.split(F.substring_index(after, "@<TRIPOS>", 1), "\n")
         rows = held.where(F.col("value").contains(f"@<TRIPOS>{name}\n"))
         rows = rows.select("path", F.explode(lines).alias("line")).where("trim(line) <> ''")
