@@ -46,17 +46,21 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it inside a per-element lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(xs: Column) -> Column:
     """Max-shifted softmax of an array."""
-    shifted = F.transform(xs, lambda x: F.exp(x.cast("double") - F.array_max(xs).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda e: e / total)
+    shifted = let(F.array_max(xs).cast("double"), lambda top: F.transform(xs, lambda x: F.exp(x.cast("double") - top)))
+    return let(shifted, lambda es: let(
+        F.aggregate(es, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(es, lambda e: e / total)))
 
 
 def log_sum_exp(xs: Column) -> Column:
-    top = F.array_max(xs).cast("double")
-    total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return top + F.log(total)
+    return let(F.array_max(xs).cast("double"), lambda top: top + F.log(
+        F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))))
 
 
 def argmax(xs: Column) -> Column:
@@ -81,8 +85,12 @@ def row_norm(xs: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(var + eps) along one vector, population variance."""
     n = F.size(xs)
     mean = F.aggregate(xs, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    var = F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - mean, F.lit(2.0))) / n
-    return F.transform(xs, lambda x: (x.cast("double") - mean) / F.sqrt(var + F.lit(eps)))
+
+    def scale(m: Column) -> Column:
+        var = F.aggregate(xs, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m)) / n
+        return let(F.sqrt(var + F.lit(eps)), lambda d: F.transform(xs, lambda x: (x.cast("double") - m) / d))
+
+    return let(mean, scale)
 
 
 def rbf(distance: Column, low: float = 0.0, high: float = 20.0, n: int = 16) -> Column:

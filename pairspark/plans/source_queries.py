@@ -230,7 +230,7 @@ def read_ligand_files(spark, folder):
         # The text writer names files .txt; the folder carries the molecule, the reader takes the suffix apart.
         rows = base.where(F.col("m") % 3 == turn).select(F.col("m").alias("molecule"), text.alias("value"))
         rows.write.partitionBy("molecule").text(f"{path}/{suffix}")
-        texts = spark.read.option("wholetext", True).text(f"{path}/{suffix}/molecule=*").select(
+        texts = spark.read.text(f"{path}/{suffix}/molecule=*", wholetext=True).select(
             F.col("_metadata.file_path").alias("path"), "value")
         texts = texts.withColumn("path", F.concat(F.regexp_extract("path", r"(molecule=\d+)", 1), F.lit(f".{suffix}")))
         a, b = structures.parse_ligands(texts)

@@ -183,5 +183,5 @@ def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     """``id, value`` of JSON objects mapping ids to numbers."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,double>")).alias("id", "value"))

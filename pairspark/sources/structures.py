@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r", "").alias("value"))
 
 
