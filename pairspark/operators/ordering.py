@@ -19,8 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 MAX_BUCKETS = 1024
-HOT_GROUPS = 1024  # a group is hot above 1/HOT_GROUPS of the rows, so there are at most that many
+HOT_GROUPS = 1024  # a hot group holds over 1/HOT_GROUPS of the rows, so there are at most that many
+HOT_ROWS = 1_000_000  # and never fewer rows than one task sorts with ease
 _STEP = 32
 
 
@@ -54,16 +57,20 @@ def value_buckets(
     out: str,
     by: Sequence[str] = (),
     buckets: int | None = None,
-    splittable: Column | None = None,
 ) -> DataFrame:
     """Add an order-preserving bucket number for a numeric column (non-null).
 
     With ``by`` only the hot groups are cut; every other group is small enough to stay
-    one bucket (number 1). ``splittable`` limits the groups that may be cut at all.
-    Even bucket numbers hold a single value each.
+    one bucket (number 1). Even bucket numbers hold a single value each.
     """
+    cut = _cut(df, value, out, list(by), buckets)
+    return df.withColumn(out, F.lit(1)) if cut is None else cut
+
+
+def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None,
+         splittable: Column | None = None) -> DataFrame | None:
+    """``df`` with buckets, or None when no group is hot. ``splittable`` limits the groups looked at."""
     n = bucket_count(df, buckets)
-    by = list(by)
     if not by:
         cuts = df.select(_cut_points(F.col(value).cast("double"), n).alias("cuts")).scalar()
         held = df.withColumn("__cuts", cuts)
@@ -71,13 +78,17 @@ def value_buckets(
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("t")).scalar()
-    # At most HOT_GROUPS rows pass the filter, so the broadcast is bounded.
-    hot = counts.where(F.col("__n") * F.lit(HOT_GROUPS) > total).select(*by)
+    heavy = (F.col("__n") * F.lit(HOT_GROUPS) > total) & (F.col("__n") > F.lit(HOT_ROWS))
+    # At most HOT_GROUPS rows pass the filter, so the table and its broadcast are bounded.
+    hot = checkpointed(df.sparkSession, counts.where(heavy).select(*by))
+    if hot.isEmpty():
+        return None
     hot_cuts = (
-        null_safe_join(df.select(*by, value), F.broadcast(hot), by, "left_semi")
+        null_safe_join(candidates.select(*by, value), F.broadcast(hot), by, "left_semi")
         .groupBy(*by)
         .agg(_cut_points(F.col(value).cast("double"), n).alias("__cuts"))
     )
+    hot_cuts = checkpointed(df.sparkSession, hot_cuts)
     joined = null_safe_join(df, F.broadcast(hot_cuts), by, "left")
     bucket = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(
         _place(F.col("__cuts"), F.col(value).cast("double"))
@@ -113,16 +124,21 @@ def running_totals(
     by, order = list(by), list(order)
     bucketed, places = df, []
     for i, column in enumerate(order):
-        place = f"__b{i}"
         tied = F.col(places[-1]) % 2 == 0 if places else None
-        bucketed = value_buckets(bucketed, column, place, by + places, buckets, tied)
-        places.append(place)
+        cut = _cut(bucketed, column, f"__b{i}", by + places, buckets, tied)
+        if cut is None:
+            break
+        bucketed = cut
+        places.append(f"__b{i}")
     return _running(bucketed, [F.col(c) for c in order], totals, by, places)
 
 
 def _running(bucketed: DataFrame, order: list[Column], totals: dict[str, Column],
              by: list[str], places: list[str]) -> DataFrame:
     inner = Window.partitionBy(*by, *places).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = {name: F.coalesce(F.sum(expr).over(inner), F.lit(0)) for name, expr in totals.items()}
+    if not places:
+        return bucketed.withColumns(local)
     per_bucket = bucketed.groupBy(*by, *places).agg(
         *[F.sum(expr).alias(f"__s_{name}") for name, expr in totals.items()]
     )
@@ -136,11 +152,9 @@ def _running(bucketed: DataFrame, order: list[Column], totals: dict[str, Column]
     )
     # Only hot groups have offsets other than zero, so this side is bounded as well.
     offsets = offsets.where(" OR ".join(f"__o_{name} <> 0" for name in totals))
-    result = null_safe_join(bucketed, offsets, by + places, "left")
-    for name, expr in totals.items():
-        local = F.coalesce(F.sum(expr).over(inner), F.lit(0))
-        result = result.withColumn(name, local + F.coalesce(F.col(f"__o_{name}"), F.lit(0)))
-    return result.drop(*places, *[f"__o_{name}" for name in totals])
+    result = null_safe_join(bucketed, F.broadcast(offsets), by + places, "left")
+    shifted = {name: total + F.coalesce(F.col(f"__o_{name}"), F.lit(0)) for name, total in local.items()}
+    return result.withColumns(shifted).drop(*places, *[f"__o_{name}" for name in totals])
 
 
 def global_row_number(

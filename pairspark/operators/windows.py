@@ -112,7 +112,8 @@ def residue_table(scores: DataFrame, clusters: dict[str, int] | None = None) ->
     ``Layer{l}_Cluster{c}``.
     """
     scaled = minmax_per_group(scores, ["pair_id"], "raw", "residue_score")
-    ranked = percentile_rank(scaled, ["pair_id"], "residue_score", "pos", "residue_percentile")
+    # Scaling keeps the order, so the rank can be taken from the raw value.
+    ranked = percentile_rank(scaled, ["pair_id"], "raw", "pos", "residue_percentile")
     wide = [
         F.get(F.col(column), F.lit(c)).alias(f"Layer{layer}_Cluster{c}")
         for layer, (column, width) in enumerate((clusters or {}).items())

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import scalar_queries, source_queries  # noqa: F401
+from . import scalar_queries, screening_queries, source_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
