@@ -117,11 +117,12 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     sharing a y-bucket are counted inside that bucket in O(n log n). A frequent value has
     a bucket of its own where every pair is a tie, so no bucket grows with the hot value.
     """
-    by = list(by)
+    wanted = list(by)
+    df = df.withColumn("__all", F.lit(0))
+    by = ["__all", *wanted]
     cells = df.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("w"))
     cells = value_buckets(cells, "y", "by_", by, buckets)
     cells = value_buckets(cells, "p", "bp_", by, buckets)
-    keys = [F.col(c) for c in by]
     out = "below double, tied double"
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in by] + [out])
 
@@ -141,27 +142,22 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     grid = cells.groupBy(*by, "bp_", "by_").agg(F.sum(F.col("w").cast("double")).alias("w"))
     lower = Window.partitionBy(*by, "bp_").orderBy("by_").rowsBetween(Window.unboundedPreceding, -1)
     tied = grid.where("bp_ % 2 = 0").select(
-        *keys, F.lit(0.0).alias("below"), (F.col("w") * F.coalesce(F.sum("w").over(lower), F.lit(0.0))).alias("tied"))
-    a = grid.select(*by, F.col("bp_").alias("ap"), F.col("by_").alias("ay"), F.col("w").alias("aw"))
+        *by, F.lit(0.0).alias("below"), (F.col("w") * F.coalesce(F.sum("w").over(lower), F.lit(0.0))).alias("tied"))
     # Running weight along y inside each p-bucket, then summed over all lower p-buckets.
-    upto = grid.select(*by, "by_").distinct()
-    columns = null_safe_join(upto, _axis(grid, by), by, "inner") if by else upto.join(_axis(grid, by), F.lit(True))
-    dense = null_safe_join(columns, grid, [*by, "bp_", "by_"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    top = F.max("bp_").over(Window.partitionBy(*by))
+    lattice = grid.select(*by, "by_", top.alias("top")).distinct().select(
+        *by, "by_", F.explode(F.sequence(F.lit(1), "top")).alias("bp_"))
+    dense = null_safe_join(lattice, grid, [*by, "bp_", "by_"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     dense = dense.withColumn("col", F.coalesce(F.sum("w").over(lower), F.lit(0.0)))
     left = Window.partitionBy(*by, "by_").orderBy("bp_").rowsBetween(Window.unboundedPreceding, -1)
     dense = dense.withColumn("quadrant", F.coalesce(F.sum("col").over(left), F.lit(0.0)))
-    cross = dense.where("w > 0").select(*keys, (F.col("w") * F.col("quadrant")).alias("below"), F.lit(0.0).alias("tied"))
+    cross = dense.where("w > 0").select(*by, (F.col("w") * F.col("quadrant")).alias("below"), F.lit(0.0).alias("tied"))
     counted = same_y.unionByName(same_p).unionByName(tied).unionByName(cross)
     counted = counted.groupBy(*by).agg(F.sum("below").alias("below"), F.sum("tied").alias("tied"))
     sizes = df.groupBy(*by, "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
     sizes = sizes.groupBy(*by).agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("comparable"))
-    joined = null_safe_join(sizes, counted, by, "left") if by else sizes.join(counted, F.lit(True))
     value = F.when(F.col("comparable") > 0, (F.col("below") + F.col("tied") / 2) / F.col("comparable"))
-    return joined.select(*by, value.alias("ci"))
-
-
-def _axis(grid: DataFrame, by: list[str]) -> DataFrame:
-    return grid.select(*by, "bp_").distinct()
+    return null_safe_join(sizes, counted, by, "left").select(*wanted, value.alias("ci"))
 
 
 # --- binary ----------------------------------------------------------------------------

@@ -176,8 +176,8 @@ def hash_running_totals(
     prefix: int = 3,
 ) -> DataFrame:
     """Exclusive running sums along a unique hex hash column; buckets are its prefixes."""
-    bucketed = df.withColumn("__h", F.substring(hashed, 1, prefix))
-    return _running(bucketed, [F.col(hashed)], totals, [], ["__h"])
+    bucketed = df.withColumn("__hash_prefix", F.substring(hashed, 1, prefix))
+    return _running(bucketed, [F.col(hashed)], totals, [], ["__hash_prefix"])
 
 
 def average_ranks(df: DataFrame, value: str, out: str, weight: str | None = None,
@@ -198,15 +198,15 @@ def smallest_hash_cut(df: DataFrame, hashed: str, n: Column, prefix: int = 3) ->
     bucket holding the cut, and only that bucket is ordered. ``n`` <= 0 gives an empty
     string, below every hash.
     """
-    counts = df.groupBy(F.substring(hashed, 1, prefix).alias("__h")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.groupBy(F.substring(hashed, 1, prefix).alias("__hash_prefix")).agg(F.count(F.lit(1)).alias("__c"))
     before = F.sum("__c").over(
-        Window.partitionBy(F.lit(0)).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.select("__h", "__c", F.coalesce(before, F.lit(0)).alias("__before"), n.alias("__n"))
+        Window.partitionBy(F.lit(0)).orderBy("__hash_prefix").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select("__hash_prefix", "__c", F.coalesce(before, F.lit(0)).alias("__before"), n.alias("__n"))
     edge = placed.where("__before < __n AND __n <= __before + __c")
     inside = (
-        df.select(hashed).withColumn("__h", F.substring(hashed, 1, prefix))
-        .join(F.broadcast(edge), "__h")  # one row
-        .withColumn("__r", F.row_number().over(Window.partitionBy("__h").orderBy(hashed)))
+        df.select(hashed).withColumn("__hash_prefix", F.substring(hashed, 1, prefix))
+        .join(F.broadcast(edge), "__hash_prefix")  # one row
+        .withColumn("__r", F.row_number().over(Window.partitionBy("__hash_prefix").orderBy(hashed)))
         .where(F.col("__r") == F.col("__n") - F.col("__before"))
     )
     return F.coalesce(inside.agg(F.max(hashed).alias("cut")).scalar(), F.lit(""))

@@ -128,7 +128,7 @@ def group_split_greedy(df: DataFrame, group: str, fractions: Sequence[float], se
         return pd.DataFrame({group: frame[group], "split": labels})
 
     kind = rows.schema[group].dataType.simpleString()
-    packed = sizes.groupBy(F.lit(0)).applyInPandas(pack, f"`{group}` {kind}, split string")
+    packed = sizes.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(pack, f"`{group}` {kind}, split string")
     return rows.join(packed, group)
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import metric_queries, scalar_queries, screening_queries, source_queries  # noqa: F401
+from . import metric_queries, scalar_queries, screening_queries, source_queries, split_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -59,7 +59,7 @@ ORDER_NODES_SQL = """
   order_parts AS (SELECT l_orderkey AS g, l_partkey, max(l_quantity) AS x FROM lineitem GROUP BY 1, 2),
   nodes AS (SELECT g, CAST(row_number() OVER (PARTITION BY g ORDER BY l_partkey) - 1 AS BIGINT) AS node, l_partkey, x FROM order_parts),
   edges AS (SELECT g, src, dst, weight FROM (
-      SELECT a.g, a.node AS src, b.node AS dst, 1.0 + (a.l_partkey + b.l_partkey) % 7 AS weight
+      SELECT a.g, a.node AS src, b.node AS dst, (1.0 + (a.l_partkey + b.l_partkey) % 7)::DOUBLE AS weight
       FROM nodes a JOIN nodes b ON a.g = b.g AND a.node <> b.node AND (a.l_partkey + b.l_partkey) % 3 = 0))
 """
 
