@@ -174,7 +174,7 @@ def interaction_weights_query(spark, folder):
 
 @query("weighted_sample", f"""
   WITH r AS (SELECT {line_key()} AS line_key, CAST(round(l_extendedprice * 100) AS BIGINT) AS w FROM lineitem),
-  c AS (SELECT line_key, w, sum(w) OVER (ORDER BY md5('5:' || line_key)) - w AS lo FROM r WHERE w > 0),
+  c AS (SELECT line_key, w, CAST(sum(w) OVER (ORDER BY md5('5:' || line_key)) - w AS BIGINT) AS lo FROM r WHERE w > 0),
   t AS (SELECT sum(w)::DOUBLE AS total, count(*) AS n FROM r),
   p AS (SELECT j AS draw, CAST(floor(('0x' || substr(md5('5:point:' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * total) AS BIGINT) AS x
         FROM t, range(0, (SELECT count(*) FROM lineitem)) d(j))
