@@ -132,7 +132,7 @@ def neighbor_aggregate(messages: DataFrame, averages: DataFrame, aggregators: Se
     """Neighbour statistics per target node under degree scalers, columns ``{scaler}_{aggregator}``."""
     grouped = messages.groupBy(*by).agg(
         F.count(F.lit(1)).alias("degree"), *[AGGREGATORS[a](value).alias(a) for a in aggregators])
-    lin, log, exp = (averages.select(c).scalar() for c in ("lin", "log", "exp"))
+    lin, log, exp = (F.lit(v) for v in averages.select("lin", "log", "exp").first())
     d = F.greatest(F.col("degree"), F.lit(1)).cast("double")
     factors = {
         "identity": F.lit(1.0),

@@ -14,7 +14,7 @@ Buckets depend on values alone, never on task ids, so a retried task gives the s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 MAX_BUCKETS = 1024
-HOT_GROUPS = 1024  # a hot group holds over 1/HOT_GROUPS of the rows, so there are at most that many
-HOT_ROWS = 1_000_000  # and never fewer rows than one task sorts with ease
+HOT_ROWS = 1_000_000  # a hot group has more rows than one task sorts with ease
+HOT_GROUPS = 1024  # and is among this many largest ones
 _STEP = 32
 
 
@@ -60,8 +60,8 @@ def value_buckets(
 ) -> DataFrame:
     """Add an order-preserving bucket number for a numeric column (non-null).
 
-    With ``by`` only the hot groups are cut; every other group is small enough to stay
-    one bucket (number 1). Even bucket numbers hold a single value each.
+    Only hot groups are cut (without ``by`` the table is one group); every other group is
+    small enough to stay one bucket (number 1). Even bucket numbers hold a single value each.
     """
     cut = _cut(df, value, out, list(by), buckets)
     return df.withColumn(out, F.lit(1)) if cut is None else cut
@@ -71,16 +71,18 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
          splittable: Column | None = None) -> DataFrame | None:
     """``df`` with buckets, or None when no group is hot. ``splittable`` limits the groups looked at."""
     n = bucket_count(df, buckets)
+    point = F.col(value).cast("double")
     if not by:
-        cuts = df.select(_cut_points(F.col(value).cast("double"), n).alias("cuts")).scalar()
-        held = df.withColumn("__cuts", cuts)
-        return held.withColumn(out, _place(F.col("__cuts"), F.col(value).cast("double"))).drop("__cuts")
+        rows, cuts = df.agg(F.count(F.lit(1)), _cut_points(point, n)).first()
+        if rows <= HOT_ROWS:
+            return None
+        # At most MAX_BUCKETS + 1 numbers, computed once, become a constant of the plan.
+        return df.withColumn(out, _place(F.array(*[F.lit(c) for c in cuts]), point))
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("t")).scalar()
-    heavy = (F.col("__n") * F.lit(HOT_GROUPS) > total) & (F.col("__n") > F.lit(HOT_ROWS))
-    # At most HOT_GROUPS rows pass the filter, so the table and its broadcast are bounded.
-    hot = checkpointed(df.sparkSession, counts.where(heavy).select(*by))
+    # The HOT_GROUPS largest groups at most; any group left out is smaller than 1/HOT_GROUPS of the rows.
+    heavy = counts.where(F.col("__n") > F.lit(HOT_ROWS)).orderBy(F.col("__n").desc()).limit(HOT_GROUPS)
+    hot = checkpointed(df.sparkSession, heavy.select(*by))
     if hot.isEmpty():
         return None
     hot_cuts = (
@@ -90,9 +92,7 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
     )
     hot_cuts = checkpointed(df.sparkSession, hot_cuts)
     joined = null_safe_join(df, F.broadcast(hot_cuts), by, "left")
-    bucket = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(
-        _place(F.col("__cuts"), F.col(value).cast("double"))
-    )
+    bucket = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(_place(F.col("__cuts"), point))
     return joined.withColumn(out, bucket).drop("__cuts")
 
 
@@ -191,22 +191,23 @@ def average_ranks(df: DataFrame, value: str, out: str, weight: str | None = None
     return ranked.select(*by, value, rank.cast("double").alias(out))
 
 
-def smallest_hash_cut(df: DataFrame, hashed: str, n: Column, prefix: int = 3) -> Column:
-    """The n-th smallest value of a unique hash column, as a scalar expression.
+def smallest_hash_cut(df: DataFrame, hashed: str, take: Callable[[int], int], prefix: int = 4) -> str:
+    """The n-th smallest value of a unique hex hash column, ``n = take(rows)``.
 
-    Rows are never shuffled as a whole: counts per prefix (at most 16^prefix) locate the
-    bucket holding the cut, and only that bucket is ordered. ``n`` <= 0 gives an empty
-    string, below every hash.
+    Rows are never shuffled as a whole: counts per prefix (at most 16^prefix, a bounded
+    collect) locate the bucket of the cut, and only that bucket is ordered. ``n`` <= 0 gives
+    an empty string, below every hash. The cut is computed once, here, and is a constant of
+    every plan that uses it.
     """
-    counts = df.groupBy(F.substring(hashed, 1, prefix).alias("__hash_prefix")).agg(F.count(F.lit(1)).alias("__c"))
-    before = F.sum("__c").over(
-        Window.partitionBy(F.lit(0)).orderBy("__hash_prefix").rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.select("__hash_prefix", "__c", F.coalesce(before, F.lit(0)).alias("__before"), n.alias("__n"))
-    edge = placed.where("__before < __n AND __n <= __before + __c")
-    inside = (
-        df.select(hashed).withColumn("__hash_prefix", F.substring(hashed, 1, prefix))
-        .join(F.broadcast(edge), "__hash_prefix")  # one row
-        .withColumn("__r", F.row_number().over(Window.partitionBy("__hash_prefix").orderBy(hashed)))
-        .where(F.col("__r") == F.col("__n") - F.col("__before"))
-    )
-    return F.coalesce(inside.agg(F.max(hashed).alias("cut")).scalar(), F.lit(""))
+    place = F.substring(hashed, 1, prefix)
+    counts = sorted(tuple(r) for r in df.groupBy(place).agg(F.count(F.lit(1))).collect())
+    left = take(sum(c for _, c in counts))
+    if left <= 0:
+        return ""
+    for bucket, count in counts:
+        if left <= count:
+            break
+        left -= count
+    inside = df.select(F.col(hashed).alias("hash")).where(F.substring("hash", 1, prefix) == bucket)
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("hash")))
+    return ranked.where(F.col("r") <= left).agg(F.max("hash")).first()[0]

@@ -7,6 +7,7 @@ shuffle of the rows, and membership in a drawn set is a comparison, not a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,10 +18,10 @@ from ..functions.text import hash_hex, hash_uniform
 from .ordering import bucket_count, hash_running_totals, null_safe_join, smallest_hash_cut
 
 
-def _size(df: DataFrame, fraction: float) -> Column:
-    """round(fraction * n) as a scalar expression."""
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return F.round(n * F.lit(float(fraction))).cast("long")
+def _cut(df: DataFrame, key: str, fraction: float, seed: int) -> str:
+    """Hash below or at which round(fraction * n) of the unique keys lie."""
+    hashed = df.select(hash_hex(F.col(key), seed).alias("hash"))
+    return smallest_hash_cut(hashed, "hash", lambda n: math.floor(n * fraction + 0.5))
 
 
 def _check_fractions(fractions: Sequence[float]) -> None:
@@ -30,9 +31,7 @@ def _check_fractions(fractions: Sequence[float]) -> None:
 
 def sample_exact(df: DataFrame, key: str, fraction: float, seed: int, out: str) -> DataFrame:
     """Mark round(fraction * n) rows of a table with unique keys."""
-    hashed = df.withColumn("__draw", hash_hex(F.col(key), seed))
-    cut = smallest_hash_cut(hashed.select("__draw"), "__draw", _size(df.select(key), fraction))
-    return hashed.withColumn(out, F.col("__draw") <= cut).drop("__draw")
+    return df.withColumn(out, hash_hex(F.col(key), seed) <= _cut(df, key, fraction, seed))
 
 
 def random_split(df: DataFrame, key: str, fractions: Sequence[float], seed: int) -> DataFrame:
@@ -42,14 +41,10 @@ def random_split(df: DataFrame, key: str, fractions: Sequence[float], seed: int)
     """
     _check_fractions(fractions)
     _, valid, test = fractions
-    drawn = sample_exact(df, key, test, seed, "__test")
-    rest = df.select(key).withColumn("__h1", hash_hex(F.col(key), seed))
-    cut1 = smallest_hash_cut(rest.select("__h1"), "__h1", _size(df.select(key), test))
-    rest = rest.where(F.col("__h1") > cut1).select(key).withColumn("__h2", hash_hex(F.col(key), 1))
+    in_test = hash_hex(F.col(key), seed) <= _cut(df, key, test, seed)
     share = 0.0 if test >= 1 else valid / (1 - test)
-    cut2 = smallest_hash_cut(rest.select("__h2"), "__h2", _size(rest, share))
-    label = F.when(F.col("__test"), "test").when(hash_hex(F.col(key), 1) <= cut2, "valid").otherwise("train")
-    return drawn.withColumn("split", label).drop("__test")
+    in_valid = hash_hex(F.col(key), 1) <= _cut(df.where(~in_test), key, share, 1)
+    return df.withColumn("split", F.when(in_test, "test").when(in_valid, "valid").otherwise("train"))
 
 
 def group_split(df: DataFrame, group: str, fractions: Sequence[float], seed: int) -> DataFrame:
@@ -64,13 +59,11 @@ def group_split(df: DataFrame, group: str, fractions: Sequence[float], seed: int
     rows = df.where(F.col(group).isNotNull())
     sizes = group_sizes(rows, group, fractions, seed)
     ordered = hash_running_totals(sizes, "place", {"before": F.col("size")}, prefix=4)
-    limits = sizes.agg(F.max("train_size").alias("t"), F.max("valid_size").alias("v"))
     upto = F.col("before") + F.col("size")
     cuts = ordered.agg(
         F.max(F.when(upto <= F.col("train_size"), F.col("place"))).alias("train"),
         F.max(F.when(upto <= F.col("train_size") + F.col("valid_size"), F.col("place"))).alias("valid"))
-    train = F.coalesce(cuts.select("train").scalar(), F.lit(""))
-    valid = F.coalesce(cuts.select("valid").scalar(), F.lit(""))
+    train, valid = (cut or "" for cut in cuts.first())
     big = sizes.where("place < '1'").select(group, F.lit(True).alias("__big"))
     marked = rows.join(F.broadcast(big), group, "left") if _bounded_big(fractions) else rows.withColumn("__big", F.lit(True))
     place = F.concat(F.when(F.col("__big"), "0").otherwise("1"), hash_hex(F.col(group), seed))
@@ -86,16 +79,14 @@ def _bounded_big(fractions: Sequence[float]) -> bool:
 def group_sizes(rows: DataFrame, group: str, fractions: Sequence[float], seed: int) -> DataFrame:
     """``group, size, place`` with the target sizes; ``place`` sorts big groups first, then by hash."""
     counted = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    n = counted.agg(F.sum("size").alias("n")).scalar()
-    sized = counted.withColumn("__n", n)
-    sized = sized.withColumn("train_size", F.floor(F.col("__n") * F.lit(float(fractions[0]))).cast("long"))
-    sized = sized.withColumn("valid_size", F.floor(F.col("__n") * F.lit(float(fractions[1]))).cast("long"))
-    test = F.col("__n") - F.col("train_size") - F.col("valid_size")
-    big = (F.col("size") > F.col("valid_size") / 2) | (F.col("size") > test / 2)
+    n = rows.count()
+    train, valid = math.floor(n * fractions[0]), math.floor(n * fractions[1])
+    big = (F.col("size") > valid / 2) | (F.col("size") > (n - train - valid) / 2)
     if not _bounded_big(fractions):
         big = F.lit(True)
     place = F.concat(F.when(big, "0").otherwise("1"), hash_hex(F.col(group), seed))
-    return sized.withColumn("place", place).drop("__n")
+    return counted.select(
+        group, "size", place.alias("place"), F.lit(train).cast("long").alias("train_size"), F.lit(valid).cast("long").alias("valid_size"))
 
 
 def group_split_greedy(df: DataFrame, group: str, fractions: Sequence[float], seed: int,
@@ -146,9 +137,7 @@ def cold_split(df: DataFrame, entities: Sequence[str], fractions: Sequence[float
     def draws(rows: DataFrame, fraction: float) -> list[Column]:
         drawn = []
         for entity in entities:
-            distinct = rows.select(entity).distinct()
-            hashed = distinct.select(hash_hex(F.col(entity), seed).alias("__h"))
-            cut = smallest_hash_cut(hashed, "__h", _size(distinct, fraction))
+            cut = _cut(rows.select(entity).distinct(), entity, fraction, seed)
             drawn.append(hash_hex(F.col(entity), seed) <= cut)
         return drawn
 
@@ -188,14 +177,15 @@ def _some(conditions: list[Column]) -> Column:
 
 def split_ratio_check(df: DataFrame) -> DataFrame:
     counted = df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n").alias("t")).scalar()
+    # Three rows at most.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     return counted.select("split", "n", (F.col("n") / total).alias("ratio"))
 
 
 def temporal_split(df: DataFrame, date: str, cutoff_year: int, key: str, valid_fraction: float, seed: int) -> DataFrame:
     """Rows from the cutoff year on are test; the earlier ones are drawn into train and valid."""
     early = df.where(F.year(date) < cutoff_year)
-    cut = smallest_hash_cut(early.select(hash_hex(F.col(key), seed).alias("__h")), "__h", _size(early.select(key), valid_fraction))
+    cut = _cut(early, key, valid_fraction, seed)
     label = (F.when(F.year(date) >= cutoff_year, "test")
              .when(hash_hex(F.col(key), seed) <= cut, "valid").otherwise("train"))
     return df.withColumn("split", label)
@@ -207,7 +197,7 @@ def id_list_split(df: DataFrame, ids: DataFrame, key: str, valid_fraction: float
     keyed = df.withColumn("__id", F.col(key).cast("string"))
     marked = keyed.join(listed.withColumn("__listed", F.lit(True)), "__id", "left")
     rest = keyed.join(listed, "__id", "left_anti").select(key)
-    cut = smallest_hash_cut(rest.select(hash_hex(F.col(key), seed).alias("__h")), "__h", _size(rest, valid_fraction))
+    cut = _cut(rest, key, valid_fraction, seed)
     label = (F.when(F.col("__listed"), "test")
              .when(hash_hex(F.col(key), seed) <= cut, "valid").otherwise("train"))
     return marked.withColumn("split", label).drop("__id", "__listed")
@@ -273,19 +263,16 @@ def weighted_sample(df: DataFrame, key: str, weight: str, seed: int, n: int | No
     positive = positive.withColumn("__h", hash_hex(F.col("__key"), seed))
     placed = hash_running_totals(positive, "__h", {"lo": F.col("__w")}, prefix=4)
     placed = placed.withColumn("hi", F.col("lo") + F.col("__w"))
-    total = positive.agg(F.sum("__w").alias("t")).scalar()
+    total = positive.agg(F.sum("__w")).first()[0]
+    if not total:
+        raise ValueError("no row with a positive weight")
     draws = n if n is not None else df.count()
     size = bucket_count(df, cells) * 4
-    width = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(size))).cast("long")
+    width = max(1, -(-total // size))
     ids = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    points = ids.withColumn("total", total)
-    points = points.withColumn("x", F.floor(hash_uniform(F.col("draw"), f"{seed}:point") * F.col("total")).cast("long"))
-    points = points.select("draw", "x", F.floor(F.col("x") / width).cast("long").alias("cell"))
-    held = placed.withColumn("total", total).withColumn("width", width)
-    spans = held.select(
-        "__key", "lo", "hi",
-        F.explode(F.sequence(F.floor(F.col("lo") / F.col("width")).cast("long"),
-                             F.floor((F.col("hi") - 1) / F.col("width")).cast("long"))).alias("cell"))
+    x = F.floor(hash_uniform(F.col("draw"), f"{seed}:point") * F.lit(total)).cast("long")
+    points = ids.withColumn("x", x).withColumn("cell", F.expr(f"x div {width}"))
+    spans = placed.select("__key", "lo", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("cell"))
     # As-of inside a cell: sort interval starts and points together, carry the last start on.
     starts = spans.select("cell", F.col("lo").alias("at"), F.lit(0).alias("kind"), "__key", F.lit(None).cast("long").alias("draw"))
     marks = points.select("cell", F.col("x").alias("at"), F.lit(1).alias("kind"),

@@ -12,7 +12,7 @@ def normalize_table(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     ``X`` is not scaled like the others; published tables have it so.
     """
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
+    low, high = ends.first()
     scaled = df.select(key, ((F.col(value) - low) / (high - low)).alias(out))
     middle = ends.select(F.lit("X").alias(key), ((F.col("hi") + F.col("lo")) / 2.0).alias(out))
     return scaled.unionByName(middle)

@@ -35,8 +35,8 @@ def _contacts(spark, folder):
   WITH {CONTACT_SQL},
   near AS (SELECT g, i, i + d AS j FROM (SELECT g, n, unnest(range(0, n)) AS i FROM lengths), (VALUES (1), (2)) t(d) WHERE i + d < n),
   one AS (SELECT g, i, j, prob AS w FROM contacts WHERE prob >= 0.5 UNION ALL SELECT g, i, j, 0.5 FROM near),
-  both AS (SELECT g, i, j, w FROM one UNION ALL SELECT g, j, i, w FROM one)
-  SELECT g, i AS src, j AS dst, max(w)::DOUBLE AS weight FROM both GROUP BY ALL
+  sides AS (SELECT g, i, j, w FROM one UNION ALL SELECT g, j, i, w FROM one)
+  SELECT g, i AS src, j AS dst, max(w)::DOUBLE AS weight FROM sides GROUP BY ALL
   UNION ALL SELECT g, i, i, 1.0 FROM v
 """)
 def contact_graph_query(spark, folder):
@@ -136,19 +136,19 @@ SCALE_SQL = {"identity": "1", "amplification": "ln(deg + 1) / log", "attenuation
 
 
 @query("neighbor_aggregate", f"""
-  WITH m AS (SELECT l_partkey AS dst, l_extendedprice AS v FROM lineitem),
+  WITH m AS (SELECT l_partkey AS dst, l_extendedprice / 7 AS v FROM lineitem),
   a AS (SELECT dst, count(*) AS deg, avg(v) AS mean, min(v) AS min, max(v) AS max, stddev_pop(v) AS std FROM m GROUP BY dst),
   d AS (SELECT count(l_partkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey), {AVG_SQL}
-  SELECT dst, {", ".join(f"round({a} * ({f}), 2) AS {s}_{a}" for s, f in SCALE_SQL.items() for a in ("mean", "min", "max", "std"))} FROM a, avgs
+  SELECT dst, {", ".join(f"round({a} * ({f}), 4) AS {s}_{a}" for s, f in SCALE_SQL.items() for a in ("mean", "min", "max", "std"))} FROM a, avgs
 """)
 def neighbor_aggregate_query(spark, folder):
     lineitem = table(spark, folder, "lineitem", "l_partkey", "l_extendedprice")
-    messages = lineitem.select(F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("value"))
+    messages = lineitem.select(F.col("l_partkey").alias("dst"), (F.col("l_extendedprice") / 7).alias("value"))
     nodes = table(spark, folder, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("node"))
     edges = lineitem.select(F.lit(0).alias("g"), F.lit(0).alias("src"), F.col("l_partkey").alias("dst"))
     averages = gr.average_degree(gr.degree_histogram(gr.in_degrees(edges, nodes)))
     out = gr.neighbor_aggregate(messages, averages, ["mean", "min", "max", "std"], list(SCALE_SQL), ["dst"])
-    return out.select("dst", *[F.round(c, 2).alias(c) for c in out.columns if c not in ("dst", "degree")])
+    return out.select("dst", *[F.round(c, 4).alias(c) for c in out.columns if c not in ("dst", "degree")])
 
 
 @query("scatter_mean", """
@@ -375,6 +375,8 @@ def clique_overlap_graph_query(spark, folder):
         F.col("l_orderkey").alias("g"), (F.col("l_suppkey") % 6).alias("clique"), (F.col("l_partkey") % 9).alias("atom")).distinct()
     members = members.withColumn("kind", F.lit(0))
     atoms = members.select("g", "atom").distinct()
-    _, _, links = cp.clique_overlap_graph(members, atoms)
-    # Singleton cliques are numbered above the others; the twin shows them as -1.
-    return links.select("g", "src", F.when(F.col("dst") > 5, F.lit(-1)).otherwise(F.col("dst")).cast("long").alias("dst"), "weight")
+    cliques, _, links = cp.clique_overlap_graph(members, atoms)
+    # Singleton cliques have numbers of their own; the twin shows them as -1.
+    single = cliques.where("kind = 3").select("g", F.col("clique").alias("dst"), F.lit(True).alias("single"))
+    marked = links.join(single, ["g", "dst"], "left")
+    return marked.select("g", "src", F.when(F.col("single"), F.lit(-1)).otherwise(F.col("dst")).cast("long").alias("dst"), "weight")
