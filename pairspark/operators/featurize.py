@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import sha_key
-from ..session import fresh_dir
 
 
 def featurize(keys: DataFrame, key: str, fn: Callable[[str], object], value_type: str,
@@ -63,84 +63,74 @@ def canonicalize(strings: DataFrame, key: str, fn: Callable[[str], str | None] |
 
 @dataclass
 class CacheResult:
+    """Tables keyed by ``sha``. ``counters`` has the misses and failures once the run is done."""
+
     features: DataFrame
     failed: DataFrame
     hits: DataFrame
     misses: DataFrame
-    counters: Observation | None = None
+    counters: Observation
 
 
 class FeatureCache:
-    """Parquet table of features under the SHA-256 of their key, partitioned by its first digits.
+    """Parquet table of features under the SHA-256 of their key, one folder per run.
 
-    A run reads the partitions, splits the distinct keys into hits and misses, computes the
-    misses only and appends them; Spark's committer makes the append all-or-nothing.
-    Failed and oversize entries are left out and reported.
+    A run hashes the keys, splits the distinct hashes into hits and misses by joins on the
+    hash alone, and computes the misses only, so the long keys of hits never move. The
+    results are written once, by one job, and become visible as a whole; the folder of a
+    lost run is ignored. Failed and oversize entries are stored with their error and not
+    served, so they are tried again next time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, value_type: str, max_bytes: int | None = None,
-                 shard_digits: int = 1):
+    def __init__(self, spark: SparkSession, path: str, value_type: str, max_bytes: int | None = None):
         self.spark, self.path, self.value_type, self.max_bytes = spark, path, value_type, max_bytes
-        self.shard_digits = shard_digits
-
-    def _shard(self) -> Column:
-        return F.substring("sha", 1, self.shard_digits)
-
-    def _schema(self) -> str:
-        return f"sha string, value {self.value_type}, shard string"
 
-    def table(self) -> DataFrame:
-        """Stored entries. An unused path is an empty cache."""
+    def _stored(self) -> DataFrame:
+        """All entries at this moment. Later runs add folders and do not change this table."""
+        schema = f"sha string, value {self.value_type}, error string"
         try:
-            return self.spark.read.schema(self._schema()).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(f"{self.path}/run=*")
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], self._schema())
+            return self.spark.createDataFrame([], schema)
 
-    def split(self, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        """Distinct keys found and not found in the cache."""
-        wanted = keys.select(key).distinct().withColumn("sha", sha_key(F.col(key)))
-        wanted = wanted.withColumn("shard", self._shard())
-        stored = self.table().select("shard", "sha")
-        return wanted.join(stored, ["shard", "sha"], "left_semi"), wanted.join(stored, ["shard", "sha"], "left_anti")
-
-    def append(self, computed: DataFrame, key: str) -> None:
-        """Add ``key, value`` rows; oversize values are skipped."""
-        rows = computed
-        if self.max_bytes is not None:
-            rows = rows.where(self._bytes() <= self.max_bytes)
-        rows = rows.withColumn("sha", sha_key(F.col(key))).withColumn("shard", self._shard())
-        # One file per shard and task of the shuffle, not one per shard and input task.
-        spread = rows.select("sha", "value", "shard").repartition("shard", F.pmod(F.xxhash64("sha"), F.lit(4)))
-        spread.write.mode("append").partitionBy("shard").parquet(self.path)
+    def table(self) -> DataFrame:
+        """Usable entries ``sha, value``; two runs may have computed the same key."""
+        return self._stored().where("error IS NULL").select("sha", "value").dropDuplicates(["sha"])
 
-    def _bytes(self) -> Column:
-        return F.octet_length(F.to_json(F.struct("value")))
+    def split(self, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """Distinct hashes found and not found in the cache."""
+        wanted = keys.select(sha_key(F.col(key)).alias("sha")).distinct()
+        stored = self._stored().where("error IS NULL").select("sha")
+        return wanted.join(stored, "sha", "left_semi"), wanted.join(stored, "sha", "left_anti")
 
     def get_or_compute(self, keys: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> CacheResult:
         """Features of all keys. ``compute`` maps missing ``key`` rows to ``key, value, error``."""
-        hits, misses = self.split(keys, key)
+        hits, missing = self.split(keys, key)
+        # Duplicates are dropped after the join, so only served entries move.
+        stored = self._stored().where("error IS NULL").select("sha", "value")
+        found = stored.join(hits, "sha", "left_semi").dropDuplicates(["sha"])
+        addressed = keys.select(key, sha_key(F.col(key)).alias("sha"))
+        lacking = addressed.join(missing, "sha", "left_semi").dropDuplicates(["sha"]).select(key)
         seen = Observation("feature cache")
-        computed = compute(misses.select(key))
-        size = self._bytes() if self.max_bytes is not None else F.lit(0)
-        too_big = F.col("value").isNotNull() & (size > F.lit(self.max_bytes or 0))
-        computed = computed.withColumn("error", F.coalesce("error", F.when(too_big, F.lit("oversize entry"))))
-        observed = computed.observe(
+        computed = compute(lacking).withColumn("sha", sha_key(F.col(key)))
+        if self.max_bytes is not None:
+            size = F.octet_length(F.to_json(F.struct("value")))
+            over = F.col("error").isNull() & (size > F.lit(self.max_bytes))
+            computed = computed.withColumn("error", F.when(over, "oversize entry").otherwise(F.col("error")))
+            computed = computed.withColumn("value", F.when(F.col("error").isNull(), F.col("value")))
+        observed = computed.select("sha", "value", "error").observe(
             seen, F.count(F.lit(1)).alias("misses"), F.count("error").alias("failed"))
-        # The misses are computed once: results and errors go to one table, read twice below.
-        staged = fresh_dir(self.spark, "computed")
-        observed.write.parquet(staged)
-        done = self.spark.read.parquet(staged)
+        run = f"{self.path}/run={uuid.uuid4().hex}"
+        observed.write.parquet(run)
+        done = self.spark.read.schema(observed.schema).parquet(run)
         good, failed = quarantine(done)
-        hit_keys = hits.select(key, "sha", "shard")
-        found = hit_keys.join(self.table(), ["shard", "sha"]).select(key, "value")
-        # Pin the hits before the append adds rows to the folder they are read from.
-        pinned = fresh_dir(self.spark, "hits")
-        found.write.parquet(pinned)
-        self.append(good, key)
-        old = self.spark.read.parquet(pinned)
-        return CacheResult(old.unionByName(good.select(key, "value")), failed, old.select(key), done.select(key), seen)
+        return CacheResult(found.unionByName(good), failed, hits, done.select("sha"), seen)
+
+    def attach(self, rows: DataFrame, key: str, features: DataFrame) -> DataFrame:
+        """Features given back to every row with that key."""
+        return rows.withColumn("sha", sha_key(F.col(key))).join(features, "sha").drop("sha")
 
 
 def count_stages(**stages: DataFrame) -> DataFrame:

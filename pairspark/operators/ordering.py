@@ -16,21 +16,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 4096
 HOT_ROWS = 1_000_000  # a hot group has more rows than one task sorts with ease
 HOT_GROUPS = 1024  # and is among this many largest ones
-_STEP = 32
+_STEP = 64
 
 
-def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
-    """Cut points to use: as many as the session has shuffle partitions, bounded."""
+def bucket_count(df: DataFrame, buckets: int | None = None, rows: int = 0) -> int:
+    """Cut points to use: one per HOT_ROWS rows and at least the session's shuffle partitions, bounded."""
     if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(partitions, -(-rows // HOT_ROWS))
     return max(2, min(MAX_BUCKETS, buckets))
 
 
@@ -70,25 +72,26 @@ def value_buckets(
 def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None,
          splittable: Column | None = None) -> DataFrame | None:
     """``df`` with buckets, or None when no group is hot. ``splittable`` limits the groups looked at."""
-    n = bucket_count(df, buckets)
     point = F.col(value).cast("double")
     if not by:
-        rows, cuts = df.agg(F.count(F.lit(1)), _cut_points(point, n)).first()
+        rows = df.count()
         if rows <= HOT_ROWS:
             return None
+        cuts = df.agg(_cut_points(point, bucket_count(df, buckets, rows))).first()[0]
         # At most MAX_BUCKETS + 1 numbers, computed once, become a constant of the plan.
-        return df.withColumn(out, _place(F.array(*[F.lit(c) for c in cuts]), point))
+        return df.withColumn(out, _place(F.lit(np.array(cuts)), point))
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     # The HOT_GROUPS largest groups at most; any group left out is smaller than 1/HOT_GROUPS of the rows.
     heavy = counts.where(F.col("__n") > F.lit(HOT_ROWS)).orderBy(F.col("__n").desc()).limit(HOT_GROUPS)
-    hot = checkpointed(df.sparkSession, heavy.select(*by))
-    if hot.isEmpty():
+    hot = checkpointed(df.sparkSession, heavy)
+    largest = hot.agg(F.max("__n")).first()[0]
+    if largest is None:
         return None
     hot_cuts = (
-        null_safe_join(candidates.select(*by, value), F.broadcast(hot), by, "left_semi")
+        null_safe_join(candidates.select(*by, value), F.broadcast(hot.select(*by)), by, "left_semi")
         .groupBy(*by)
-        .agg(_cut_points(F.col(value).cast("double"), n).alias("__cuts"))
+        .agg(_cut_points(point, bucket_count(df, buckets, largest)).alias("__cuts"))
     )
     hot_cuts = checkpointed(df.sparkSession, hot_cuts)
     joined = null_safe_join(df, F.broadcast(hot_cuts), by, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_hex, hash_uniform
-from .ordering import bucket_count, hash_running_totals, null_safe_join, smallest_hash_cut
+from .ordering import HOT_ROWS, bucket_count, hash_running_totals, null_safe_join, smallest_hash_cut
 
 
 def _cut(df: DataFrame, key: str, fraction: float, seed: int) -> str:
@@ -267,8 +267,8 @@ def weighted_sample(df: DataFrame, key: str, weight: str, seed: int, n: int | No
     if not total:
         raise ValueError("no row with a positive weight")
     draws = n if n is not None else df.count()
-    size = bucket_count(df, cells) * 4
-    width = max(1, -(-total // size))
+    parts = cells or max(4 * bucket_count(df), -(-draws // HOT_ROWS))
+    width = max(1, -(-total // parts))
     ids = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
     x = F.floor(hash_uniform(F.col("draw"), f"{seed}:point") * F.lit(total)).cast("long")
     points = ids.withColumn("x", x).withColumn("cell", F.expr(f"x div {width}"))

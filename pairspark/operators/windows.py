@@ -36,7 +36,7 @@ def minmax_per_group(df: DataFrame, by: Sequence[str], value: str, out: str, zer
 def percentile_rank(df: DataFrame, by: Sequence[str], value: str, position: str, out: str) -> DataFrame:
     """Ordinal rank / (n - 1) per group, ties ordered by position; a single row gives 1."""
     ranked = global_row_number(df, [value, position], "__rn", by)
-    sized = ranked.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt")), list(by))
+    sized = with_group_stats(ranked, by, __cnt=F.count(F.lit(1)))
     share = F.when(F.col("__cnt") == 1, F.lit(1.0)).otherwise((F.col("__rn") - 1) / (F.col("__cnt") - 1))
     return sized.withColumn(out, share).drop("__rn", "__cnt")
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.text import is_safe_id, sha_key
+from ..functions.text import is_safe_id
 from ..operators.featurize import FeatureCache, count_stages, featurize_sql, quarantine
 from ..operators.screening import Heads, score_dot, screen_matrix
 from ..operators.structure import annotate_structure, extract_sequence, residues
@@ -258,8 +258,7 @@ def feature_cache(spark, folder):
     cache.get_or_compute(docs.where("doc_id % 2 = 0"), "text", lengths)
     result = cache.get_or_compute(docs, "text", lengths)
     states = result.hits.withColumn("state", F.lit("hit")).unionByName(result.misses.withColumn("state", F.lit("miss")))
-    states = states.select(sha_key(F.col("text")).alias("sha"), "state")
-    return result.features.select(sha_key(F.col("text")).alias("sha"), "value").join(states, "sha").select("sha", "value", "state")
+    return result.features.join(states, "sha").select("sha", "value", "state")
 
 
 @query("write_scores", f"""

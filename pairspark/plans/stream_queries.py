@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import sha_key
 from ..operators import screening as sc
 from ..operators.featurize import FeatureCache, featurize_sql
 from ..session import fresh_dir
@@ -25,10 +24,8 @@ def _stream(spark, df, key, label):
   SELECT protein_id, smiles, round(prediction, 4) AS prediction, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
 """)
 def stream_top_k_query(spark, folder):
-    proteins = centroids(spark, folder)
     held = fresh_dir(spark, "proteins")
-    proteins.write.parquet(held)
-    proteins = spark.read.parquet(held)
+    centroids(spark, folder).write.parquet(held)
     ligands = ligand_vectors(spark, folder).select("smiles", "ligand_vec")
 
     def score(chunk):
@@ -79,5 +76,5 @@ def stream_cache_fill_query(spark, folder):
 
     screens.stream_cache_fill(_stream(spark, texts, "conv_id", "turn-chunks"), "text", cache, lengths, failures, fresh_dir(spark, "checkpoint"))
     stored = cache.table().select("sha", "value", F.lit(None).cast("string").alias("error"))
-    failed = spark.read.parquet(failures).select(sha_key(F.col("text")).alias("sha"), "error").distinct()
+    failed = spark.read.parquet(failures).select("sha", "error").distinct()
     return stored.unionByName(failed.select("sha", F.lit(None).cast("long").alias("value"), "error"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import pool_vectors
+from ..session import checkpointed, spread
 from .registry import table
 
 EMBEDDING_WIDTH = 64
@@ -16,7 +17,7 @@ SEQ_SQL = f"seqs AS (SELECT doc_id, upper(regexp_replace(text, '{SEQ_PATTERN}',
 
 
 def sequences(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"))
     return docs.select("doc_id", F.upper(F.regexp_replace("text", SEQ_PATTERN, "")).alias("seq"))
 
 
@@ -34,14 +35,14 @@ SCREEN_SQL = f"""{CENTROID_SQL},
 
 
 def ligand_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("smiles"), F.col("embedding").alias("ligand_vec"), "label")
+    return spread(table(spark, folder, "embeddings")).select(F.col("vec_id").alias("smiles"), F.col("embedding").alias("ligand_vec"), "label")
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
-    """Class means of the embeddings as proteins."""
-    return pool_vectors(
-        table(spark, folder, "embeddings"), ["label"], "embedding", EMBEDDING_WIDTH, mean=True, out="protein_vec"
-    ).withColumnRenamed("label", "protein_id")
+    """Class means of the embeddings as proteins, stored once like any feature table."""
+    means = pool_vectors(
+        table(spark, folder, "embeddings"), ["label"], "embedding", EMBEDDING_WIDTH, mean=True, out="protein_vec")
+    return checkpointed(spark, means.withColumnRenamed("label", "protein_id"))
 
 
 def line_key() -> str:

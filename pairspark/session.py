@@ -41,11 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     setting gets a temporary folder; any other session must name one, because a
     machine-local folder is lost with its executor.
     """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if root:
+        if not current:
+            sc.setCheckpointDir(root)
         return root
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
     if current:
         return current
     if not sc.master.startswith("local"):
@@ -63,3 +65,13 @@ def checkpointed(spark: SparkSession, df):
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Deal out a table that has fewer splits than the session has cores.
+
+    Meant before costly work per row. A table with many splits, as on a cluster, is left
+    as it is and gets no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

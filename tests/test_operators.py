@@ -204,13 +204,16 @@ def test_cache_round_trip_and_skipped_entries(spark):
     cache = featurize.FeatureCache(spark, fresh_dir(spark, "cache"), "string", max_bytes=60)
     keys = frame(spark, [("a",), ("b",), ("a",), ("bad",), ("long" * 30,)], "k string")
     first = cache.get_or_compute(keys, "k", compute)
-    assert {r["k"]: r["value"] for r in first.features.collect()} == {"a": "aa", "b": "bb"}
+    assert {r["k"]: r["value"] for r in cache.attach(keys, "k", first.features).collect()} == {"a": "aa", "b": "bb"}
+    assert cache.attach(keys, "k", first.features).count() == 3
     assert {r["error"] for r in first.failed.collect()} == {"division by zero", "oversize entry"}
     assert first.counters.get == {"misses": 4, "failed": 2}
-    second = cache.get_or_compute(frame(spark, [("a",), ("c",)], "k string"), "k", compute)
-    assert [r["k"] for r in second.hits.collect()] == ["a"] and [r["k"] for r in second.misses.collect()] == ["c"]
-    assert {r["k"]: r["value"] for r in second.features.collect()} == {"a": "aa", "c": "cc"}
-    assert calls == [4, 1]
+    keys = frame(spark, [("a",), ("c",), ("bad",)], "k string")
+    second = cache.get_or_compute(keys, "k", compute)
+    assert second.hits.count() == 1 and second.misses.count() == 2
+    assert {r["k"]: r["value"] for r in cache.attach(keys, "k", second.features).collect()} == {"a": "aa", "c": "cc"}
+    assert second.failed.count() == 1 and cache.table().count() == 3
+    assert calls == [4, 2]
 
 
 # --- splits ---
