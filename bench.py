@@ -13,7 +13,7 @@ from pairspark.plans import catalog
 from pairspark.session import build_session
 
 HEADLINE = [
-    "screen_top_k", "score_pairs", "top_k_per_protein", "hydrate_pairs", "feature_cache", "read_fasta",
+    "screen_top_k", "screen_blocks", "score_pairs", "top_k_per_protein", "hydrate_pairs", "feature_cache", "read_fasta",
     "residue_features", "merge_overlaps", "percentile_rank", "error_metrics", "spearman", "concordance_index",
     "roc_auc_by_group", "evaluate", "contact_graph", "neighbor_aggregate", "segment_softmax", "soft_cluster_pool",
     "component_labels", "random_split", "group_split_many", "cold_split", "weighted_sample", "stream_top_k",

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.vectors import dot, sigmoid, softmax
-from .ordering import global_row_number, hash_running_totals
+from .ordering import global_row_number, hash_running_totals, running_totals
+from .windows import top_k
 
 
 @dataclass(frozen=True)
@@ -95,15 +97,19 @@ def screen_matrix(ligands: DataFrame, proteins: DataFrame, ligand_key: str, prot
         left = ligands.withColumn("__cell", F.lit(0))
         return left.join(F.broadcast(proteins.withColumn("__cell", F.lit(0))), "__cell").drop("__cell")
     n = slices or int(ligands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2, -(-size // broadcast_bytes))
+    left, right = _cells(ligands, proteins, ligand_key, protein_key, n, max(2, -(-size // broadcast_bytes)))
+    return left.join(right, ["__slice", "__block"]).drop("__slice", "__block")
+
 
+def _cells(ligands: DataFrame, proteins: DataFrame, ligand_key: str, protein_key: str,
+           slices: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Hash slices of the ligands and blocks of the proteins, each copied once per part of the other side."""
     def cut(df: DataFrame, key: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
         mine = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)))
         return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
-    left = cut(ligands, ligand_key, "__slice", n, "__block", blocks)
-    right = cut(proteins, protein_key, "__block", blocks, "__slice", n)
-    return left.join(right, ["__slice", "__block"]).drop("__slice", "__block")
+    return (cut(ligands, ligand_key, "__slice", slices, "__block", blocks),
+            cut(proteins, protein_key, "__block", blocks, "__slice", slices))
 
 
 @dataclass(frozen=True)
@@ -212,6 +218,64 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer], inputs: Seq
     return apply_heads(raw, keep, heads)
 
 
+BlockScorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+
+
+def screen_blocks(ligands: DataFrame, proteins: DataFrame, ligand_key: str, protein_key: str,
+                  make_scorer: Callable[[], BlockScorer], k: int, slice_rows: int = 100_000,
+                  block_bytes: int = BROADCAST_BYTES, matrix_cells: int = 4_000_000) -> DataFrame:
+    """Best ``k`` ligands per protein, scored block against block: ``protein, ligand, prediction``.
+
+    Pairs never become rows. A task gets one slice of the ligands and one block of the
+    proteins, the scorer returns their score matrix, and only the best ``k`` per protein
+    leave the task; equal scores are kept in order of the ligand key. Slices follow from the
+    counted ligands and blocks from the measured proteins, so a task's memory is bounded.
+    """
+    rows = ligands.count()
+    cores = ligands.sparkSession.sparkContext.defaultParallelism
+    slices = max(-(-rows // slice_rows), min(cores, -(-rows // 1000)), 1)
+    blocks = max(1, -(-measured_bytes(proteins) // block_bytes))
+    left, right = _cells(ligands, proteins, ligand_key, protein_key, slices, blocks)
+
+    def best(scored: pd.DataFrame) -> pd.DataFrame:
+        ordered = scored.sort_values(["prediction", ligand_key], ascending=[False, True], kind="stable")
+        return ordered.groupby(protein_key, sort=False).head(k)
+
+    def run(ligand_part: pd.DataFrame, protein_part: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({protein_key: protein_part[protein_key].iloc[:0], ligand_key: ligand_part[ligand_key].iloc[:0],
+                              "prediction": np.empty(0)})
+        if ligand_part.empty or protein_part.empty:
+            return empty
+        scorer, kept = make_scorer(), empty
+        step = max(1, matrix_cells // len(protein_part))
+        for start in range(0, len(ligand_part), step):
+            chunk = ligand_part.iloc[start:start + step]
+            scores = scorer(chunk, protein_part)
+            cut = max(0, len(chunk) - k)
+            floor = np.partition(scores, cut, axis=0)[cut]
+            i, j = np.nonzero(scores >= floor)
+            fresh = pd.DataFrame({protein_key: protein_part[protein_key].to_numpy()[j],
+                                  ligand_key: chunk[ligand_key].to_numpy()[i], "prediction": scores[i, j]})
+            kept = best(fresh if kept.empty else pd.concat([kept, fresh]))
+        return kept
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*ligands.schema.fields, *proteins.schema.fields]}
+    schema = f"`{protein_key}` {kinds[protein_key]}, `{ligand_key}` {kinds[ligand_key]}, prediction double"
+    cells = left.groupBy("__slice", "__block").cogroup(right.groupBy("__slice", "__block"))
+    return top_k(cells.applyInPandas(run, schema), [protein_key], "prediction", k, [ligand_key])
+
+
+def block_dot(left: str, right: str) -> Callable[[], BlockScorer]:
+    """Built-in block scorer: dot products of two vector columns as one matrix product."""
+    def make() -> BlockScorer:
+        def score(ligand_part: pd.DataFrame, protein_part: pd.DataFrame) -> np.ndarray:
+            a = np.stack(ligand_part[left].to_numpy()).astype("float64")
+            b = np.stack(protein_part[right].to_numpy()).astype("float64")
+            return a @ b.T
+        return score
+    return make
+
+
 def apply_heads(raw: DataFrame, keep: Sequence[str], heads: Heads, logit: str = "__logit",
                 logits: str = "__logits", regression: str = "__reg") -> DataFrame:
     """Activations per head. Class arrays come as antagonist, non-binder, agonist."""
@@ -250,8 +314,6 @@ def batch_offsets(graphs: DataFrame, key: str, sizes: dict[str, str], hashed: bo
     if hashed:
         marked = graphs.withColumn("__md5", F.md5(F.col(key).cast("string")))
         return hash_running_totals(marked, "__md5", totals).drop("__md5")
-    from .ordering import running_totals
-
     return running_totals(graphs, [key], totals)
 
 

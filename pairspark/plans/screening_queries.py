@@ -22,22 +22,42 @@ def _scored(spark, folder):
     return sc.score_dot(matrix, "ligand_vec", "protein_vec").select("protein_id", "smiles", "prediction")
 
 
-@query("screen_top_k", f"""
+TOP_FIVE_SQL = f"""
   WITH {SCREEN_SQL},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY prediction DESC, smiles) AS rank FROM scored)
   SELECT protein_id, smiles, round(prediction, 4) AS prediction, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5
-""")
+"""
+
+
+@query("screen_top_k", TOP_FIVE_SQL)
 def screen_top_k(spark, folder):
-    """The flagship: size check, cross, score, keep the best per protein, rank."""
+    """The flagship: size check, score block against block, keep the best per protein, rank."""
     proteins = centroids(spark, folder)
     ligands = ligand_vectors(spark, folder).select("smiles", "ligand_vec")
     sc.check_scale(proteins, ligands, top_k=5)
-    matrix = sc.screen_matrix(ligands, proteins, "smiles", "protein_id")
-    scored = sc.score_dot(matrix, "ligand_vec", "protein_vec").select("protein_id", "smiles", "prediction")
-    best = win.top_k(scored, ["protein_id"], "prediction", 5, ["smiles"])
+    best = sc.screen_blocks(ligands, proteins, "smiles", "protein_id", sc.block_dot("ligand_vec", "protein_vec"), 5)
+    return win.rank_output(best, rounded=False)
+
+
+@query("screen_top_k_rows", TOP_FIVE_SQL)
+def screen_top_k_rows(spark, folder):
+    """The same screen with a row per pair, as a scorer for single pairs needs it."""
+    best = win.top_k(_scored(spark, folder), ["protein_id"], "prediction", 5, ["smiles"])
     return win.rank_output(best, rounded=False)
 
 
+@query("screen_blocks", f"""
+  WITH {SCREEN_SQL},
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY prediction DESC, smiles) AS rank FROM scored)
+  SELECT protein_id, smiles, round(prediction, 4) AS prediction, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20
+""")
+def screen_blocks_query(spark, folder):
+    """The same screen by matrix blocks: pairs never become rows."""
+    ligands = ligand_vectors(spark, folder).select("smiles", "ligand_vec")
+    best = sc.screen_blocks(ligands, centroids(spark, folder), "smiles", "protein_id", sc.block_dot("ligand_vec", "protein_vec"), 20)
+    return best.withColumn("prediction", F.round("prediction", 4))
+
+
 @query("screen_matrix", f"""
   WITH {SCREEN_SQL} SELECT protein_id, count(*) AS pairs, round(avg(prediction), 6) + 0.0 AS mean FROM scored GROUP BY protein_id
 """)

@@ -343,3 +343,13 @@ def test_screen_matrix_ways_agree(spark):
     small = screening.screen_matrix(ligands, proteins, "smiles", "protein_id")
     large = screening.screen_matrix(ligands, proteins, "smiles", "protein_id", broadcast_bytes=20, slices=3)
     assert small.count() == large.count() == 210 and small.exceptAll(large).count() == 0
+
+
+def test_block_screen_equals_row_screen_with_ties(spark):
+    ligands = spark.range(500).selectExpr("id AS smiles", "array(CAST(id % 5 AS DOUBLE), 1.0D) AS lv")
+    proteins = spark.range(9).selectExpr("id AS protein_id", "array(CAST(id % 3 AS DOUBLE), 2.0D) AS pv")
+    rows = screening.score_dot(screening.screen_matrix(ligands, proteins, "smiles", "protein_id"), "lv", "pv")
+    expected = windows.top_k(rows.select("protein_id", "smiles", "prediction"), ["protein_id"], "prediction", 7, ["smiles"])
+    got = screening.screen_blocks(ligands, proteins, "smiles", "protein_id", screening.block_dot("lv", "pv"), 7,
+                                  slice_rows=60, block_bytes=200, matrix_cells=100)
+    assert got.count() == 63 and expected.exceptAll(got).count() == 0
