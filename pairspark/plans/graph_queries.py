@@ -136,14 +136,14 @@ SCALE_SQL = {"identity": "1", "amplification": "ln(deg + 1) / log", "attenuation
 
 
 @query("neighbor_aggregate", f"""
-  WITH m AS (SELECT l_partkey AS dst, l_extendedprice / 7 AS v FROM lineitem),
+  WITH m AS (SELECT l_partkey AS dst, sqrt(l_extendedprice) AS v FROM lineitem),
   a AS (SELECT dst, count(*) AS deg, avg(v) AS mean, min(v) AS min, max(v) AS max, stddev_pop(v) AS std FROM m GROUP BY dst),
   d AS (SELECT count(l_partkey) AS degree FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey), {AVG_SQL}
   SELECT dst, {", ".join(f"round({a} * ({f}), 4) AS {s}_{a}" for s, f in SCALE_SQL.items() for a in ("mean", "min", "max", "std"))} FROM a, avgs
 """)
 def neighbor_aggregate_query(spark, folder):
     lineitem = table(spark, folder, "lineitem", "l_partkey", "l_extendedprice")
-    messages = lineitem.select(F.col("l_partkey").alias("dst"), (F.col("l_extendedprice") / 7).alias("value"))
+    messages = lineitem.select(F.col("l_partkey").alias("dst"), F.sqrt("l_extendedprice").alias("value"))
     nodes = table(spark, folder, "part").select(F.lit(0).alias("g"), F.col("p_partkey").alias("node"))
     edges = lineitem.select(F.lit(0).alias("g"), F.lit(0).alias("src"), F.col("l_partkey").alias("dst"))
     averages = gr.average_degree(gr.degree_histogram(gr.in_degrees(edges, nodes)))

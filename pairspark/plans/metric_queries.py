@@ -112,7 +112,7 @@ def _binary(spark, folder):
 
 AUC_SQL = """
   r AS (SELECT {by} y, rank() OVER (PARTITION BY {part} ORDER BY p) + (count(*) OVER (PARTITION BY {part}, p) - 1) / 2.0 AS r FROM b),
-  auc AS (SELECT {by} round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6)::DOUBLE AS roc FROM r {group})
+  auc AS (SELECT {by} round(CASE WHEN sum(y) BETWEEN 1 AND count(*) - 1 THEN (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) END, 6)::DOUBLE AS roc FROM r {group})
 """
 
 
@@ -129,7 +129,7 @@ def roc_auc_by_group(spark, folder):
 AP_SQL = """
   t AS (SELECT {by} p, sum(y) AS pos, count(*) AS n FROM b GROUP BY {by} p),
   c AS (SELECT {by} pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM t WINDOW w AS ({partition} ORDER BY p DESC)),
-  ap AS (SELECT {by} round(sum(pos * tp::DOUBLE / seen) / sum(pos), 6) AS prc FROM c {group})
+  ap AS (SELECT {by} round(sum(pos * tp::DOUBLE / seen) / nullif(sum(pos), 0), 6) AS prc FROM c {group})
 """
 
 

@@ -85,7 +85,7 @@ def _values_sql() -> str:
   res AS (SELECT doc_id, unnest(string_split(translate(seq, 'UB', 'XX'), '')) AS aa FROM seqs WHERE seq <> '')
   SELECT doc_id, count(*) AS residues, CAST(sum(CASE WHEN res.aa = 'X' THEN 1 ELSE 0 END) AS BIGINT) AS unknown,
     {", ".join(f"CAST(sum({g}) AS BIGINT) AS {g}" for g in fv.RESIDUE_GROUPS)},
-    {", ".join(f"round(sum({p}), 3) AS {p}" for p in fv.RESIDUE_PROPERTIES)}
+    {", ".join(f"round(sum({p}), 5) AS {p}" for p in fv.RESIDUE_PROPERTIES)}
   FROM res JOIN props USING (aa) GROUP BY doc_id
 """)
 def residue_features_query(spark, folder):
@@ -93,7 +93,7 @@ def residue_features_query(spark, folder):
     seqs = sequences(spark, folder).select("doc_id", tx.clean_sequence(F.col("seq"), "basic").alias("seq")).where("seq <> ''")
     residues = seqs.select("doc_id", F.posexplode(F.split("seq", "")).alias("pos", "aa"))
     flags = [F.sum(c).alias(name) for c, name in zip(chem.residue_group_flags(F.col("aa")), fv.RESIDUE_GROUPS)]
-    properties = [F.round(F.sum(chem.residue_property(F.col("aa"), name)), 3).alias(name) for name in fv.RESIDUE_PROPERTIES]
+    properties = [F.round(F.sum(chem.residue_property(F.col("aa"), name)), 5).alias(name) for name in fv.RESIDUE_PROPERTIES]
     return residues.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("residues"), F.count_if(F.col("aa") == "X").alias("unknown"), *flags, *properties)
 
