@@ -163,32 +163,40 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
 # --- binary ----------------------------------------------------------------------------
 
 
-def _score_steps(df: DataFrame, by: Sequence[str], descending: bool, positive: Column) -> DataFrame:
-    """Distinct scores with positives, negatives and the running totals before them."""
+def binary_ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``roc`` and ``prc`` per group from one ordering of the distinct scores.
+
+    roc is the rank statistic with half credit for ties, NULL unless both classes occur.
+    prc sums recall steps times precision over distinct thresholds, best score first, NULL
+    without positives.
+    """
     by = list(by)
-    steps = df.groupBy(*by, "p").agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    if descending:
-        steps = steps.withColumn("p", -F.col("p"))
-    return running_totals(steps, ["p"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")}, by)
+    positive = F.col("y") == 1
+    steps = df.groupBy(*by, "p").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    steps = running_totals(steps, ["p"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")}, by)
+    keyed = [*by, "__all"]
+    sizes = df.withColumn("__all", F.lit(0)).groupBy(*keyed).agg(
+        F.count_if(positive).alias("all_pos"), F.count_if(~positive).alias("all_neg"))
+    steps = null_safe_join(steps.withColumn("__all", F.lit(0)), sizes, keyed, "inner")
+    pos, neg = F.col("pos"), F.col("neg")
+    # At a threshold everything at or above it counts: the totals minus what lies below.
+    hits = F.col("all_pos") - F.col("pos_before")
+    seen = hits + F.col("all_neg") - F.col("neg_before")
+    sums = steps.groupBy(*keyed).agg(
+        F.first("all_pos").cast("double").alias("all_pos"), F.first("all_neg").cast("double").alias("all_neg"),
+        F.sum(pos * (F.col("neg_before") + neg / 2)).alias("wins"), F.sum(pos * hits / seen).alias("area"))
+    both = F.col("all_pos") * F.col("all_neg")
+    return sums.select(
+        *by, F.when(both > 0, F.col("wins") / both).alias("roc"),
+        F.when(F.col("all_pos") > 0, F.col("area") / F.col("all_pos")).alias("prc"))
 
 
 def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rank statistic with half credit for ties; NULL unless both classes occur."""
-    steps = _score_steps(df, by, False, F.col("y") == 1)
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    both = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return steps.groupBy(*by).agg(F.when(both > 0, wins / both).alias("roc"))
+    return binary_ranking(df, by).drop("prc")
 
 
 def average_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of recall steps times precision over distinct thresholds, best score first."""
-    steps = _score_steps(df, by, True, F.col("y") == 1)
-    seen_pos = F.col("pos_before") + F.col("pos")
-    seen = seen_pos + F.col("neg_before") + F.col("neg")
-    area = F.sum(F.col("pos") * seen_pos / seen)
-    total = F.sum("pos")
-    return steps.groupBy(*by).agg(F.when(total > 0, area / total).alias("prc"))
+    return binary_ranking(df, by).drop("roc")
 
 
 def threshold_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -223,7 +231,7 @@ def multiclass_ranking(df: DataFrame, n_classes: int) -> DataFrame:
     """
     long = df.select("label", F.posexplode("probs").alias("cls", "p")).select(
         "cls", (F.col("label") == F.col("cls")).cast("double").alias("y"), F.col("p").cast("double").alias("p"))
-    per_class = roc_auc(long, ["cls"]).join(average_precision(long, ["cls"]), "cls")
+    per_class = binary_ranking(long, ["cls"])
     sums = per_class.agg(
         F.count("roc").alias("defined"), F.avg("roc").alias("roc"), F.avg("prc").alias("prc"))
     ok = F.col("defined") == n_classes
@@ -289,7 +297,7 @@ def regression_report(df: DataFrame) -> DataFrame:
 
 
 def binary_report(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    parts = [to_long(roc_auc(df), ["roc"]), to_long(average_precision(df), ["prc"]),
+    parts = [to_long(binary_ranking(df), ["roc", "prc"]),
              to_long(threshold_metrics(df, threshold), ["f1", "recall", "precision"])]
     return _union(parts)
 

@@ -28,13 +28,14 @@ def append_scores(scores: DataFrame, path: str, heads: Heads) -> None:
     round_scores(scores, heads).write.mode("append").option("header", True).csv(path)
 
 
-def write_interpretation(residues: DataFrame, path: str) -> None:
-    """Residue tables of the surviving pairs, one folder per protein and pair.
+def write_interpretation(rows: DataFrame, path: str) -> None:
+    """Explanation rows of the surviving pairs, one folder per protein and pair.
 
-    ``residues`` has ``protein_id`` and ``smiles`` next to the explanation columns. Rows of a
-    pair are brought together first so that a folder gets one file.
+    ``rows`` are residue, atom or fingerprint rows with ``protein_id`` and ``smiles`` next
+    to their own columns. Rows of a pair are brought together first so that a folder gets
+    one file.
     """
-    keyed = residues.withColumn("pair_id", pair_key(F.col("protein_id"), F.col("smiles"))).withColumn(
+    keyed = rows.withColumn("pair_id", pair_key(F.col("protein_id"), F.col("smiles"))).withColumn(
         "protein_id", safe_id(F.col("protein_id")))
     keyed.drop("smiles").repartition("protein_id", "pair_id").write.mode("overwrite").partitionBy(
         "protein_id", "pair_id").parquet(path)
