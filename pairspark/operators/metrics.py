@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.numeric import bce_with_logits, is_valid_class, missing
 from ..functions.vectors import argmax, log_sum_exp, softmax
+from ..session import checkpointed
 from .ordering import average_ranks, null_safe_join, running_totals, value_buckets
 
 REGRESSION = ["mse", "rmse", "mae", "sd", "pearson", "spearman", "rm2", "ci"]
@@ -122,7 +123,8 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     by = ["__all", *wanted]
     cells = df.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("w"))
     cells = value_buckets(cells, "y", "by_", by, buckets)
-    cells = value_buckets(cells, "p", "bp_", by, buckets)
+    # Written once: the counts below read it several times.
+    cells = checkpointed(df.sparkSession, value_buckets(cells, "p", "bp_", by, buckets))
     out = "below double, tied double"
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in by] + [out])
 
@@ -139,7 +141,7 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     coarse = cells.groupBy(*by, "bp_", "by_", "p").agg(F.sum("w").alias("w"))
     same_p = coarse.where("bp_ % 2 = 1").groupBy(*by, "bp_").applyInPandas(inside("by_", "p"), shape)
     # Histogram: at most (2 * buckets + 1)^2 cells per hot group, one for any other.
-    grid = cells.groupBy(*by, "bp_", "by_").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    grid = checkpointed(df.sparkSession, cells.groupBy(*by, "bp_", "by_").agg(F.sum(F.col("w").cast("double")).alias("w")))
     lower = Window.partitionBy(*by, "bp_").orderBy("by_").rowsBetween(Window.unboundedPreceding, -1)
     tied = grid.where("bp_ % 2 = 0").select(
         *by, F.lit(0.0).alias("below"), (F.col("w") * F.coalesce(F.sum("w").over(lower), F.lit(0.0))).alias("tied"))

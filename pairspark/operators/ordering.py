@@ -41,16 +41,25 @@ def _cut_points(value: Column, n: int) -> Column:
     return F.array_sort(F.array_distinct(F.percentile_approx(value, probabilities, F.lit(max(1000, 10 * n)))))
 
 
-def _place(cuts: Column, value: Column) -> Column:
-    """Bucket of a value: 2k at cut point k, 2k+1 strictly after it (k counted from 1)."""
-    coarse = F.transform(
+def _coarse(cuts: Column) -> Column:
+    """Every _STEP-th cut point, the upper level of the two-level lookup."""
+    return F.transform(
         F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / _STEP).cast("int")),
         lambda i: F.element_at(cuts, i * _STEP + 1),
     )
-    block = F.size(F.filter(coarse, lambda c: c <= value))
-    fine = F.slice(cuts, (F.greatest(block, F.lit(1)) - 1) * _STEP + 1, F.lit(_STEP))
-    k = (F.greatest(block, F.lit(1)) - 1) * _STEP + F.size(F.filter(fine, lambda c: c <= value))
-    return F.when(k == 0, F.lit(1)).when(F.get(cuts, k - 1) == value, 2 * k).otherwise(2 * k + 1).cast("int")
+
+
+def _place(df: DataFrame, cuts: Column, coarse: Column, value: Column, out: str) -> DataFrame:
+    """Add the bucket of a value: 2k at cut point k, 2k+1 strictly after it (k counted from 1).
+
+    The steps are columns of their own, so each lookup runs once per row.
+    """
+    df = df.withColumn("__skip", (F.greatest(F.size(F.filter(coarse, lambda c: c <= value)), F.lit(1)) - 1) * _STEP)
+    fine = F.slice(cuts, F.col("__skip") + 1, F.lit(_STEP))
+    df = df.withColumn("__k", F.col("__skip") + F.size(F.filter(fine, lambda c: c <= value)))
+    k = F.col("__k")
+    bucket = F.when(k == 0, F.lit(1)).when(F.get(cuts, k - 1) == value, 2 * k).otherwise(2 * k + 1).cast("int")
+    return df.withColumn(out, bucket).drop("__skip", "__k")
 
 
 def value_buckets(
@@ -79,7 +88,8 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
             return None
         cuts = df.agg(_cut_points(point, bucket_count(df, buckets, rows))).first()[0]
         # At most MAX_BUCKETS + 1 numbers, computed once, become a constant of the plan.
-        return df.withColumn(out, _place(F.lit(np.array(cuts)), point))
+        coarse = F.lit(np.array(cuts[::_STEP]))
+        return _place(df, F.lit(np.array(cuts)), coarse, point, out)
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     # The HOT_GROUPS largest groups at most; any group left out is smaller than 1/HOT_GROUPS of the rows.
@@ -93,10 +103,11 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
         .groupBy(*by)
         .agg(_cut_points(point, bucket_count(df, buckets, largest)).alias("__cuts"))
     )
-    hot_cuts = checkpointed(df.sparkSession, hot_cuts)
+    hot_cuts = checkpointed(df.sparkSession, hot_cuts.withColumn("__coarse", _coarse(F.col("__cuts"))))
     joined = null_safe_join(df, F.broadcast(hot_cuts), by, "left")
-    bucket = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(_place(F.col("__cuts"), point))
-    return joined.withColumn(out, bucket).drop("__cuts")
+    placed = _place(joined, F.col("__cuts"), F.col("__coarse"), point, out)
+    whole = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(F.col(out))
+    return placed.withColumn(out, whole).drop("__cuts", "__coarse")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

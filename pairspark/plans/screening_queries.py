@@ -58,6 +58,20 @@ def screen_blocks_query(spark, folder):
     return best.withColumn("prediction", F.round("prediction", 4))
 
 
+@query("screen_vectors", """
+  WITH s AS (SELECT a.vec_id AS protein_id, b.vec_id AS smiles, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS prediction
+             FROM embeddings a, embeddings b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY protein_id ORDER BY prediction DESC, smiles) AS rank FROM s)
+  SELECT protein_id, smiles, round(prediction, 4) AS prediction, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def screen_vectors(spark, folder):
+    """Every vector as a protein against every vector as a ligand."""
+    ligands = ligand_vectors(spark, folder).select("smiles", "ligand_vec")
+    proteins = ligands.select(F.col("smiles").alias("protein_id"), F.col("ligand_vec").alias("protein_vec"))
+    best = sc.screen_blocks(ligands, proteins, "smiles", "protein_id", sc.block_dot("ligand_vec", "protein_vec"), 5)
+    return best.withColumn("prediction", F.round("prediction", 4))
+
+
 @query("screen_matrix", f"""
   WITH {SCREEN_SQL} SELECT protein_id, count(*) AS pairs, round(avg(prediction), 6) + 0.0 AS mean FROM scored GROUP BY protein_id
 """)

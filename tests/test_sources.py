@@ -1,4 +1,5 @@
 import io
+import random
 import tarfile
 
 import pytest
@@ -156,3 +157,16 @@ def test_pdbqt_lines_are_cut(spark, tmp_path):
     line = "HETATM    1  C1  LIG A   1       1.000   2.000   3.000  1.00 20.00     0.123 OA\n"
     atoms, _ = structures.read_ligand_files(spark, write(tmp_path / "a.pdbqt", line))
     assert [tuple(r)[1:] for r in atoms.collect()] == [(1, "C", 1.0, 2.0, 3.0)]
+
+
+def test_fasta_split_inside_records(spark, tmp_path):
+    """Small splits cut the file anywhere; every record is read once, in file order."""
+    rng = random.Random(3)
+    records = [(f"P{i % 150}", "".join(rng.choices("ACDEFGHIKL", k=rng.randint(0, 200)))) for i in range(300)]
+    text = "stray\n" + "".join(f">{name} x\n{seq[:80]}\n{seq[80:]}\n" for name, seq in records)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert fasta(spark, tmp_path, text) == dict(records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
