@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pairspark.operators.featurize import FeatureCache, featurize_sql
 from pairspark.plans import catalog
 from pairspark.plans.views import lines
-from pairspark.session import build_session, fresh_dir
+from pairspark.session import build_session, checkpointed, fresh_dir, spread
 
 HEADLINE = [
     "screen_top_k", "screen_vectors", "score_pairs", "top_k_per_protein", "hydrate_pairs", "feature_cache", "read_fasta",
@@ -52,7 +52,7 @@ def main() -> None:
 
 def cache_hits(spark, folder: str) -> tuple[float, int]:
     """Seconds to serve features of all line keys from a filled cache, and their number."""
-    keys = lines(spark, folder).select("line_key")
+    keys = checkpointed(spark, spread(lines(spark, folder).select("line_key")))
     cache = FeatureCache(spark, fresh_dir(spark, "bench-cache"), "int")
 
     def lengths(missing):

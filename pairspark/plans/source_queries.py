@@ -14,7 +14,7 @@ from ..operators.featurize import FeatureCache, count_stages, featurize_sql, qua
 from ..operators.screening import Heads, score_dot, screen_matrix
 from ..operators.structure import annotate_structure, extract_sequence, residues
 from ..operators.windows import top_k
-from ..session import fresh_dir
+from ..session import fresh_dir, spread
 from ..sources import files, sinks, structures
 from .registry import query, table
 from .views import SCREEN_SQL, centroids, ligand_vectors
@@ -25,7 +25,7 @@ from .views import SCREEN_SQL, centroids, ligand_vectors
   FROM (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents)
 """)
 def read_fasta(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "lang", "text")
+    docs = spread(table(spark, folder, "documents", "doc_id", "lang", "text"))
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
     wrapped = F.regexp_replace(letters, "(.{60})", "$1\n")
     path = fresh_dir(spark, "fasta")
