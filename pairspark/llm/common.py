@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir
 
-#: Words of all contracts here: runs without the six ASCII white-space characters.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -27,16 +23,30 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of text that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands texts to Python in small batches, since some are very long.
+
+    A batch of whole texts and what is made of it should stay far below a worker's memory; a
+    session that asks for still smaller batches keeps them.
+    """
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, f"{BATCH_BYTES}b")
+    return df
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % folds
 
 
-def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, null texts as empty ones; all other columns stay out of the way."""
-    return docs.select(*[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) if n == "text" else F.col(n) for n in names])
-
-
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, over all its tasks.
 

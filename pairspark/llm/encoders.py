@@ -13,8 +13,8 @@ from __future__ import annotations
 
 from .common import worker_cache
 
-#: Most entries of a worker's cache, and the longest piece (bytes) it keeps: some 150 MB at most.
-CACHE_ENTRIES = 600_000
+#: Most entries of a worker's cache, and the longest piece (bytes) it keeps: some 80 MB at most.
+CACHE_ENTRIES = 300_000
 CACHE_PIECE = 64
 
 

@@ -8,11 +8,10 @@ the sample is kept out of the fit and sets the temperature of the probabilities.
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored, worker_cache
+from .common import fold_of, small_batches, stored, worker_cache
 
 FOLDS, HELD_OUT = 4, 2
 ORDERS, BUCKET_BITS = (1, 2, 3), 15
@@ -141,7 +140,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """
     import numpy as np
 
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = small_batches(docs).select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     learn = rows.where((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
     per_lang = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
     langs = sorted(per_lang)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored, text_bytes, worker_cache
+from .common import fold_of, small_batches, stored, text_bytes, worker_cache
 
 #: Bytes of text in a block; with its words a block takes some 300 MB in its worker at most.
 BLOCK_BYTES = 32 << 20
@@ -91,7 +91,7 @@ def block_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if n:
             yield from flush(next(blocks), list(index), held, doc_ids, n, pairs)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
     return rows.mapInArrow(run, "block long, idx long, word binary, c long, doc_id long, held_out boolean, n long, ids binary, counts binary")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import small_batches, worker_cache
 
 GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.8
 
@@ -164,5 +164,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, template string, coverage double, first_word long, end_word long")

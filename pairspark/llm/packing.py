@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import small_batches, stored, text_bytes
 from .encoders import piece_cache
 
 SEQUENCE, END_ID = 4096, 2
@@ -43,7 +43,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
                 [pa.array(np.full(len(n), part), pa.int64()), pa.array(before), batch.column(0), pa.array(n), pa.array(ids, pa.binary())],
                 names=["part", "local", "doc_id", "n", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "part long, local long, doc_id long, n long, ids binary")
 
 

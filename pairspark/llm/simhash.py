@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, stored, text_bytes
+from .common import by_batch, small_batches, stored, text_bytes
 from .linking import component_roots
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fps = [simhash(raw) for raw in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "digest", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest(F.col("text")).alias("digest"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest(F.col("text")).alias("digest"))
     return rows.mapInArrow(by_batch(run), "doc_id long, digest string, fp long")
 
 

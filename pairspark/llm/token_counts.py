@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, text_bytes
+from .common import by_batch, small_batches, text_bytes
 from .encoders import library, piece_cache
 
 #: Texts of more characters are encoded in overlapping chunks of about ``CHUNK`` characters.
@@ -102,5 +102,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, huge: int = HUGE
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array([n > limit for n in out], pa.bool_())],
             names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(by_batch(counts), SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import stored, worker_cache
+from .common import small_batches, stored, worker_cache
 
 BAD, GOOD, ABSTAIN = 1, 2, 0
 LABELLERS = ("symbols", "tables", "repeats", "function words", "lines", "length", "variety")
@@ -131,7 +131,7 @@ def train(docs: DataFrame, sample: int = SAMPLE):
     import numpy as np
 
     size = 1 << BUCKET_BITS
-    marked = docs.select(F.col("text").cast("string").alias("text")).withColumn("pattern", vote_pattern("text"))
+    marked = small_batches(docs).select(F.col("text").cast("string").alias("text")).withColumn("pattern", vote_pattern("text"))
     patterns = {r["pattern"]: r["count"] for r in marked.groupBy("pattern").count().collect()}
     posterior, accuracies = fit_labellers(patterns)
     if not patterns:
