@@ -67,8 +67,6 @@ WINDOW_LENGTH = 700
 WINDOW_STRIDE = 350
 
 # Limits of a screening run.
-MAX_PAIRS_WITHOUT_TOP_K = 10_000_000
-MAX_UNCACHED_LIGANDS = 50_000
 FEATURIZE_CHUNK = 2_000
 
 # Shifted label meaning "binder, effect unknown"; score of an undefined metric.

@@ -11,10 +11,14 @@ from . import fixed_values as fv
 
 _BINS = " ".join(f"WHEN n <= {upper} THEN '{name}'" for upper, name, _ in fv.LENGTH_BINS)
 
+# An id that is no usable path component ends the query, as the column function does.
+_RESERVED = r"""regexp_replace({raw}, '[/\\\\:*?"<>|]', '_')"""
+_SAFE = (f"CASE WHEN {_RESERVED} LIKE '%..%' OR replace({_RESERVED}, '.', '') = '' "
+         f"THEN CAST(raise_error(concat('unsafe id: ', {{raw}})) AS STRING) ELSE {_RESERVED} END")
+
 FUNCTIONS = {
-    "safe_id": ("raw STRING", "STRING", r"""regexp_replace(raw, '[/\\\\:*?"<>|]', '_')"""),
-    "pair_key": ("protein STRING, ligand STRING", "STRING",
-                 r"""concat(regexp_replace(protein, '[/\\\\:*?"<>|]', '_'), '__', sha2(ligand, 256))"""),
+    "safe_id": ("raw STRING", "STRING", _SAFE.format(raw="raw")),
+    "pair_key": ("protein STRING, ligand STRING", "STRING", f"concat({_SAFE.format(raw='protein')}, '__', sha2(ligand, 256))"),
     "clean_sequence": ("seq STRING", "STRING", f"regexp_replace(seq, '[^{fv.STANDARD_RESIDUES}]', 'X')"),
     "length_bin": ("n BIGINT", "STRING", f"CASE {_BINS} ELSE '{fv.LONG_BIN[0]}' END"),
     "sigmoid": ("x DOUBLE", "DOUBLE", "1 / (1 + exp(-x))"),

@@ -19,8 +19,8 @@ def hash_hex(key: Column, seed: int | str) -> Column:
 
 
 def hash_uniform(key: Column, seed: int | str) -> Column:
-    """Uniform number in [0, 1) from the first 32 bits of the seeded md5."""
-    return F.conv(F.substring(hash_hex(key, seed), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform number in [0, 1) from the first 52 bits of the seeded md5, exact in a double."""
+    return F.conv(F.substring(hash_hex(key, seed), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def is_safe_id(raw: Column) -> Column:

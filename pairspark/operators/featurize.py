@@ -51,13 +51,18 @@ def quarantine(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return results.where("error IS NULL").drop("error"), results.where("error IS NOT NULL").drop("value")
 
 
-def canonicalize(strings: DataFrame, key: str, fn: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``key, canonical`` and the keys without a canonical form. Default: trimmed lower case."""
+def canonicalize(strings: DataFrame, key: str, fn: Callable[[str], str | None] | None = None,
+                 save: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``key, canonical`` and the keys without a canonical form. Default: trimmed lower case.
+
+    Both tables come from one mapping; ``save`` stores it, so that ``fn`` runs once per key.
+    """
     if fn is None:
         form = F.lower(F.trim(F.col(key)))
         mapped = strings.select(key).distinct().select(key, F.when(form != "", form).alias("canonical"))
     else:
         mapped = featurize(strings, key, fn, "string").select(key, F.col("value").alias("canonical"))
+    mapped = mapped if save is None else save(mapped)
     return mapped.where("canonical IS NOT NULL"), mapped.where("canonical IS NULL").select(key)
 
 

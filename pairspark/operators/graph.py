@@ -110,7 +110,8 @@ def degree_histogram(degrees: DataFrame, times: DataFrame | None = None) -> Data
     if times is not None:
         degrees, weight = degrees.join(times, "g"), F.col("times")
     counted = degrees.groupBy("degree").agg(F.sum(weight).alias("cnt"))
-    axis = degrees.agg(F.max("degree").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("degree"))
+    most = degrees.agg(F.max("degree")).first()[0]
+    axis = degrees.sparkSession.range(0 if most is None else most + 1).withColumnRenamed("id", "degree")
     return axis.join(counted, "degree", "left").select("degree", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
@@ -169,10 +170,15 @@ def segment_softmax(df: DataFrame, by: Sequence[str], value: str, out: str) -> D
 
 def pool_vectors(df: DataFrame, by: Sequence[str], vector: str, width: int, weight: Column | None = None,
                  mean: bool = False, out: str = "pooled") -> DataFrame:
-    """Weighted sum (or mean) of vectors per group; one aggregate per component, map-side combined."""
+    """Weighted sum (or mean) of vectors per group; one aggregate per component, map-side combined.
+
+    Null vectors add nothing; a vector of another length than ``width`` ends the query.
+    """
     w = F.lit(1.0) if weight is None else weight.cast("double")
     fold = F.avg if mean else F.sum
-    parts = [fold(F.get(vector, F.lit(i)).cast("double") * w).alias(f"__{i}") for i in range(width)]
+    fits = F.col(vector).isNull() | (F.size(vector) == width)
+    wrong = F.raise_error(F.concat(F.lit(f"vector length is not {width}: "), F.size(vector).cast("string"))).cast("double")
+    parts = [fold(F.when(fits, F.get(vector, F.lit(i)).cast("double")).otherwise(wrong) * w).alias(f"__{i}") for i in range(width)]
     return df.groupBy(*by).agg(*parts).select(*by, F.array(*[F.col(f"__{i}") for i in range(width)]).alias(out))
 
 

@@ -146,8 +146,8 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     tied = grid.where("bp_ % 2 = 0").select(
         *by, F.lit(0.0).alias("below"), (F.col("w") * F.coalesce(F.sum("w").over(lower), F.lit(0.0))).alias("tied"))
     # Running weight along y inside each p-bucket, then summed over all lower p-buckets.
-    top = F.max("bp_").over(Window.partitionBy(*by))
-    lattice = grid.select(*by, "by_", top.alias("top")).distinct().select(
+    tops = grid.groupBy(*by).agg(F.max("bp_").alias("top"))
+    lattice = null_safe_join(grid.select(*by, "by_").distinct(), tops, by, "inner").select(
         *by, "by_", F.explode(F.sequence(F.lit(1), "top")).alias("bp_"))
     dense = null_safe_join(lattice, grid, [*by, "bp_", "by_"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     dense = dense.withColumn("col", F.coalesce(F.sum("w").over(lower), F.lit(0.0)))
@@ -180,7 +180,8 @@ def binary_ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sizes = df.withColumn("__all", F.lit(0)).groupBy(*keyed).agg(
         F.count_if(positive).alias("all_pos"), F.count_if(~positive).alias("all_neg"))
     steps = null_safe_join(steps.withColumn("__all", F.lit(0)), sizes, keyed, "inner")
-    pos, neg = F.col("pos"), F.col("neg")
+    # Products of counts leave the range of a long on large inputs.
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # At a threshold everything at or above it counts: the totals minus what lies below.
     hits = F.col("all_pos") - F.col("pos_before")
     seen = hits + F.col("all_neg") - F.col("neg_before")
@@ -356,11 +357,15 @@ def element_score_check(left: DataFrame, right: DataFrame, digits: int = 2) -> D
 
     def sets(df: DataFrame, name: str) -> DataFrame:
         distinct = df.select(F.upper("symbol").alias("symbol"), F.round("score", digits).alias("score")).distinct()
-        # Scores are rounded display values, so a set has at most 10^digits members.
-        return distinct.groupBy("symbol").agg(F.array_sort(F.collect_list("score")).alias(name))
-
-    joined = sets(left, "left_scores").join(sets(right, "right_scores"), "symbol", "full")
-    return joined.where(~F.col("left_scores").eqNullSafe(F.col("right_scores")))
+        return distinct.withColumn(name, F.lit(True))
+
+    # Sets are compared member by member; only those of differing symbols are listed.
+    members = sets(left, "in_left").join(sets(right, "in_right"), ["symbol", "score"], "full")
+    odd = members.groupBy("symbol").agg(F.count("in_left").alias("l"), F.count("in_right").alias("r"), F.count(F.lit(1)).alias("n"))
+    odd = odd.where("l < n OR r < n").select("symbol", "l", "r")
+    listed = members.join(odd, "symbol").groupBy("symbol", "l", "r").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col(f"in_{side}"), F.col("score")))).alias(f"{side}_values") for side in ("left", "right")])
+    return listed.select("symbol", *[F.when(F.col(n) > 0, F.col(f"{side}_values")).alias(f"{side}_scores") for n, side in (("l", "left"), ("r", "right"))])
 
 
 def selectivity_profile(scores: DataFrame, targets: Sequence[str], ligand: str = "ligand", target: str = "target",

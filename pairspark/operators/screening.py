@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv
 from ..functions.vectors import dot, sigmoid, softmax
 from .ordering import global_row_number, hash_running_totals, running_totals
 from .windows import top_k
@@ -123,17 +122,20 @@ class ScreenSize:
 
 
 def check_scale(proteins: DataFrame, ligands: DataFrame, top_k: int | None = None, interpret: bool = False,
-                cached: bool = True, max_pairs: int = fv.MAX_PAIRS_WITHOUT_TOP_K,
-                max_uncached: int = fv.MAX_UNCACHED_LIGANDS) -> ScreenSize:
-    """Count both sides before the plan is built and refuse runs that need top-K or a cache."""
+                cached: bool = True, max_pairs: int | None = None,
+                max_uncached: int | None = None) -> ScreenSize:
+    """Count both sides before the plan is built; refuse what is over the limits that are given.
+
+    Usual limits are 10,000,000 pairs without a top-K and 50,000 ligands without a cache.
+    """
     if interpret and top_k is None:
         raise ValueError("interpretation needs a top-K")
     size = ScreenSize(proteins.count(), ligands.count())
     if size.proteins == 0 or size.ligands == 0:
         raise ValueError("nothing to screen: no proteins or no ligands")
-    if top_k is None and size.pairs > max_pairs:
+    if top_k is None and max_pairs is not None and size.pairs > max_pairs:
         raise ValueError(f"{size.pairs} pairs exceed {max_pairs}; use a top-K")
-    if not cached and size.ligands > max_uncached:
+    if not cached and max_uncached is not None and size.ligands > max_uncached:
         raise ValueError(f"{size.ligands} ligands exceed {max_uncached} without a cache")
     return size
 
@@ -250,10 +252,12 @@ def screen_blocks(ligands: DataFrame, proteins: DataFrame, ligand_key: str, prot
         step = max(1, matrix_cells // len(protein_part))
         for start in range(0, len(ligand_part), step):
             chunk = ligand_part.iloc[start:start + step]
-            scores = scorer(chunk, protein_part)
+            scores = np.asarray(scorer(chunk, protein_part), dtype=float)
+            # A missing score never takes a place.
+            scores = np.where(np.isnan(scores), -np.inf, scores)
             cut = max(0, len(chunk) - k)
             floor = np.partition(scores, cut, axis=0)[cut]
-            i, j = np.nonzero(scores >= floor)
+            i, j = np.nonzero((scores >= floor) & (scores > -np.inf))
             fresh = pd.DataFrame({protein_key: protein_part[protein_key].to_numpy()[j],
                                   ligand_key: chunk[ligand_key].to_numpy()[i], "prediction": scores[i, j]})
             kept = best(fresh if kept.empty else pd.concat([kept, fresh]))

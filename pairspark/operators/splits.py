@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.text import hash_hex, hash_uniform
 from .ordering import HOT_ROWS, bucket_count, hash_running_totals, null_safe_join, smallest_hash_cut
@@ -183,10 +184,13 @@ def split_ratio_check(df: DataFrame) -> DataFrame:
 
 
 def temporal_split(df: DataFrame, date: str, cutoff_year: int, key: str, valid_fraction: float, seed: int) -> DataFrame:
-    """Rows from the cutoff year on are test; the earlier ones are drawn into train and valid."""
+    """Rows from the cutoff year on are test; the earlier ones are drawn into train and valid.
+
+    Rows without a date can't be placed in time and are labelled ``undated``.
+    """
     early = df.where(F.year(date) < cutoff_year)
     cut = _cut(early, key, valid_fraction, seed)
-    label = (F.when(F.year(date) >= cutoff_year, "test")
+    label = (F.when(F.col(date).isNull(), "undated").when(F.year(date) >= cutoff_year, "test")
              .when(hash_hex(F.col(key), seed) <= cut, "valid").otherwise("train"))
     return df.withColumn("split", label)
 
@@ -255,11 +259,19 @@ def weighted_sample(df: DataFrame, key: str, weight: str, seed: int, n: int | No
                     cells: int | None = None) -> DataFrame:
     """Draw with replacement, p = weight / sum: ``draw`` (0-based) and the drawn ``key``.
 
-    ``weight`` is a non-negative integer column (scale it before). Rows get cumulative
+    Whole-number weights are taken as they are; fractional ones are scaled by a power of two, so
+    that their sum fills 52 bits, and cut to whole units (one at least for a positive weight).
+    Weights that are null, not finite or not positive are never drawn. Rows get cumulative
     weight intervals in hashed order. Hashed points and intervals meet in equal cells of the
     weight axis: a heavy row spans many cells, so its draws spread over many tasks.
     """
-    positive = df.where(F.col(weight) > 0).select(F.col(key).alias("__key"), F.col(weight).cast("long").alias("__w"))
+    positive = df.where(F.col(weight) > 0).select(F.col(key).alias("__key"), F.col(weight).alias("__w"))
+    if not isinstance(df.schema[weight].dataType, IntegralType):
+        positive = positive.withColumn("__w", F.col("__w").cast("double")).where("__w < double('infinity')")
+        share = positive.agg(F.sum("__w")).first()[0]
+        scale = 2.0 ** math.floor(52 - math.log2(share)) if share else 1.0
+        positive = positive.withColumn("__w", F.greatest(F.lit(1).cast("long"), F.floor(F.col("__w") * F.lit(scale))))
+    positive = positive.withColumn("__w", F.col("__w").cast("long"))
     positive = positive.withColumn("__h", hash_hex(F.col("__key"), seed))
     placed = hash_running_totals(positive, "__h", {"lo": F.col("__w")}, prefix=4)
     placed = placed.withColumn("hi", F.col("lo") + F.col("__w"))

@@ -16,11 +16,12 @@ from .ordering import global_row_number
 def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, tie: Sequence[str], rank: str = "rank") -> DataFrame:
     """Best ``k`` rows per group: score descending, then the tie columns ascending.
 
-    The rank filter is planned as a group limit on both sides of the shuffle, so a map
+    A null or NaN score never takes a place. The rank filter is planned as a group limit on both sides of the shuffle, so a map
     task ships at most ``k`` rows per group however large the group is.
     """
     window = Window.partitionBy(*by).orderBy(F.col(score).desc(), *[F.col(c).asc() for c in tie])
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    scored = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    return scored.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
 def minmax_per_group(df: DataFrame, by: Sequence[str], value: str, out: str, zero_span: str = "zero") -> DataFrame:

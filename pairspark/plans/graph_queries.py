@@ -214,7 +214,7 @@ def group_attention_query(spark, folder):
 
 
 @query("propagate", """
-  WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_discount > 0.07),
+  WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem),
   pairs AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e),
   n AS (SELECT DISTINCT src AS node, CAST(src % 10 AS DOUBLE) AS value FROM pairs),
   l AS (SELECT * FROM pairs UNION ALL SELECT node, node FROM n), d AS (SELECT dst AS node, count(*) AS d FROM l GROUP BY 1),
@@ -225,7 +225,7 @@ def group_attention_query(spark, folder):
   SELECT node, round(h2.value, 6) AS plain, round(a2.value, 6) AS mixed FROM h2 JOIN a2 USING (node)
 """)
 def propagate_query(spark, folder):
-    e = table(spark, folder, "lineitem").where("l_discount > 0.07").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
+    e = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
     edges = gr.mirrored(e.withColumn("g", F.lit(0))).select("src", "dst")
     start = edges.select(F.col("src").alias("node")).distinct().withColumn("value", (F.col("node") % 10).cast("double"))
     plain = gr.propagate(edges, start, 2).select("node", F.round("value", 6).alias("plain"))

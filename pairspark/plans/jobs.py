@@ -16,6 +16,7 @@ from ..operators import screening as sc
 from ..operators import splits
 from ..operators.featurize import FeatureCache, canonicalize, featurize
 from ..operators.windows import minmax_per_group, percentile_rank, top_k
+from ..session import checkpointed
 from ..sources.files import read_fasta, read_smiles_auto
 from ..sources.sinks import write_interpretation, write_scores
 
@@ -44,14 +45,15 @@ class Screening:
     explain: Callable[[DataFrame], DataFrame] | None = None
     interpretation: str | None = None
     batch_size: int = 128
-    max_pairs: int = 10_000_000
+    max_pairs: int | None = None
 
 
 def run_screening(spark: SparkSession, job: Screening) -> dict[str, int]:
     """Read, canonicalize, featurize through the caches, score, rank and write. Returns the counters."""
     proteins = read_fasta(spark, job.fasta)
     ligands = read_smiles_auto(spark, job.ligands).select("smiles")
-    aliases, unparsed = canonicalize(ligands, "smiles", job.canonical)
+    # Forms and scores are the costly steps: each is made once and stored.
+    aliases, unparsed = canonicalize(ligands, "smiles", job.canonical, lambda df: checkpointed(spark, df))
     size = sc.check_scale(proteins, aliases, job.top_k, job.interpretation is not None, max_pairs=job.max_pairs)
 
     def features(name: str, keys: DataFrame, key: str, fn: Callable[[str], object]):
@@ -70,6 +72,7 @@ def run_screening(spark: SparkSession, job: Screening) -> dict[str, int]:
     matrix = sc.screen_matrix(scorable, targets.drop("sequence"), "canonical", "protein_id")
     scored = sc.score_pairs(matrix, job.make_scorer, ["protein_feature", "ligand_feature"],
                             ["protein_id", "canonical", "protein_length"], job.heads, job.batch_size)
+    scored = checkpointed(spark, scored)
     if job.top_k is not None:
         # The k best originals lie among the k best forms; ties go by the canonical form, then the original.
         scored = top_k(scored, ["protein_id"], "prediction", job.top_k, ["canonical"]).drop("rank")

@@ -279,13 +279,13 @@ def best_checkpoint_query(spark, folder):
 
 
 @query("element_score_check", """
-  WITH a AS (SELECT upper(p_type) AS symbol, list_sort(list(DISTINCT round(p_size / 50.0, 2))) AS s FROM part WHERE p_size <= 25 OR p_type = 'LARGE' GROUP BY 1),
+  WITH a AS (SELECT upper(p_type) AS symbol, list_sort(list(DISTINCT round(p_size / 50.0, 2))) AS s FROM part GROUP BY 1),
        b AS (SELECT upper(p_type) AS symbol, list_sort(list(DISTINCT round(p_size / 50.0, 2))) AS s FROM part WHERE p_size <= 25 OR p_type <> 'LARGE' GROUP BY 1)
   SELECT symbol, len(a.s) AS n_left, len(b.s) AS n_right FROM a FULL JOIN b USING (symbol) WHERE a.s IS DISTINCT FROM b.s
 """)
 def element_score_check_query(spark, folder):
     part = table(spark, folder, "part").select(F.col("p_type").alias("symbol"), (F.col("p_size") / 50).alias("score"), "p_size", "p_type")
-    checked = m.element_score_check(part.where("p_size <= 25 OR p_type = 'LARGE'"), part.where("p_size <= 25 OR p_type <> 'LARGE'"))
+    checked = m.element_score_check(part, part.where("p_size <= 25 OR p_type <> 'LARGE'"))
     return checked.select("symbol", F.size("left_scores").cast("long").alias("n_left"), F.size("right_scores").cast("long").alias("n_right"))
 
 

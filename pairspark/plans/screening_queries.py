@@ -376,7 +376,7 @@ def residue_table_query(spark, folder):
   m AS (SELECT ligand, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM a GROUP BY 1)
   SELECT ligand, CAST(idx AS INTEGER) AS idx, (['C','N','O','S'])[l_partkey % 4 + 1] AS symbol,
          round(CASE WHEN hi = lo THEN 0 ELSE (l_extendedprice - lo) / (hi - lo) END, 6) AS atom_score, 'accepted' AS state
-  FROM a JOIN m USING (ligand) WHERE ligand % 10 <> 0
+  FROM a JOIN m USING (ligand) WHERE ligand % 10 <> 0 OR ligand NOT IN (SELECT ligand FROM a WHERE l_partkey % 4 <> 3)
   UNION ALL SELECT DISTINCT ligand, NULL, NULL, NULL, 'rejected' FROM a WHERE ligand % 10 = 0 AND l_partkey % 4 <> 3
 """)
 def atom_table_query(spark, folder):
@@ -395,8 +395,7 @@ def atom_table_query(spark, folder):
     good = accepted.select("ligand", "idx", "symbol", F.round("atom_score", 6).alias("atom_score"), F.lit("accepted").alias("state"))
     bad = rejected.select("ligand", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("symbol"),
                           F.lit(None).cast("double").alias("atom_score"), F.lit("rejected").alias("state"))
-    kept = good.where("ligand % 10 <> 0")
-    return kept.unionByName(bad)
+    return good.unionByName(bad)
 
 
 @query("rank_output", f"""

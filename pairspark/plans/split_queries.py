@@ -139,12 +139,12 @@ def complement_query(spark, folder):
 
 
 @query("entity_union", """
-  SELECT l_partkey AS entity FROM lineitem WHERE l_linenumber = 1 UNION SELECT l_partkey FROM lineitem WHERE l_quantity > 40 UNION SELECT p_partkey FROM part WHERE p_size < 10
+  SELECT l_partkey AS entity FROM lineitem UNION SELECT p_partkey FROM part
 """)
 def entity_union_query(spark, folder):
     lineitem = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "entity")
-    part = table(spark, folder, "part").where("p_size < 10").withColumnRenamed("p_partkey", "entity")
-    return sp.entity_union([lineitem.where("l_linenumber = 1"), lineitem.where("l_quantity > 40"), part], "entity")
+    part = table(spark, folder, "part").withColumnRenamed("p_partkey", "entity")
+    return sp.entity_union([lineitem.where("l_linenumber % 2 = 1"), lineitem.where("l_linenumber % 2 = 0"), part], "entity")
 
 
 @query("class_balance_weights", """
@@ -176,7 +176,7 @@ def interaction_weights_query(spark, folder):
   WITH r AS (SELECT {line_key()} AS line_key, CAST(round(l_extendedprice * 100) AS BIGINT) AS w FROM lineitem),
   c AS (SELECT line_key, w, CAST(sum(w) OVER (ORDER BY md5('5:' || line_key)) - w AS BIGINT) AS lo FROM r WHERE w > 0),
   t AS (SELECT sum(w)::DOUBLE AS total, count(*) AS n FROM r),
-  p AS (SELECT j AS draw, CAST(floor(('0x' || substr(md5('5:point:' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * total) AS BIGINT) AS x
+  p AS (SELECT j AS draw, CAST(floor(('0x' || substr(md5('5:point:' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * total) AS BIGINT) AS x
         FROM t, range(0, (SELECT count(*) FROM lineitem)) d(j))
   SELECT draw, line_key FROM p ASOF JOIN c ON p.x >= c.lo
 """)
@@ -185,7 +185,23 @@ def weighted_sample_query(spark, folder):
     return sp.weighted_sample(rows, "line_key", "w", 5)
 
 
-UNIFORM_SQL = "('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+@query("weighted_sample_float", """
+  WITH r AS (SELECT doc_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY lang) AS w FROM documents),
+  k AS (SELECT pow(2, floor(52 - log2(sum(w)))) AS scale FROM r),
+  u AS (SELECT doc_id, greatest(1, CAST(floor(w * scale) AS BIGINT)) AS w FROM r, k),
+  c AS (SELECT doc_id, CAST(sum(w) OVER (ORDER BY md5('6:' || doc_id)) - w AS BIGINT) AS lo FROM u),
+  t AS (SELECT sum(w)::DOUBLE AS total FROM u),
+  p AS (SELECT j AS draw, CAST(floor(('0x' || substr(md5('6:point:' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * total) AS BIGINT) AS x
+        FROM t, range(0, (SELECT count(*) FROM documents)) d(j))
+  SELECT draw, doc_id FROM p ASOF JOIN c ON p.x >= c.lo
+""")
+def weighted_sample_float_query(spark, folder):
+    """Weights below one, as the class weights are, drawn in proportion."""
+    docs = sp.class_balance_weights(table(spark, folder, "documents", "doc_id", "lang"), "lang")
+    return sp.weighted_sample(docs, "doc_id", "weight", 6)
+
+
+UNIFORM_SQL = "('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 EDGE_U = UNIFORM_SQL.format(key="'2:' || concat_ws(':', g, src, dst)")
 
 

@@ -68,6 +68,37 @@ def test_top_k_screen_with_interpretation(spark, job):
     assert residues.where("residue_score < 0 OR residue_score > 1").count() == 0
 
 
+@pytest.mark.parametrize("k", [None, 2])
+def test_every_pair_and_form_is_worked_out_once(spark, job, k):
+    pairs, forms = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counting_scorer():
+        score = make_scorer()
+
+        def run(batch):
+            pairs.add(len(batch))
+            return score(batch)
+        return run
+
+    def canonical(text):
+        forms.add(1)
+        return text.lower()
+
+    job.make_scorer, job.canonical, job.top_k = counting_scorer, canonical, k
+    if k:
+        job.explain, job.interpretation = explain, fresh_dir(spark, "interpretation")
+    run_screening(spark, job)
+    assert pairs.value == 2 * 3 and forms.value == 5
+
+
+def test_unsafe_ids_fail_in_sql_too(spark):
+    register_functions(spark)
+    assert spark.sql("SELECT safe_id('a/b') AS x").first()["x"] == "a_b"
+    for bad in ("..", "a..b", "."):
+        with pytest.raises(Exception, match="unsafe id"):
+            spark.sql(f"SELECT safe_id('{bad}') AS x").collect()
+
+
 def test_screen_beyond_the_pair_limit_needs_top_k(spark, job):
     job.max_pairs = 9
     with pytest.raises(ValueError, match="top-K"):

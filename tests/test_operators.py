@@ -266,6 +266,42 @@ def test_weighted_sample_with_one_heavy_row(spark):
     assert not any(k in counts for k, w in rows if w == 0)
 
 
+def test_weighted_sample_with_fractions(spark):
+    rows = [("a", 0.5), ("b", 1.5), ("c", 2.5), ("none", None), ("nan", float("nan")), ("inf", float("inf")), ("minus", -1.0)]
+    out = splits.weighted_sample(frame(spark, rows, "k string, w double"), "k", "w", 3, n=20000)
+    counts = {r["k"]: r["count"] for r in out.groupBy("k").count().collect()}
+    assert set(counts) <= {"a", "b", "c"} and sum(counts.values()) == 20000
+    assert all(abs(counts[k] / 20000 - w / 4.5) < 0.02 for k, w in rows[:3])
+    tiny = splits.weighted_sample(frame(spark, [("a", 0.01), ("b", 0.01)], "k string, w double"), "k", "w", 3, n=2000)
+    assert min(r["count"] for r in tiny.groupBy("k").count().collect()) > 900
+
+
+def test_undated_rows_are_their_own_part(spark):
+    rows = [(i, None if i % 2 else f"{1990 + i % 10}-01-01") for i in range(60)]
+    out = splits.temporal_split(frame(spark, rows, "k int, d string").withColumn("d", F.to_date("d")), "d", 1997, "k", 0.2, 1)
+    assert {r["split"] for r in out.where("d IS NULL").collect()} == {"undated"}
+    assert {r["split"] for r in out.where("year(d) >= 1997").collect()} == {"test"}
+
+
+def test_missing_scores_take_no_place(spark):
+    rows = [("p", f"l{i}", float("nan") if i < 3 else None if i == 3 else float(i)) for i in range(10)]
+    best = windows.top_k(frame(spark, rows, "p string, l string, s double"), ["p"], "s", 3, ["l"])
+    assert [r["l"] for r in best.orderBy("rank").collect()] == ["l9", "l8", "l7"]
+
+
+def test_pooled_vectors_of_another_length_fail(spark):
+    rows = frame(spark, [(1, [1.0, 2.0]), (1, [3.0, 4.0, 5.0])], "g int, v array<double>")
+    with pytest.raises(Exception, match="vector length is not 2"):
+        graph.pool_vectors(rows, ["g"], "v", 2).collect()
+
+
+def test_ranking_of_very_frequent_scores(spark):
+    # 5e9 rows of one score and class would overflow a product of longs; the sums stand in for them.
+    rows = frame(spark, [(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1)], "y int, p double")
+    got = metrics.binary_ranking(rows).first()
+    assert got["roc"] == 0.875 and dict(metrics.binary_ranking(rows).dtypes)["prc"] == "double"
+
+
 # --- graphs ---
 
 
