@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from .common import worker_cache
 
-#: Most entries of a worker's cache, and the longest piece (bytes) it keeps: some 80 MB at most.
+#: Entries after which a worker's cache starts anew, and the longest piece (bytes) it keeps: with the
+#: older half some 150 MB at most.
 CACHE_ENTRIES = 300_000
 CACHE_PIECE = 64
 
@@ -38,30 +39,32 @@ def encoded(path: str, pieces: list[str]) -> list:
 
 
 class PieceCache(dict):
-    """Piece bytes to a value made from the piece's ids; missing pieces are encoded in one call.
+    """Piece bytes to a value made from the piece's ids.
 
-    The cache is emptied when full, which costs time only.
+    ``prepare`` takes the pieces of a whole batch, so the library sees each new piece once. When the
+    cache is full it becomes the older half, from which pieces in use are taken over; what is not
+    used again is forgotten. Long pieces last one batch.
     """
 
     def __init__(self, path: str, value):
-        self.path, self.value = path, value
-
-    def values_of(self, pieces: list[bytes]) -> list:
-        try:
-            return [self[p] for p in pieces]
-        except KeyError:
-            pass
-        missing = [p for p in set(pieces) if p not in self]
-        if len(self) + len(missing) > CACHE_ENTRIES:
+        self.path, self.value, self.older, self.passing = path, value, {}, {}
+
+    def __missing__(self, piece: bytes):
+        return self.passing[piece]
+
+    def prepare(self, lists: list[list[bytes]]) -> None:
+        self.passing = {}
+        if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-            missing = list(set(pieces))
-        fresh = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
+        missing = set().union(*lists).difference(self)
+        for piece in missing.intersection(self.older):
+            self[piece] = self.older[piece]
+        new = list(missing.difference(self.older))
+        for at in range(0, len(new), 4096):
+            part = new[at:at + 4096]
             for piece, enc in zip(part, encoded(self.path, [p.decode() for p in part])):
-                fresh[piece] = self.value(enc)
-        self.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_PIECE)
-        return [fresh[p] if p in fresh else self[p] for p in pieces]
+                (self if len(piece) <= CACHE_PIECE else self.passing)[piece] = self.value(enc)
 
 
 def piece_cache(path: str, kind: str, value) -> PieceCache:

@@ -35,7 +35,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
         cache = piece_cache(path, "ids", lambda enc: np.array(enc.ids, "<u4").tobytes())
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [b"".join(cache.values_of(raw.split())) + tail for raw in text_bytes(batch.column(1))]
+            words = [raw.split() for raw in text_bytes(batch.column(1))]
+            cache.prepare(words)
+            ids = [b"".join(map(cache.__getitem__, ws)) + tail for ws in words]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = local + np.cumsum(n) - n
             local += int(n.sum())

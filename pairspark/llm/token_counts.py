@@ -87,16 +87,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, huge: int = HUGE
 
     def counts(batch):
         texts = text_bytes(batch.column(1))
+        # Only the bytes of a text are looked at first: it has no more characters than bytes.
+        large = [raw.decode() if len(raw) > huge else "" for raw in texts]
+        pieces = [[] if len(text) > huge else pieces_of(raw) for raw, text in zip(texts, large)]
         cache = piece_cache(path, "count", len)
+        cache.prepare(pieces)
         out = []
-        for raw in texts:
-            if len(raw) > huge:
-                text = raw.decode()
-                if len(text) > huge:
-                    tool = library(path)
-                    out.append(resync_count(text, lambda part: tool.encode(part, add_special_tokens=False).offsets, chunk, overlap))
-                    continue
-            out.append(sum(cache.values_of(pieces_of(raw))))
+        for text, ps in zip(large, pieces):
+            if len(text) > huge:
+                tool = library(path)
+                out.append(resync_count(text, lambda part: tool.encode(part, add_special_tokens=False).offsets, chunk, overlap))
+            else:
+                out.append(sum(map(cache.__getitem__, ps)))
         sizes = [len(t) for t in texts]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array([n > limit for n in out], pa.bool_())],
