@@ -24,7 +24,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows and bytes of text that a Python worker gets at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
