@@ -24,7 +24,7 @@ from ..session import checkpointed
 
 MAX_BUCKETS = 4096
 HOT_ROWS = 1_000_000  # a hot group has more rows than one task sorts with ease
-HOT_GROUPS = 1024  # and is among this many largest ones
+HOT_GROUPS = 1024  # cut points of up to this many hot groups are broadcast, of more they are joined
 _STEP = 64
 
 
@@ -92,19 +92,18 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
         return _place(df, F.lit(np.array(cuts)), coarse, point, out)
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    # The HOT_GROUPS largest groups at most; any group left out is smaller than 1/HOT_GROUPS of the rows.
-    heavy = counts.where(F.col("__n") > F.lit(HOT_ROWS)).orderBy(F.col("__n").desc()).limit(HOT_GROUPS)
-    hot = checkpointed(df.sparkSession, heavy)
-    largest = hot.agg(F.max("__n")).first()[0]
-    if largest is None:
+    hot = checkpointed(df.sparkSession, counts.where(F.col("__n") > F.lit(HOT_ROWS)))
+    groups, largest = hot.agg(F.count(F.lit(1)), F.max("__n")).first()
+    if not groups:
         return None
+    side = F.broadcast if groups <= HOT_GROUPS else lambda table: table
     hot_cuts = (
-        null_safe_join(candidates.select(*by, value), F.broadcast(hot.select(*by)), by, "left_semi")
+        null_safe_join(candidates.select(*by, value), side(hot.select(*by)), by, "left_semi")
         .groupBy(*by)
         .agg(_cut_points(point, bucket_count(df, buckets, largest)).alias("__cuts"))
     )
     hot_cuts = checkpointed(df.sparkSession, hot_cuts.withColumn("__coarse", _coarse(F.col("__cuts"))))
-    joined = null_safe_join(df, F.broadcast(hot_cuts), by, "left")
+    joined = null_safe_join(df, side(hot_cuts), by, "left")
     placed = _place(joined, F.col("__cuts"), F.col("__coarse"), point, out)
     whole = F.when(F.col("__cuts").isNull(), F.lit(1)).otherwise(F.col(out))
     return placed.withColumn(out, whole).drop("__cuts", "__coarse")

@@ -68,7 +68,8 @@ def group_split(df: DataFrame, group: str, fractions: Sequence[float], seed: int
     big = sizes.where("place < '1'").select(group, F.lit(True).alias("__big"))
     marked = rows.join(F.broadcast(big), group, "left") if _bounded_big(fractions) else rows.withColumn("__big", F.lit(True))
     place = F.concat(F.when(F.col("__big"), "0").otherwise("1"), hash_hex(F.col(group), seed))
-    label = F.when(place <= train, "train").when(place <= valid, "valid").otherwise("test")
+    # Without a test share, what the rounded sizes leave over is valid.
+    label = F.when(place <= train, "train").when(place <= valid, "valid").otherwise("test" if fractions[2] else "valid")
     return marked.withColumn("split", label).drop("__big")
 
 

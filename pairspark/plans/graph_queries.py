@@ -319,7 +319,7 @@ def component_labels_query(spark, folder):
 
 
 @query("component_labels_global", """
-  WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_suppkey % 4 = l_partkey % 4 AND l_discount > 0.06),
+  WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem),
   edges AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e), nodes AS (SELECT DISTINCT src AS node FROM edges),
   hop(node, label, i) AS (SELECT node, node, 0 FROM nodes UNION ALL SELECT node, min(label), any_value(i) + 1 FROM (
       SELECT node, label, i FROM hop UNION ALL SELECT dst, label, i FROM hop JOIN edges ON src = node) WHERE i < 12 GROUP BY node)
@@ -327,7 +327,7 @@ def component_labels_query(spark, folder):
 """)
 def component_labels_global(spark, folder):
     """One large graph of suppliers and parts."""
-    e = table(spark, folder, "lineitem").where("l_suppkey % 4 = l_partkey % 4 AND l_discount > 0.06").select(
+    e = table(spark, folder, "lineitem").select(
         F.lit(0).alias("g"), F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst")).distinct()
     nodes = e.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
     return cp.component_labels(e, nodes).select("node", "label")
@@ -354,13 +354,19 @@ def max_overlap_tree_query(spark, folder):
 
 MEMBER_SQL = """
   members AS (SELECT DISTINCT l_orderkey AS g, l_suppkey % 6 AS clique, l_partkey % 9 AS atom FROM lineitem),
-  size AS (SELECT g, clique, count(*) AS n FROM members GROUP BY 1, 2)
+  rings AS (SELECT * FROM members JOIN (SELECT g, clique FROM members GROUP BY 1, 2 HAVING count(*) > 2) USING (g, clique)),
+  bridged AS (SELECT a.g, a.clique AS one, b.clique AS other FROM rings a JOIN rings b ON a.g = b.g AND a.atom = b.atom AND a.clique <> b.clique
+              GROUP BY 1, 2, 3 HAVING count(*) > 2),
+  united(g, clique, seen) AS (SELECT DISTINCT g, clique, clique FROM members
+                              UNION SELECT u.g, u.clique, other FROM united u JOIN bridged b ON b.g = u.g AND b.one = u.seen),
+  named AS (SELECT g, clique, min(seen) AS name FROM united GROUP BY 1, 2),
+  kept AS (SELECT DISTINCT g, name AS clique, atom FROM members JOIN named USING (g, clique)),
+  size AS (SELECT g, clique, count(*) AS n FROM kept GROUP BY 1, 2)
 """
 
 
 @query("clique_overlap_graph", f"""
-  WITH {MEMBER_SQL},
-  kept AS (SELECT * FROM members),
+  WITH RECURSIVE {MEMBER_SQL},
   crowd AS (SELECT g, atom, count(*) AS cs, count(*) FILTER (n = 2) AS bonds, count(*) FILTER (n > 4) AS rings FROM kept JOIN size USING (g, clique) GROUP BY 1, 2),
   link AS (SELECT g, atom, cs, CASE WHEN cs <= 1 THEN NULL WHEN bonds > 2 OR (bonds = 2 AND cs > 2) THEN 1 WHEN rings > 2 THEN 99 END AS link FROM crowd),
   touch AS (SELECT DISTINCT a.g, a.clique AS src, b.clique AS dst FROM kept a JOIN kept b ON a.g = b.g AND a.atom = b.atom AND a.clique < b.clique
@@ -370,7 +376,7 @@ MEMBER_SQL = """
   UNION ALL SELECT k.g, k.clique, -1, CAST(link AS BIGINT) FROM kept k JOIN link l ON l.g = k.g AND l.atom = k.atom WHERE link IS NOT NULL
 """)
 def clique_overlap_graph_query(spark, folder):
-    """Parts of an order as cliques by supplier. No two of them share more than two atoms often enough to unite here, so kinds stay."""
+    """Parts of an order as cliques by supplier; those sharing more than two atoms unite, in the twin too."""
     members = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("g"), (F.col("l_suppkey") % 6).alias("clique"), (F.col("l_partkey") % 9).alias("atom")).distinct()
     members = members.withColumn("kind", F.lit(0))
