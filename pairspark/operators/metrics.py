@@ -1,7 +1,8 @@
 """Evaluation metrics over (group?, y, p). All lazy, one row per group.
 
 Rank metrics first compress rows to distinct values, which removes the weight of tied
-scores before anything is ordered, and then use bucketed running totals.
+scores before anything is ordered, and then use bucketed running totals. Their keyword
+arguments ``cut`` (``buckets``, ``hot_rows``) go to :func:`running_totals`.
 """
 
 from __future__ import annotations
@@ -59,13 +60,13 @@ def error_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def spearman(df: DataFrame, by: Sequence[str] = (), **cut) -> DataFrame:
     """Pearson correlation of average ranks."""
     by = list(by)
     pairs = df.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("w"))
     ranked = pairs
     for column, rank in (("y", "ry"), ("p", "rp")):
-        ranks = average_ranks(df, column, rank, by=by)
+        ranks = average_ranks(df, column, rank, by=by, **cut)
         ranked = null_safe_join(ranked, ranks, [*by, column], "inner")
     w, ry, rp = F.col("w"), F.col("ry"), F.col("rp")
     sums = ranked.groupBy(*by).agg(
@@ -110,7 +111,7 @@ def _smaller_y(block: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.nda
     return float(np.sum(right * (before[value_start] - before[block_start])))
 
 
-def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+def concordance_index(df: DataFrame, by: Sequence[str] = (), **cut) -> DataFrame:
     """Exact share of concordant pairs among pairs with different y; equal p counts half.
 
     Both axes are cut into buckets. Pairs in different buckets on both axes are counted
@@ -122,9 +123,9 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
     df = df.withColumn("__all", F.lit(0))
     by = ["__all", *wanted]
     cells = df.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("w"))
-    cells = value_buckets(cells, "y", "by_", by, buckets)
+    cells = value_buckets(cells, "y", "by_", by, **cut)
     # Written once: the counts below read it several times.
-    cells = checkpointed(df.sparkSession, value_buckets(cells, "p", "bp_", by, buckets))
+    cells = checkpointed(df.sparkSession, value_buckets(cells, "p", "bp_", by, **cut))
     out = "below double, tied double"
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in by] + [out])
 
@@ -165,7 +166,7 @@ def concordance_index(df: DataFrame, by: Sequence[str] = (), buckets: int | None
 # --- binary ----------------------------------------------------------------------------
 
 
-def binary_ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def binary_ranking(df: DataFrame, by: Sequence[str] = (), **cut) -> DataFrame:
     """``roc`` and ``prc`` per group from one ordering of the distinct scores.
 
     roc is the rank statistic with half credit for ties, NULL unless both classes occur.
@@ -175,7 +176,7 @@ def binary_ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     positive = F.col("y") == 1
     steps = df.groupBy(*by, "p").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    steps = running_totals(steps, ["p"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")}, by)
+    steps = running_totals(steps, ["p"], {"pos_before": F.col("pos"), "neg_before": F.col("neg")}, by, **cut)
     keyed = [*by, "__all"]
     sizes = df.withColumn("__all", F.lit(0)).groupBy(*keyed).agg(
         F.count_if(positive).alias("all_pos"), F.count_if(~positive).alias("all_neg"))
@@ -194,12 +195,12 @@ def binary_ranking(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.when(F.col("all_pos") > 0, F.col("area") / F.col("all_pos")).alias("prc"))
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return binary_ranking(df, by).drop("prc")
+def roc_auc(df: DataFrame, by: Sequence[str] = (), **cut) -> DataFrame:
+    return binary_ranking(df, by, **cut).drop("prc")
 
 
-def average_precision(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return binary_ranking(df, by).drop("roc")
+def average_precision(df: DataFrame, by: Sequence[str] = (), **cut) -> DataFrame:
+    return binary_ranking(df, by, **cut).drop("roc")
 
 
 def threshold_metrics(df: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
@@ -323,15 +324,20 @@ def evaluate(regression: DataFrame | None = None, binary: DataFrame | None = Non
              digits: int | None = None) -> DataFrame:
     """Metrics of the heads that exist, as (metric, value); losses are means over rows.
 
-    ``regression`` and ``binary`` have ``y, p``; ``multiclass`` has ``label, probs``.
+    ``regression`` and ``binary`` have ``y, p``; ``multiclass`` has ``label, probs``. With a column
+    ``logit`` or ``logits`` next to them the losses ``bce`` and ``masked_ce`` are reported too.
     """
     parts = []
     if regression is not None:
         parts += [regression_report(labelled(regression)), to_long(masked_mse(regression), ["masked_mse"])]
     if binary is not None:
         parts.append(binary_report(labelled(binary), threshold))
+        if "logit" in binary.columns:
+            parts.append(to_long(bce_logits(binary.where(~missing(F.col("y"))), "y", "logit"), ["bce"]))
     if multiclass is not None:
         parts.append(multiclass_report(valid_classes(multiclass, "label", "probs", n_classes), n_classes))
+        if "logits" in multiclass.columns:
+            parts.append(to_long(masked_ce(multiclass, "label", "logits"), ["masked_ce"]))
     if not parts:
         raise ValueError("nothing to evaluate: no head given")
     report = _union(parts)

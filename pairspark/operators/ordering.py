@@ -68,23 +68,26 @@ def value_buckets(
     out: str,
     by: Sequence[str] = (),
     buckets: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add an order-preserving bucket number for a numeric column (non-null).
 
-    Only hot groups are cut (without ``by`` the table is one group); every other group is
-    small enough to stay one bucket (number 1). Even bucket numbers hold a single value each.
+    Only hot groups are cut (without ``by`` the table is one group), those of more than ``hot_rows``
+    rows; every other group is small enough to stay one bucket (number 1). Even bucket numbers
+    hold a single value each.
     """
-    cut = _cut(df, value, out, list(by), buckets)
+    cut = _cut(df, value, out, list(by), buckets, hot_rows=hot_rows)
     return df.withColumn(out, F.lit(1)) if cut is None else cut
 
 
 def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None,
-         splittable: Column | None = None) -> DataFrame | None:
+         splittable: Column | None = None, hot_rows: int | None = None) -> DataFrame | None:
     """``df`` with buckets, or None when no group is hot. ``splittable`` limits the groups looked at."""
     point = F.col(value).cast("double")
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     if not by:
         rows = df.count()
-        if rows <= HOT_ROWS:
+        if rows <= hot_rows:
             return None
         cuts = df.agg(_cut_points(point, bucket_count(df, buckets, rows))).first()[0]
         # At most MAX_BUCKETS + 1 numbers, computed once, become a constant of the plan.
@@ -92,7 +95,7 @@ def _cut(df: DataFrame, value: str, out: str, by: list[str], buckets: int | None
         return _place(df, F.lit(np.array(cuts)), coarse, point, out)
     candidates = df if splittable is None else df.where(splittable)
     counts = candidates.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    hot = checkpointed(df.sparkSession, counts.where(F.col("__n") > F.lit(HOT_ROWS)))
+    hot = checkpointed(df.sparkSession, counts.where(F.col("__n") > F.lit(hot_rows)))
     groups, largest = hot.agg(F.count(F.lit(1)), F.max("__n")).first()
     if not groups:
         return None
@@ -127,18 +130,21 @@ def running_totals(
     totals: dict[str, Column],
     by: Sequence[str] = (),
     buckets: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add exclusive running sums along ``order`` (ascending, numeric columns).
 
     ``totals`` names each output and the expression it sums. Rows must be unique per
     (by, order); compress ties with a ``groupBy`` before, or add a tie-break column.
     A later ordering column cuts only the single-value buckets of the one before it.
+    ``buckets`` and ``hot_rows`` (HOT_ROWS by default) set how finely and from which size a
+    group is cut; they change the plan and never the result.
     """
     by, order = list(by), list(order)
     bucketed, places = df, []
     for i, column in enumerate(order):
         tied = F.col(places[-1]) % 2 == 0 if places else None
-        cut = _cut(bucketed, column, f"__b{i}", by + places, buckets, tied)
+        cut = _cut(bucketed, column, f"__b{i}", by + places, buckets, tied, hot_rows)
         if cut is None:
             break
         bucketed = cut
@@ -163,9 +169,10 @@ def _running(bucketed: DataFrame, order: list[Column], totals: dict[str, Column]
         *by, *places,
         *[F.coalesce(F.sum(f"__s_{name}").over(outer), F.lit(0)).alias(f"__o_{name}") for name in totals],
     )
-    # Only hot groups have offsets other than zero, so this side is bounded as well.
+    # Only hot groups have offsets other than zero. One group has a bounded number of them; of
+    # many groups the planner judges the size.
     offsets = offsets.where(" OR ".join(f"__o_{name} <> 0" for name in totals))
-    result = null_safe_join(bucketed, F.broadcast(offsets), by + places, "left")
+    result = null_safe_join(bucketed, offsets if by else F.broadcast(offsets), by + places, "left")
     shifted = {name: total + F.coalesce(F.col(f"__o_{name}"), F.lit(0)) for name, total in local.items()}
     return result.withColumns(shifted).drop(*places, *[f"__o_{name}" for name in totals])
 
@@ -176,9 +183,10 @@ def global_row_number(
     out: str,
     by: Sequence[str] = (),
     buckets: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """1-based row number along unique numeric ``order`` columns, optionally per group."""
-    ranked = running_totals(df, order, {out: F.lit(1).cast("long")}, by, buckets)
+    ranked = running_totals(df, order, {out: F.lit(1).cast("long")}, by, buckets, hot_rows)
     return ranked.withColumn(out, (F.col(out) + 1).cast("long"))
 
 
@@ -194,12 +202,12 @@ def hash_running_totals(
 
 
 def average_ranks(df: DataFrame, value: str, out: str, weight: str | None = None,
-                  by: Sequence[str] = ()) -> DataFrame:
-    """Average rank of every distinct value: one row per (by, value)."""
+                  by: Sequence[str] = (), **cut) -> DataFrame:
+    """Average rank of every distinct value: one row per (by, value). ``cut`` as in :func:`running_totals`."""
     by = list(by)
     count = F.sum(weight) if weight else F.count(F.lit(1))
     distinct = df.groupBy(*by, value).agg(count.alias("__c"))
-    ranked = running_totals(distinct, [value], {"__before": F.col("__c")}, by)
+    ranked = running_totals(distinct, [value], {"__before": F.col("__c")}, by, **cut)
     rank = F.col("__before") + (F.col("__c") + 1) / 2
     return ranked.select(*by, value, rank.cast("double").alias(out))
 

@@ -308,7 +308,7 @@ def round_scores(df: DataFrame, heads: Heads, digits: int = 4) -> DataFrame:
 # --- graph batches ---------------------------------------------------------------------
 
 
-def batch_offsets(graphs: DataFrame, key: str, sizes: dict[str, str], hashed: bool = False) -> DataFrame:
+def batch_offsets(graphs: DataFrame, key: str, sizes: dict[str, str], hashed: bool = False, **cut) -> DataFrame:
     """Exclusive running node counts per graph: the offset of its nodes in one big graph.
 
     ``sizes`` maps an output offset to a size column, so bipartite edges get two
@@ -318,7 +318,7 @@ def batch_offsets(graphs: DataFrame, key: str, sizes: dict[str, str], hashed: bo
     if hashed:
         marked = graphs.withColumn("__md5", F.md5(F.col(key).cast("string")))
         return hash_running_totals(marked, "__md5", totals).drop("__md5")
-    return running_totals(graphs, [key], totals)
+    return running_totals(graphs, [key], totals, **cut)
 
 
 def shift_edges(edges: DataFrame, offsets: DataFrame, key: str, src_offset: str, dst_offset: str) -> DataFrame:

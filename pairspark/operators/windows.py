@@ -34,9 +34,9 @@ def minmax_per_group(df: DataFrame, by: Sequence[str], value: str, out: str, zer
     return spread.withColumn(out, scaled).drop("__lo", "__hi")
 
 
-def percentile_rank(df: DataFrame, by: Sequence[str], value: str, position: str, out: str) -> DataFrame:
+def percentile_rank(df: DataFrame, by: Sequence[str], value: str, position: str, out: str, **cut) -> DataFrame:
     """Ordinal rank / (n - 1) per group, ties ordered by position; a single row gives 1."""
-    ranked = global_row_number(df, [value, position], "__rn", by)
+    ranked = global_row_number(df, [value, position], "__rn", by, **cut)
     sized = with_group_stats(ranked, by, __cnt=F.count(F.lit(1)))
     share = F.when(F.col("__cnt") == 1, F.lit(1.0)).otherwise((F.col("__rn") - 1) / (F.col("__cnt") - 1))
     return sized.withColumn(out, share).drop("__rn", "__cnt")
@@ -57,9 +57,9 @@ def assemble_batches(df: DataFrame, length: str, key: str, size: int | None = No
     return joined.withColumn("batch_no", number).drop("__rn", "__longest")
 
 
-def number_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch_no") -> DataFrame:
+def number_batches(df: DataFrame, order: Sequence[str], size: int, out: str = "batch_no", **cut) -> DataFrame:
     """Consecutive batches of ``size`` rows along unique numeric order columns."""
-    ranked = global_row_number(df, order, "__rn")
+    ranked = global_row_number(df, order, "__rn", **cut)
     return ranked.withColumn(out, F.floor((F.col("__rn") - 1) / size).cast("long")).drop("__rn")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import screening as sc
-from .registry import query, table
+from .registry import CUT, ORACLES, query, table
 from .views import SCREEN_SQL, centroids, ligand_vectors
 
 REG_SQL = """
@@ -75,6 +75,12 @@ def spearman_by_group(spark, folder):
     return _rounded(m.spearman(m.labelled(_regression(spark, folder), by=["l_suppkey"]), ["l_suppkey"]), {"spearman": 6})
 
 
+@query("spearman_cut", ORACLES["spearman"])
+def spearman_cut(spark, folder):
+    """The ``_cut`` queries go through buckets, as tables too long for one window do."""
+    return _rounded(m.spearman(m.labelled(_regression(spark, folder)), **CUT), {"spearman": 6})
+
+
 CI_SQL = """
   c AS (SELECT {by} y, p, count(*) AS w FROM (SELECT user_id, floor(value / 4) AS y, event_id % 97 + floor(value / 6) AS p FROM events) GROUP BY {by} y, p),
   s AS (SELECT {a} sum(CASE WHEN a.p < b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END * a.w * b.w) / sum(a.w * b.w) AS ci
@@ -95,6 +101,11 @@ def concordance_index_by_group(spark, folder):
     return _rounded(m.concordance_index(_event_pairs(spark, folder), ["user_id"]), {"ci": 8})
 
 
+@query("concordance_index_cut", ORACLES["concordance_index"])
+def concordance_index_cut(spark, folder):
+    return _rounded(m.concordance_index(_event_pairs(spark, folder), **CUT), {"ci": 8})
+
+
 def _event_pairs(spark, folder):
     return table(spark, folder, "events").select(
         "user_id", F.floor(F.col("value") / 4).cast("double").alias("y"),
@@ -126,6 +137,11 @@ def roc_auc_by_group(spark, folder):
     return _rounded(m.roc_auc(m.labelled(_binary(spark, folder), by=["lang"]), ["lang"]), {"roc": 6})
 
 
+@query("roc_auc_cut", ORACLES["roc_auc_by_group"])
+def roc_auc_cut(spark, folder):
+    return _rounded(m.roc_auc(m.labelled(_binary(spark, folder), by=["lang"]), ["lang"], **CUT), {"roc": 6})
+
+
 AP_SQL = """
   t AS (SELECT {by} p, sum(y) AS pos, count(*) AS n FROM b GROUP BY {by} p),
   c AS (SELECT {by} pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen FROM t WINDOW w AS ({partition} ORDER BY p DESC)),
@@ -145,6 +161,11 @@ def average_precision_by_group(spark, folder):
     return _rounded(m.average_precision(m.labelled(_binary(spark, folder), by=["lang"]), ["lang"]), {"prc": 6})
 
 
+@query("average_precision_cut", ORACLES["average_precision"])
+def average_precision_cut(spark, folder):
+    return _rounded(m.average_precision(m.labelled(_binary(spark, folder)), **CUT), {"prc": 6})
+
+
 THRESHOLD_SQL = """
   h AS (SELECT count(*) FILTER (p > 0.5 AND y = 1) AS tp, count(*) FILTER (p > 0.5 AND y = 0) AS fp, count(*) FILTER (p <= 0.5 AND y = 1) AS fn FROM b),
   f AS (SELECT round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6)::DOUBLE AS f1,
