@@ -1,4 +1,4 @@
-"""Whole jobs: screening from files to ranked output, and splitting a pair table.
+"""Whole jobs: screening from files to ranked output, scoring and evaluating given pairs, splitting.
 
 Model and featurizers are plug-ins; everything around them is here.
 """
@@ -11,13 +11,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import shift_label
 from ..functions.text import sha_key
+from ..operators import metrics
 from ..operators import screening as sc
 from ..operators import splits
 from ..operators.featurize import FeatureCache, canonicalize, featurize
 from ..operators.windows import minmax_per_group, percentile_rank, top_k
 from ..session import checkpointed
-from ..sources.files import read_fasta, read_smiles_auto
+from ..sources.files import read_fasta, read_pairs, read_smiles_auto
 from ..sources.sinks import write_interpretation, write_scores
 
 
@@ -102,6 +104,83 @@ def _interpret(results: DataFrame, targets: DataFrame, scorable: DataFrame, job:
         job.interpretation)
 
 
+@dataclass
+class PairScoring:
+    """Settings for scoring given pairs; the model's parts are those of :class:`Screening`."""
+
+    cache: str
+    protein_features: Callable[[str], object]
+    ligand_features: Callable[[str], object]
+    make_scorer: Callable[[], sc.Scorer]
+    feature_type: str = "array<double>"
+    heads: sc.Heads = field(default_factory=sc.Heads)
+    batch_size: int = 128
+
+
+def score_given_pairs(pairs: DataFrame, job: PairScoring) -> DataFrame:
+    """``pairs`` with the score columns next to their own ones.
+
+    Features come through the caches and every distinct (Protein, Ligand) is scored once. Pairs
+    that can't be featurized, or have no protein or ligand, stay with NULL scores.
+    """
+    spark = pairs.sparkSession
+    taken = set(job.heads.score_columns()) & set(pairs.columns)
+    if taken:
+        raise ValueError(f"columns named like scores: {sorted(taken)}")
+
+    def features(name: str, key: str, fn: Callable[[str], object], out: str) -> DataFrame:
+        keys = pairs.where(F.col(key).isNotNull()).select(key).distinct()
+        cache = FeatureCache(spark, f"{job.cache}/{name}", job.feature_type)
+        run = cache.get_or_compute(keys, key, lambda missing: featurize(missing, key, fn, job.feature_type))
+        return cache.attach(keys, key, run.features).withColumnRenamed("value", out)
+
+    ligands = features("ligands", "Ligand", job.ligand_features, "ligand_feature")
+    proteins = features("proteins", "Protein", job.protein_features, "protein_feature")
+    unique = pairs.select("Protein", "Ligand").distinct()
+    hydrated = sc.hydrate_pairs(unique, ligands, proteins, "Ligand", "Protein")
+    scored = checkpointed(spark, sc.score_pairs(
+        hydrated, job.make_scorer, ["protein_feature", "ligand_feature"], ["Protein", "Ligand"], job.heads, job.batch_size))
+    return sc.attach_predictions(pairs, scored, ["Protein", "Ligand"])
+
+
+def score_pair_list(spark: SparkSession, path: str, output: str, job: PairScoring) -> dict[str, int]:
+    """Score the pairs of a CSV (``Protein``, ``Ligand``, optional ``ID``, other columns kept) into ``output``.
+
+    Rows without an id get ``PAIR_<row>`` in the order of the file. Returns the counters.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    # Stored, so that a row keeps its number whatever reads it.
+    placed = checkpointed(spark, raw.withColumn("__place", F.monotonically_increasing_id()))
+    pairs = sc.assign_pair_id(placed, "__place").drop("__place")
+    scored = checkpointed(spark, score_given_pairs(pairs, job))
+    scored.write.mode("overwrite").option("header", True).csv(output)
+    rows, done = scored.agg(F.count(F.lit(1)), F.count("prediction")).first()
+    return {"pairs": rows, "scored": done, "unscored": rows - done}
+
+
+def evaluate_folder(spark: SparkSession, folder: str, output: str, job: PairScoring) -> DataFrame:
+    """Score the test pairs of a data folder; write ``predictions.csv`` and ``metrics.csv`` folders.
+
+    Returns the metrics (metric, value) of the heads; pairs that have no score count in none.
+    """
+    test = read_pairs(spark, folder).where("split = 'test'").drop("split")
+    scored = checkpointed(spark, score_given_pairs(test, job))
+    scored.write.mode("overwrite").option("header", True).csv(f"{output}/predictions.csv")
+    known, heads = scored.where("prediction IS NOT NULL"), job.heads
+    regression = binary = multiclass = None
+    if heads.regression:
+        regression = known.select(F.col("regression_label").alias("y"), F.col("prediction").alias("p"))
+    if heads.classification:
+        binary = known.select(F.col("classification_label").alias("y"), F.col("predicted_binary_interaction").alias("p"))
+    if heads.multiclass:
+        multiclass = known.select(
+            shift_label(F.col("multiclass_label")).alias("label"),
+            F.array("predicted_antagonist", "predicted_nonbinder", "predicted_agonist").alias("probs"))
+    report = checkpointed(spark, metrics.evaluate(regression, binary, multiclass))
+    report.write.mode("overwrite").option("header", True).csv(f"{output}/metrics.csv")
+    return report
+
+
 def write_splits(pairs: DataFrame, folder: str, kind: str, column: str | list[str], fractions: list[float], seed: int) -> DataFrame:
     """Split a pair table, write ``train.csv``, ``valid.csv`` and ``test.csv`` folders, return the ratios.
 

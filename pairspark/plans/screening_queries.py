@@ -11,7 +11,9 @@ from ..operators import structure as st
 from ..operators import windows as win
 from ..operators.featurize import canonicalize, featurize
 from ..operators.graph import connect_graphs
-from .registry import query, table
+from ..session import fresh_dir
+from .jobs import PairScoring, evaluate_folder, score_pair_list
+from .registry import CUT, ORACLES, query, table
 from .views import (CENTROID_SQL, SCREEN_SQL, SEQ_SQL, centroids, ligand_vectors, line_key, lines,
                     sequences)
 
@@ -191,6 +193,62 @@ def featurize_query(spark, folder):
     return done.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def _pair_scoring(spark):
+    """A small model on ids: suppliers as proteins, parts as ligands, every thirteenth part can't be featurized."""
+    def protein_features(text):
+        return [float(int(text[1:]) % 7), 1.0]
+
+    def ligand_features(text):
+        if int(text[1:]) % 13 == 0:
+            raise ValueError("cannot featurize")
+        return [float(int(text[1:]) % 11), 0.5]
+
+    def make_scorer():
+        def score(batch):
+            dots = [float(np.dot(p, q)) for p, q in zip(batch["protein_feature"], batch["ligand_feature"])]
+            return pd.DataFrame({"regression": dots})
+        return score
+
+    return PairScoring(fresh_dir(spark, "pair-cache"), protein_features, ligand_features, make_scorer)
+
+
+PAIR_SCORE_SQL = "CASE WHEN l_partkey % 13 <> 0 THEN (l_suppkey % 7) * (l_partkey % 11) + 0.5 END::DOUBLE"
+
+
+@query("score_pair_list", f"""
+  SELECT 's' || l_suppkey AS Protein, 'p' || l_partkey AS Ligand, l_returnflag AS note, count(*) AS n, {PAIR_SCORE_SQL} AS prediction,
+         CAST(count(DISTINCT row_number) AS BIGINT) AS ids
+  FROM (SELECT *, row_number() OVER () AS row_number FROM lineitem) GROUP BY l_suppkey, l_partkey, l_returnflag
+""")
+def score_pair_list_query(spark, folder):
+    """The pair-list job from a CSV to a CSV: all lines as pairs, ids generated, another column kept."""
+    pairs, output = fresh_dir(spark, "pair-list"), fresh_dir(spark, "pair-scores")
+    table(spark, folder, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("Protein"), F.concat(F.lit("p"), "l_partkey").alias("Ligand"),
+        F.col("l_returnflag").alias("note")).write.option("header", True).csv(pairs)
+    score_pair_list(spark, pairs, output, _pair_scoring(spark))
+    rows = spark.read.option("header", True).csv(output)
+    return rows.groupBy("Protein", "Ligand", "note").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("prediction").cast("double")).alias("prediction"), F.countDistinct("ID").alias("ids"))
+
+
+@query("evaluate_folder", f"""
+  WITH t AS (SELECT l_quantity AS y, {PAIR_SCORE_SQL} AS p FROM lineitem WHERE l_linenumber <= 2),
+  e AS (SELECT avg(power(y - p, 2)) AS mse, avg(abs(y - p)) AS mae, corr(y, p) AS pearson FROM t WHERE p IS NOT NULL)
+  SELECT 'mse' AS metric, round(mse, 4) AS value FROM e UNION ALL SELECT 'mae', round(mae, 4) FROM e UNION ALL SELECT 'pearson', round(pearson, 4) FROM e
+""")
+def evaluate_folder_query(spark, folder):
+    """The evaluation job over a data folder; the first two lines of every order are its test pairs."""
+    data, output = fresh_dir(spark, "pair-data"), fresh_dir(spark, "pair-report")
+    rows = table(spark, folder, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("Protein"), F.concat(F.lit("p"), "l_partkey").alias("Ligand"),
+        F.col("l_quantity").alias("regression_label"), "l_linenumber")
+    for name, rule in (("test", "l_linenumber <= 2"), ("train", "l_linenumber > 2")):
+        rows.where(rule).drop("l_linenumber").write.option("header", True).csv(f"{data}/{name}.csv")
+    report = evaluate_folder(spark, data, output, _pair_scoring(spark))
+    return report.where("metric IN ('mse', 'mae', 'pearson')").select("metric", F.round("value", 4).alias("value"))
+
+
 @query("attach_predictions", """
   WITH p AS (SELECT l_suppkey, l_partkey, max(l_extendedprice) AS prediction FROM lineitem WHERE l_quantity > 25 GROUP BY 1, 2)
   SELECT l_suppkey, count(*) AS n, count(prediction) AS matched, round(sum(prediction), 2) AS total
@@ -240,6 +298,15 @@ def batch_offsets_query(spark, folder):
     return sc.batch_offsets(sizes, "g", {"atom_offset": "atoms", "residue_offset": "residues"}).select("g", "atom_offset", "residue_offset")
 
 
+@query("batch_offsets_cut", ORACLES["batch_offsets"])
+def batch_offsets_cut(spark, folder):
+    """The same offsets through buckets, as a table too long for one window gets them."""
+    sizes = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("g")).agg(
+        F.count(F.lit(1)).alias("atoms"), F.countDistinct("l_suppkey").alias("residues"))
+    offsets = sc.batch_offsets(sizes, "g", {"atom_offset": "atoms", "residue_offset": "residues"}, **CUT)
+    return offsets.select("g", "atom_offset", "residue_offset")
+
+
 @query("unbatch", f"""
   SELECT l_orderkey AS g, CAST(l_linenumber AS BIGINT) AS src, l_suppkey AS dst, count(*) AS n FROM lineitem GROUP BY ALL
 """)
@@ -304,6 +371,13 @@ def percentile_rank_query(spark, folder):
     return win.percentile_rank(events, ["user_id"], "value", "event_id", "pct").select("event_id", F.round("pct", 6).alias("pct"))
 
 
+@query("percentile_rank_cut", ORACLES["percentile_rank"])
+def percentile_rank_cut(spark, folder):
+    events = table(spark, folder, "events", "event_id", "user_id", "value")
+    ranked = win.percentile_rank(events, ["user_id"], "value", "event_id", "pct", **CUT)
+    return ranked.select("event_id", F.round("pct", 6).alias("pct"))
+
+
 @query("assemble_batches", """
   WITH b AS (SELECT doc_id, n_chars, CASE WHEN n_chars <= 300 THEN 'short_300' WHEN n_chars <= 500 THEN 'medium_500'
                     WHEN n_chars <= 700 THEN 'long_700' ELSE 'sliding' END AS bin FROM documents),
@@ -323,6 +397,11 @@ def number_batches_query(spark, folder):
     return win.number_batches(table(spark, folder, "events", "event_id"), ["event_id"], 128)
 
 
+@query("number_batches_cut", ORACLES["number_batches"])
+def number_batches_cut(spark, folder):
+    return win.number_batches(table(spark, folder, "events", "event_id"), ["event_id"], 128, **CUT)
+
+
 @query("sliding_chunks", f"""
   WITH {SEQ_SQL}, w AS (SELECT doc_id, seq, unnest(range(0, CASE WHEN length(seq) <= 700 THEN 0
        ELSE CAST(ceil((length(seq) - 700) / 350.0) AS BIGINT) * 350 END + 1, 350)) AS s FROM seqs)

@@ -159,10 +159,12 @@ def archive_ligands(archives: DataFrame) -> DataFrame:
 LABELS = {"regression_label": "double", "classification_label": "int", "multiclass_label": "int"}
 
 
-def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
+def read_pairs(spark: SparkSession, folder: str, sampling_col: str | None = None) -> DataFrame:
     """Labelled pairs of ``train.csv``, ``test.csv`` and, when present, ``valid.csv``.
 
-    Label columns are optional; missing ones are NULL, and NaN is read as NULL.
+    Label columns are optional; missing ones are NULL, and NaN is read as NULL. Other columns are
+    kept as text, but for ``sampling_col``, the weights of the training rows, which become
+    doubles and must be there. A column named ``split`` gives way to the name of the file.
     """
     out = None
     for split in ("train", "test", "valid"):
@@ -172,10 +174,16 @@ def read_pairs(spark: SparkSession, folder: str) -> DataFrame:
             if split == "valid":
                 continue
             raise
+        if split == "train" and sampling_col is not None and sampling_col not in raw.columns:
+            raise ValueError(f"no column {sampling_col} in the training pairs")
         columns = [F.col(c).alias(c) for c in ("ID", "Protein", "Ligand") if c in raw.columns]
         for name, kind in LABELS.items():
             value = nan_to_null(F.col(name).cast("double")).cast(kind) if name in raw.columns else F.lit(None).cast(kind)
             columns.append(value.alias(name))
+        for name in raw.columns:
+            if name not in ("ID", "Protein", "Ligand", *LABELS) and name.lower() != "split":
+                value = F.col(f"`{name}`")
+                columns.append((nan_to_null(value.cast("double")) if name == sampling_col else value).alias(name))
         part = raw.select(*columns, F.lit(split).alias("split"))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out

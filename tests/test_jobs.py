@@ -6,8 +6,10 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pairspark.functions.sql import register_functions, register_tables
+from pairspark.__main__ import main
+from pairspark.operators.metrics import evaluate
 from pairspark.operators.screening import Heads
-from pairspark.plans.jobs import Screening, run_screening, write_splits
+from pairspark.plans.jobs import PairScoring, Screening, evaluate_folder, run_screening, score_pair_list, write_splits
 from pairspark.session import fresh_dir
 from pairspark.sources.files import read_pairs
 
@@ -121,3 +123,90 @@ def test_sql_functions_and_views(spark):
                     "length_bin(n) AS b, sigmoid(0) AS g, dot_product(array(1D, 2D), array(3D, 4D)) AS d FROM pairs").first()
     assert tuple(row) == ("a_b", 69, "MKX", "medium_500", 0.5, 11.0)
     assert "edge_angle" in names
+
+
+def protein_features(text):
+    return [float(len(text)), 0.5]
+
+
+ligand_features = featurize_ligand
+
+
+def pair_job(spark, heads=Heads(), scorer=make_scorer):
+    return PairScoring(fresh_dir(spark, "cache"), protein_features, ligand_features, scorer, heads=heads)
+
+
+def read_csv(spark, path):
+    return spark.read.option("header", True).csv(path)
+
+
+def test_given_pairs_keep_rows_columns_and_order(spark, tmp_path):
+    (tmp_path / "pairs.csv").write_text("ID,Protein,Ligand,note\n,MKT,CCO,a\nx1,MKT,CCO,b\n,AA,C!,c\n,,C,d\n,AA,,e\n")
+    scored = spark.sparkContext.accumulator(0)
+
+    def counting_scorer():
+        score = make_scorer()
+
+        def run(batch):
+            scored.add(len(batch))
+            return score(batch)
+        return run
+
+    counters = score_pair_list(spark, str(tmp_path / "pairs.csv"), str(tmp_path / "out"), pair_job(spark, scorer=counting_scorer))
+    assert counters == {"pairs": 5, "scored": 2, "unscored": 3} and scored.value == 1
+    rows = {r["note"]: (r["ID"], r["prediction"]) for r in read_csv(spark, str(tmp_path / "out")).collect()}
+    assert rows == {"a": ("PAIR_0", "9.5"), "b": ("x1", "9.5"), "c": ("PAIR_2", None), "d": ("PAIR_3", None), "e": ("PAIR_4", None)}
+
+
+def test_pair_list_may_be_empty_but_not_hold_scores(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("Protein,Ligand\n")
+    assert score_pair_list(spark, str(tmp_path / "none.csv"), str(tmp_path / "out"), pair_job(spark)) == {"pairs": 0, "scored": 0, "unscored": 0}
+    (tmp_path / "named.csv").write_text("Protein,Ligand,prediction\nMK,CC,1\n")
+    with pytest.raises(ValueError, match="prediction"):
+        score_pair_list(spark, str(tmp_path / "named.csv"), str(tmp_path / "out"), pair_job(spark))
+
+
+def data_folder(path):
+    path.mkdir()
+    (path / "train.csv").write_text("Protein,Ligand,regression_label,w,a.b\nMK,CC,1,0.5,u\nMK,C,2,NaN,v\n")
+    (path / "test.csv").write_text("Protein,Ligand,regression_label,classification_label\nMK,CC,5,1\nMK,CCC,6,0\nMKT,C,4,1\nMKT,C!,4,1\n")
+    return str(path)
+
+
+def test_data_folder_is_scored_and_evaluated(spark, tmp_path):
+    folder = data_folder(tmp_path / "data")
+    report = evaluate_folder(spark, folder, str(tmp_path / "out"), pair_job(spark, Heads(True, True)))
+    found = {r["metric"]: r["value"] for r in report.collect()}
+    # Scores are 4.5, 6.5 and 3.5; the last pair has none.
+    assert found["mae"] == pytest.approx(0.5) and found["ci"] == 1.0 and found["roc"] == 0.0
+    assert read_csv(spark, f"{tmp_path}/out/predictions.csv").count() == 4
+    assert read_csv(spark, f"{tmp_path}/out/metrics.csv").count() == len(found)
+
+
+def test_pairs_keep_other_columns_and_weights(spark, tmp_path):
+    pairs = read_pairs(spark, data_folder(tmp_path / "data"), sampling_col="w")
+    rows = {r["Ligand"]: (r["w"], r["a.b"]) for r in pairs.where("split = 'train'").collect()}
+    assert rows == {"CC": (0.5, "u"), "C": (None, "v")}
+    with pytest.raises(ValueError, match="no column"):
+        read_pairs(spark, str(tmp_path / "data"), sampling_col="nothing")
+
+
+def test_losses_are_reported_where_logits_are_given(spark):
+    binary = spark.createDataFrame([(1.0, 0.5, 0.0), (0.0, 0.5, 0.0), (None, 0.5, 9.0)], "y double, p double, logit double")
+    found = {r["metric"]: r["value"] for r in evaluate(binary=binary).collect()}
+    assert found["bce"] == pytest.approx(0.6931471805599453)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    data = data_folder(tmp_path / "data")
+    model = ["--model", __name__, "--cache", str(tmp_path / "cache")]
+    (tmp_path / "p.fasta").write_text(">P1\nMKT\n")
+    (tmp_path / "l.csv").write_text("smiles\nCC\nC\n")
+    runs = [["score", "--pairs", f"{data}/test.csv", *model], ["evaluate", "--data", data, *model],
+            ["screen", "--fasta", str(tmp_path / "p.fasta"), "--ligands", str(tmp_path / "l.csv"), "--top-k", "1", *model],
+            ["split", "--pairs", f"{data}/test.csv", "--kind", "group", "--column", "Ligand", "--fractions", "0.5", "0.5", "0"]]
+    for i, arguments in enumerate(runs):
+        assert main([*arguments, "--output", str(tmp_path / f"out{i}")], spark) == 0
+    printed = capsys.readouterr().out
+    assert '"scored": 3' in printed and '"mae": 0.5' in printed and '"pairs": 2' in printed
+    assert read_csv(spark, str(tmp_path / "out2")).count() == 1
