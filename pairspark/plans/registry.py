@@ -12,7 +12,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Makes a query take the way of very long groups on tables of any size.
-CUT = {"buckets": 8, "hot_rows": 50}
+CUT = {"buckets": 8, "hot_rows": 4}
 
 
 def query(name: str, sql: str | None = None):
