@@ -28,23 +28,30 @@ TILE, BLOCK = 4096, 512
 SMALL = 64
 
 
-def simhash(raw: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
-    """The signed 64-bit fingerprint of a text; no words give zero."""
+def shingle_hashes(raw: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """Unsigned 64-bit hashes of a text's shingles; under ``width`` words it is one shingle."""
     import itertools
 
-    import numpy as np
     import xxhash
 
     words = raw.lower().split()
     if not words:
-        return 0
+        return []
     text, hash64 = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(itertools.accumulate([len(w) + 1 for w in words]))
     if len(words) < width:
-        hashes = [hash64(text, seed)]
-    else:
-        starts = itertools.chain([0], ends)
-        hashes = [hash64(text[a:b - 1], seed) for a, b in zip(starts, ends[width - 1:])]
+        return [hash64(text, seed)]
+    ends = list(itertools.accumulate([len(w) + 1 for w in words]))
+    starts = itertools.chain([0], ends)
+    return [hash64(text[a:b - 1], seed) for a, b in zip(starts, ends[width - 1:])]
+
+
+def simhash(raw: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The signed 64-bit fingerprint of a text; no words give zero."""
+    import numpy as np
+
+    hashes = shingle_hashes(raw, width, seed)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = np.array(hashes[at:at + 65_536], "<u8")
@@ -59,11 +66,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fps = [simhash(raw) for raw in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "digest", "fp"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest(F.col("text")).alias("digest"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest_of(F.col("text")).alias("digest"))
     return rows.mapInArrow(by_batch(run), "doc_id long, digest string, fp long")
 
 
-def _digest(text: Column) -> Column:
+def digest_of(text: Column) -> Column:
     return F.md5(F.encode(F.coalesce(text.cast("string"), F.lit("")), "utf-8"))
 
 
@@ -218,18 +225,27 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     rows one stays.
     """
     marked, labels = _labelled(docs, radius, tile)
-    rows = stored(marked.join(labels.select("fp", "root"), "fp").select("root", "doc_id", "digest"), "simhash-rows")
+    return keep_first(docs, marked.join(labels.select("fp", "root"), "fp").select("root", "doc_id", "digest"))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each group; ``rows`` has ``root, doc_id, digest`` of every row.
+
+    Rows without an id come last, equal ids are ordered by a digest of the text, and of repeated
+    rows one stays.
+    """
+    rows = stored(rows, "copies-rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    first = stored(rows.groupBy("root").agg(F.min(place).alias("first")), "simhash-first")
+    first = stored(rows.groupBy("root").agg(F.min(place).alias("first")), "copies-first")
     counted = rows.join(first, "root").groupBy("root", "doc_id", "digest", place.eqNullSafe(F.col("first")).alias("wins")).agg(F.count(F.lit(1)).alias("n"))
-    gone = stored(counted.where("NOT wins OR n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "wins"), "simhash-gone")
+    gone = stored(counted.where("NOT wins OR n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "wins"), "copies-gone")
     repeated = gone.where("wins").drop("wins")
 
     def same(table):
-        return docs["doc_id"].cast("long").eqNullSafe(table["__id"]) & (_digest(docs["text"]) == table["__digest"])
+        return docs["doc_id"].cast("long").eqNullSafe(table["__id"]) & (digest_of(docs["text"]) == table["__digest"])
 
     out = docs.join(gone, same(gone), "left_anti")
     if repeated.limit(1).count():
-        again = docs.join(repeated, same(repeated), "left_semi").withColumn("__digest", _digest(F.col("text")))
+        again = docs.join(repeated, same(repeated), "left_semi").withColumn("__digest", digest_of(F.col("text")))
         out = out.unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
     return out
