@@ -2,8 +2,8 @@
 
 Texts are canonicalised word by word: a number becomes ``#n``, a capitalised word inside a
 sentence ``#p``, a unit after a number ``#u``; everything else is lower-cased without punctuation.
-Windows of ``WINDOW`` template words are hashed and joined with the benchmark's windows. A pair of
-text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
+Windows of ``WINDOW`` template words are hashed and joined with the benchmark's windows, also in a
+form without ``#p`` that does not depend on capitals. A pair of text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
 has slots, the values in them are compared along each alignment: one value of the item must always
 stand against one value in the text, which a re-parameterised question keeps and a chance match
 does not.
@@ -30,7 +30,12 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg oz lb l
 def clean(text: Column) -> Column:
     """Lower-cased words with single spaces; a capitalised word inside a sentence is marked."""
     marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu})", "\u0001")
-    return F.trim(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\x{1}]+", " ")))
+    return F.replace(F.trim(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\x{1}]+", " "))), F.lit("ß"), F.lit("ss"))
+
+
+def unmarked(cleaned: Column) -> Column:
+    """The same words whatever their capitals."""
+    return F.replace(cleaned, F.lit("\u0001"), F.lit(""))
 
 
 def template(cleaned: Column) -> Column:
@@ -54,24 +59,48 @@ def _windows(words: Column, size: int, made) -> Column:
     return F.transform(_places(words, size), lambda i: made(i, F.slice(words, i, size)))
 
 
-def _hashes(words: Column, sizes: list[int]) -> Column:
-    return F.array_distinct(F.concat(*[_windows(words, s, lambda i, part: F.xxhash64(part)) for s in sizes]))
+def _plain(part: Column) -> Column:
+    return F.size(F.filter(part, lambda x: ~x.startswith("#")))
+
+
+def _keys(names: Column, low: Column, raw: Column) -> Column:
+    """The hashes under which a window is indexed: of its words without regard to capitals,
+    and of the form with names."""
+    base = F.xxhash64(low)
+    named = F.array_contains(names, "#p") & (_plain(names) >= LEAST_PLAIN)
+    return F.when(named, F.array(base, F.xxhash64(names))).otherwise(F.array(base))
+
+
+def _hashes(sizes: list[int]) -> Column:
+    """All keys of the windows of ``t, l, r``; texts without numbers or names are spared their forms."""
+    none = F.array().cast("array<bigint>")
+    out = []
+    for s in sizes:
+        out.append(_windows(F.col("l"), s, lambda i, part: F.xxhash64(part)))
+        named = F.filter(_places(F.col("t"), s), lambda i: F.array_contains(F.slice("t", i, s), "#p"))
+        out.append(F.when(F.array_contains("t", "#p"), F.transform(named, lambda i: F.xxhash64(F.slice("t", i, s)))).otherwise(none))
+    return F.array_distinct(F.concat(*out))
+
+
+def _forms(cleaned: Column) -> list[Column]:
+    """``t, l, r``: the words with all placeholders, with those of numbers and units, and as they are."""
+    raw = unmarked(cleaned)
+    return [_words(template(cleaned)).alias("t"), _words(template(raw)).alias("l"), _words(raw).alias("r")]
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``item_id, words, slots, size, place, h, kinds, raw`` per window of each item."""
     cleaned = benchmark.select("item_id", clean(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
-    items = cleaned.select("item_id", _words(F.col("c")).alias("r"), _words(template(F.col("c"))).alias("t")).where(F.size("t") >= LEAST_WORDS)
-    items = items.dropDuplicates(["item_id", "r"])
+    items = cleaned.select("item_id", "c", *_forms(F.col("c"))).where(F.size("t") >= LEAST_WORDS)
+    items = items.dropDuplicates(["item_id", "c"])
     size = F.least(F.lit(window), F.size("t"))
     rows = items.select(
-        F.col("item_id").cast("long").alias("item_id"), F.xxhash64("r").alias("variant"), F.size("t").alias("words"),
-        F.size(F.filter("t", lambda x: x.startswith("#"))).alias("slots"), size.alias("size"), "r", "t",
+        F.col("item_id").cast("long").alias("item_id"), F.xxhash64("c").alias("variant"), F.size("t").alias("words"),
+        F.size(F.filter("t", lambda x: x.startswith("#"))).alias("slots"), size.alias("size"), "t", "l", "r",
         F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("place"))
-    part = F.slice("t", F.col("place"), F.col("size"))
-    rows = rows.select("item_id", "variant", "words", "slots", "size", "place", F.xxhash64(part).alias("h"),
-                       part.alias("kinds"), F.slice("r", F.col("place"), F.col("size")).alias("raw"))
-    return rows.where(F.size(F.filter("kinds", lambda x: ~x.startswith("#"))) >= LEAST_PLAIN)
+    part, low, raw = (F.slice(k, F.col("place"), F.col("size")) for k in "tlr")
+    rows = rows.select("item_id", "variant", "words", "slots", "size", "place", part.alias("kinds"), low.alias("low"), raw.alias("raw"))
+    return rows.withColumn("h", F.explode(_keys(F.col("kinds"), F.col("low"), F.col("raw")))).where(_plain(F.col("low")) >= LEAST_PLAIN).drop("low")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -89,8 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     if bench.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
     # The words are a column of their own: inside the window function they would be made per window.
-    worded = texts.select("digest", _words(template(clean(F.col("text")))).alias("t"))
-    found = worded.select("digest", F.explode(_hashes(F.col("t"), sizes)).alias("h"))
+    worded = texts.select("digest", clean(F.col("text")).alias("c")).select("digest", *_forms(F.col("c")))
+    found = worded.select("digest", F.explode(_hashes(sizes)).alias("h"))
     hits = found.join(index, "h").groupBy("digest", "item_id", "variant").agg(F.collect_set("place").alias("places"))
     # A list of places is no longer than its item.
     items = bench.select("item_id", "variant", "words", "slots", "size").distinct()
@@ -110,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def _raw_windows(size: int) -> Column:
     return _windows(F.col("t"), size, lambda i, part: F.struct(
-        i.alias("at"), F.xxhash64(part).alias("h"), F.slice("r", i, size).alias("text_raw")))
+        i.alias("at"), _keys(part, F.slice("l", i, size), F.slice("r", i, size)).alias("keys"), F.slice("r", i, size).alias("text_raw")))
 
 
 def _slot_values(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
@@ -118,11 +147,12 @@ def _slot_values(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: li
     wanted = pairs.select("digest").distinct()
     few = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     cleaned = few.select("digest", clean(F.col("text")).alias("c"))
-    words = cleaned.select("digest", _words(F.col("c")).alias("r"), _words(template(F.col("c"))).alias("t"))
+    words = cleaned.select("digest", *_forms(F.col("c")))
     opened = [words.select("digest", F.explode(_raw_windows(s)).alias("w")).select("digest", "w.*") for s in sizes]
     every = opened[0]
     for more in opened[1:]:
         every = every.unionByName(more)
+    every = every.select("digest", "at", "text_raw", F.explode("keys").alias("h"))
     slotted = bench.where("exists(kinds, k -> startswith(k, '#'))").select("h", "item_id", "variant", "place", "kinds", "raw")
     met = every.join(slotted, "h").join(pairs.select("digest", "item_id", "variant"), ["digest", "item_id", "variant"])
     slots = met.select("digest", "item_id", "variant", (F.col("at") - F.col("place")).alias("shift"), "place", F.posexplode("kinds").alias("k", "kind"), "raw", "text_raw")
