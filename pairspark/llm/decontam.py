@@ -3,7 +3,8 @@
 Texts are canonicalised word by word: a number becomes ``#n``, a capitalised word inside a
 sentence ``#p``, a unit after a number ``#u``; everything else is lower-cased without punctuation.
 Windows of ``WINDOW`` template words are hashed and joined with the benchmark's windows, also in a
-form without ``#p`` that does not depend on capitals. A pair of text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
+form without ``#p`` that does not depend on capitals; windows with too few plain words are matched
+by their raw words instead. A pair of text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
 has slots, the values in them are compared along each alignment: one value of the item must always
 stand against one value in the text, which a re-parameterised question keeps and a chance match
 does not.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
-#: Windows with fewer plain words say nothing; items with fewer words can't be told from chance.
+#: Windows with fewer plain words must match word for word; items with fewer words can't be told from chance.
 LEAST_PLAIN, LEAST_WORDS = 2, 3
 #: Benchmark windows are broadcast up to this many rows (about 40 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -64,9 +65,9 @@ def _plain(part: Column) -> Column:
 
 
 def _keys(names: Column, low: Column, raw: Column) -> Column:
-    """The hashes under which a window is indexed: of its words without regard to capitals,
-    and of the form with names."""
-    base = F.xxhash64(low)
+    """The hashes under which a window is indexed: of its words without regard to capitals, or of
+    the raw words where too few are plain, and of the form with names."""
+    base = F.when(_plain(low) >= LEAST_PLAIN, F.xxhash64(low)).otherwise(F.xxhash64(raw, F.lit("raw")))
     named = F.array_contains(names, "#p") & (_plain(names) >= LEAST_PLAIN)
     return F.when(named, F.array(base, F.xxhash64(names))).otherwise(F.array(base))
 
@@ -77,6 +78,8 @@ def _hashes(sizes: list[int]) -> Column:
     out = []
     for s in sizes:
         out.append(_windows(F.col("l"), s, lambda i, part: F.xxhash64(part)))
+        few = F.filter(_places(F.col("l"), s), lambda i: _plain(F.slice("l", i, s)) < LEAST_PLAIN)
+        out.append(F.when(F.array_contains("l", "#n"), F.transform(few, lambda i: F.xxhash64(F.slice("r", i, s), F.lit("raw")))).otherwise(none))
         named = F.filter(_places(F.col("t"), s), lambda i: F.array_contains(F.slice("t", i, s), "#p"))
         out.append(F.when(F.array_contains("t", "#p"), F.transform(named, lambda i: F.xxhash64(F.slice("t", i, s)))).otherwise(none))
     return F.array_distinct(F.concat(*out))
@@ -100,7 +103,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
         F.explode(F.sequence(F.lit(1), F.size("t") - size + 1)).alias("place"))
     part, low, raw = (F.slice(k, F.col("place"), F.col("size")) for k in "tlr")
     rows = rows.select("item_id", "variant", "words", "slots", "size", "place", part.alias("kinds"), low.alias("low"), raw.alias("raw"))
-    return rows.withColumn("h", F.explode(_keys(F.col("kinds"), F.col("low"), F.col("raw")))).where(_plain(F.col("low")) >= LEAST_PLAIN).drop("low")
+    return rows.withColumn("h", F.explode(_keys(F.col("kinds"), F.col("low"), F.col("raw")))).drop("low")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:

@@ -22,3 +22,9 @@ def test_copies_in_other_case(spark):
         r = got[n, n % len(items)]
         assert (r["coverage"], r["consistency"], r["reparameterised"]) == (1.0, 1.0, False)
 
+
+def test_number_rich_items_find_their_copies(spark):
+    items = ["Compute 12 + 7 + 9 + 14 + 3 and give the sum.", "1 2 3 4 5 6 7 8", "12 + 30 = 42", "is 7 8", "Ask Anna, Bob, Carl, Dora, Emil, Fred: 3 km, 4 km, 5 km, 6 km?"]
+    got = found(spark, [f"Well. {t} Yes." for t in items], items)
+    assert all(got[n, n]["coverage"] == got[n, n]["consistency"] == 1.0 for n in range(len(items)))
+    assert (1, 0) not in found(spark, ["1 2 3 4 5 6 7 8", "8 7 6 5 4 3 2 1"], items[1:2])
