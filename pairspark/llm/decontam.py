@@ -5,14 +5,14 @@ sentence ``#p``, a unit after a number ``#u``; everything else is lower-cased wi
 Windows of ``WINDOW`` template words are hashed and joined with the benchmark's windows, also in a
 form without ``#p`` that does not depend on capitals; windows with too few plain words are matched
 by their raw words instead. A pair of text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
-has slots, the values in them are compared along each alignment: one value of the item must always
-stand against one value in the text, which a re-parameterised question keeps and a chance match
+has slots, the values in them are compared along each alignment, and one alignment must pass by
+itself: one value of the item must always stand against one value in the text, which a re-parameterised question keeps and a chance match
 does not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -128,16 +128,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     items = bench.select("item_id", "variant", "words", "slots", "size").distinct()
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     pairs = hits.join(F.broadcast(items) if bench.count() <= BROADCAST_ROWS else items, ["item_id", "variant"])
-    pairs = stored(pairs.select("digest", "item_id", "variant", "slots", (covered / F.col("words")).alias("coverage"))
+    pairs = stored(pairs.select("digest", "item_id", "variant", "slots", "words", (covered / F.col("words")).alias("coverage"))
                    .where(F.col("coverage") >= coverage), "decontam-pairs")
     plain = pairs.where("slots = 0").select("digest", "item_id", "coverage", F.lit(1.0).alias("consistency"), F.lit(False).alias("reparameterised"))
     slotted = pairs.where("slots > 0")
-    values = _slot_values(texts, slotted, bench, sizes)
-    checked = slotted.join(values, ["digest", "item_id", "variant"], "left").select(
-        "digest", "item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
-    every = plain.unionByName(checked.where(F.col("consistency") >= consistency))
-    return every.groupBy("digest", "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"),
-                                                  F.max("reparameterised").alias("reparameterised"))
+    aligned = _alignments(texts, slotted, bench, sizes).where((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency))
+    every = plain.unionByName(aligned.select("digest", "item_id", "coverage", "consistency", F.col("changed").alias("reparameterised")))
+    # Of several alignments that pass the most consistent one is told.
+    best = F.max(F.struct("consistency", "coverage", (~F.col("reparameterised")).alias("kept"))).alias("best")
+    return every.groupBy("digest", "item_id").agg(best).select("digest", "item_id", "best.coverage", "best.consistency", (~F.col("best.kept")).alias("reparameterised"))
 
 
 def _raw_windows(size: int) -> Column:
@@ -145,8 +144,13 @@ def _raw_windows(size: int) -> Column:
         i.alias("at"), _keys(part, F.slice("l", i, size), F.slice("r", i, size)).alias("keys"), F.slice("r", i, size).alias("text_raw")))
 
 
-def _slot_values(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
-    """Per pair the share of slots whose item value always meets one value of the text."""
+def _alignments(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
+    """``digest, item_id, variant, coverage, consistency, changed`` per alignment of each pair.
+
+    An alignment is a shift of the item in the text, a run of shifts no further apart than a window
+    (words were added or left out), or all shifts. The consistency is the share of slots whose item
+    value always meets one value of the text.
+    """
     wanted = pairs.select("digest").distinct()
     few = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
     cleaned = few.select("digest", clean(F.col("text")).alias("c"))
@@ -156,16 +160,29 @@ def _slot_values(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: li
     for more in opened[1:]:
         every = every.unionByName(more)
     every = every.select("digest", "at", "text_raw", F.explode("keys").alias("h"))
-    slotted = bench.where("exists(kinds, k -> startswith(k, '#'))").select("h", "item_id", "variant", "place", "kinds", "raw")
-    met = every.join(slotted, "h").join(pairs.select("digest", "item_id", "variant"), ["digest", "item_id", "variant"])
-    slots = met.select("digest", "item_id", "variant", (F.col("at") - F.col("place")).alias("shift"), "place", F.posexplode("kinds").alias("k", "kind"), "raw", "text_raw")
+    index = bench.select("h", "item_id", "variant", "place", "size", "kinds", "raw")
+    pair = ["digest", "item_id", "variant"]
+    met = every.join(index, "h").join(pairs.select(*pair, "words"), pair).withColumn("shift", F.col("at") - F.col("place"))
+    met = stored(met.select(*pair, "words", "shift", "place", "size", "kinds", "raw", "text_raw"), "decontam-met")
+    places = met.groupBy(*pair, "words", "shift", "size").agg(F.collect_set("place").alias("places"))
+    slots = met.select(*pair, "shift", "place", F.posexplode("kinds").alias("k", "kind"), "raw", "text_raw")
     slots = slots.where(F.col("kind").startswith("#")).select(
-        "digest", "item_id", "variant", "shift", (F.col("place") + F.col("k")).alias("slot"),
+        *pair, "shift", (F.col("place") + F.col("k")).alias("slot"),
         F.get("raw", F.col("k")).alias("of_item"), F.get("text_raw", F.col("k")).alias("of_text")).distinct()
-    by_value = slots.groupBy("digest", "item_id", "variant", "shift", "of_item").agg(
+    by_value = slots.groupBy(*pair, "shift", "of_item").agg(
         F.count(F.lit(1)).alias("n"), (F.min("of_text") == F.max("of_text")).alias("same"), F.max(F.col("of_text") != F.col("of_item")).alias("changed"))
-    return by_value.groupBy("digest", "item_id", "variant").agg(
-        (F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"), F.max("changed").alias("changed"))
+    by_shift = by_value.groupBy(*pair, "shift").agg(
+        F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"), F.max("changed").alias("changed"))
+    along = Window.partitionBy(*pair).orderBy("shift")
+    shifts = places.join(by_shift, [*pair, "shift"], "left")
+    shifts = shifts.withColumn("far", F.coalesce((F.col("shift") - F.lag("shift").over(along) > F.col("size")).cast("long"), F.lit(0)))
+    shifts = shifts.withColumn("run", F.sum("far").over(along))
+    kinds = [F.struct(F.lit(i).alias("kind"), c.cast("long").alias("number")) for i, c in enumerate([F.col("shift"), F.col("run"), F.lit(0)])]
+    grouped = shifts.withColumn("alignment", F.explode(F.array(*kinds))).groupBy(*pair, "words", "size", "alignment").agg(
+        F.flatten(F.collect_list("places")).alias("places"), (F.sum("good") / F.sum("n")).alias("consistency"), F.max("changed").alias("changed"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
+    return grouped.select(*pair, (covered / F.col("words")).alias("coverage"), F.coalesce("consistency", F.lit(1.0)).alias("consistency"),
+                          F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -1,7 +1,5 @@
 """Leaks in other case, of number-rich items, and beside inconsistent variants."""
 
-import pytest
-
 from pairspark.llm import decontam
 
 ITEM = "the quick brown fox jumps over the lazy dog near the old river bank"
@@ -28,3 +26,10 @@ def test_number_rich_items_find_their_copies(spark):
     got = found(spark, [f"Well. {t} Yes." for t in items], items)
     assert all(got[n, n]["coverage"] == got[n, n]["consistency"] == 1.0 for n in range(len(items)))
     assert (1, 0) not in found(spark, ["1 2 3 4 5 6 7 8", "8 7 6 5 4 3 2 1"], items[1:2])
+
+
+def test_one_consistent_alignment_is_enough(spark):
+    other = "Say, Ann has 5 apples and 9 miles to go, then Bob eats 6 apples."
+    got = found(spark, [f"{NAMED} {other}", f"{other} {NAMED} {other} {other}", other, NAMED.replace("apples and", "apples left and") + " " + other], [NAMED])
+    assert sorted(got) == [(0, 0), (1, 0), (3, 0)] and all(r["consistency"] >= 0.8 for r in got.values())
+    assert (got[0, 0]["coverage"], got[0, 0]["consistency"], got[0, 0]["reparameterised"]) == (1.0, 1.0, False)
