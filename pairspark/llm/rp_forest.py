@@ -115,18 +115,27 @@ def _search(k: int):
             ids, x = vectors["vec_id"].to_numpy(), _matrix(vectors["v"])
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
+            # Rows of one id count as its nearest one before the k nearest are taken.
+            each, first, many = np.unique(ids, return_index=True, return_counts=True)
             asked, q = queries["query_id"].to_numpy(), _matrix(queries["v"])
             for at in range(0, len(q), 256):
                 near = q[at:at + 256] @ x.T
                 near[asked[at:at + 256, None] == ids[None, :]] = -np.inf
-                most = min(k, len(ids))
-                floor = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most]
+                if len(each) < len(ids):
+                    near = np.maximum.reduceat(near, first, axis=1)
+                most = min(k, len(each))
+                floor = np.partition(near, len(each) - most, axis=1)[:, len(each) - most]
                 for row, low in enumerate(floor):
                     # Products by blocks may differ in the last place, also for equal vectors; the
                     # final ones are summed in one fixed order.
                     pick = np.flatnonzero((near[row] >= low - 1e-9 * max(1.0, abs(low))) & (near[row] > -np.inf)) if np.isfinite(low) else np.flatnonzero(near[row] > -np.inf)
+                    if len(each) < len(ids):
+                        pick = np.concatenate([np.arange(first[i], first[i] + many[i]) for i in pick]) if len(pick) else pick
                     score = (x[pick] * q[at + row]).sum(axis=1)
-                    best = np.lexsort((ids[pick], -score))[:k]
+                    best = np.lexsort((ids[pick], -score))
+                    if len(each) < len(ids):
+                        best = best[np.sort(np.unique(ids[pick][best], return_index=True)[1])]
+                    best = best[:k]
                     out_q.append(np.full(len(best), asked[at + row]))
                     out_v.append(ids[pick][best])
                     out_s.append(score[best])
@@ -149,7 +158,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     import numpy as np
 
     copies = Window.partitionBy("v").orderBy("vec_id")
-    distinct = stored(vectors.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "forest-vectors")
+    distinct = stored(vectors.select("vec_id", "v").distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).select("vec_id", "v"), "forest-vectors")
     n = distinct.count()
     asked = queries.select(F.col("vec_id").alias("query_id"), "v").distinct()
     depth = LEAST_DEPTH
