@@ -1,8 +1,12 @@
 """License scans: winnowed fingerprints pick candidates, a banded alignment measures them.
 
-The templates' word three-grams are winnowed into an inverted index (three-gram to template and
-place), which is small and travels with the tasks. A text's three-grams are all looked up, so a
-shared run of ``GRAM + WINNOW - 1`` words is always found. Hits of one template on neighbouring
+The templates' word three-grams go into an inverted index (three-gram to template and place), which
+is small and travels with the tasks; those of templates over ``SHORT`` words are winnowed. A text's
+three-grams are all looked up, so a shared run of ``GRAM + WINNOW - 1`` words is always found, and
+one of three words of a shorter template. With a fifth of its words changed or left out a template
+of 6 to 15 words keeps a run of three words and a longer one a run of four; one of five words keeps
+only two, so such templates are indexed by two-grams. Words added in between can still break all
+runs, and the local alignment may leave out an end behind several differing words. Hits of one template on neighbouring
 diagonals make a candidate; a banded alignment of the template with the text around that diagonal
 then gives the matched share of the template and the matched span of the text.
 """
@@ -17,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, worker_cache
 
-GRAM, WINNOW, BAND, COVERAGE = 3, 4, 8, 0.8
+GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
+#: Templates up to so many words are indexed by all their three-grams, and up to so many also by two-grams.
+SHORT, SHORTEST = 15, 5
 
 # Notices as licenses and their stewards publish them.
 TEMPLATES = {
@@ -57,10 +63,14 @@ class Index:
         for t, ids in enumerate(self.templates):
             grams = self.grams(ids).tolist()
             ranks = [int.from_bytes(hashlib.blake2b(str(g).encode(), digest_size=8).digest()) for g in grams]
-            width = min(WINNOW, len(grams))
+            width = min(WINNOW if len(ids) > SHORT else 1, len(grams))
             kept = {min(range(i, i + width), key=lambda j: (ranks[j], -j)) for i in range(len(grams) - width + 1)} if grams else set()
             for at in sorted(kept):
                 index.setdefault(grams[at], []).append((t, at))
+            if len(ids) <= SHORTEST:
+                # Numbers below zero are two-grams.
+                for at in range(len(ids) - 1 if len(ids) >= GRAM else 0):
+                    index.setdefault(-int(ids[at] * self.base + ids[at + 1]), []).append((t, at))
         self.index = index
         self.keys = np.array(sorted(index), np.int64)
 
@@ -113,11 +123,14 @@ def scan_text(raw: bytes, index: Index, coverage: float = COVERAGE, band: int =
     inside = ids > 0
     if len(ids) < GRAM:
         return []
-    runs = inside[:-2] & inside[1:-1] & inside[2:]
-    places = np.flatnonzero(runs)
-    if not len(places):
+    pairs = np.flatnonzero(inside[:-1] & inside[1:])
+    if not len(pairs):
         return []
-    grams = (ids[places] * index.base + ids[places + 1]) * index.base + ids[places + 2]
+    threes = pairs[:-1][np.diff(pairs) == 1]
+    grams = np.concatenate([(ids[threes] * index.base + ids[threes + 1]) * index.base + ids[threes + 2], -(ids[pairs] * index.base + ids[pairs + 1])])
+    places = np.concatenate([threes, pairs])
+    order = np.argsort(places, kind="stable")
+    places, grams = places[order], grams[order]
     hit = np.isin(grams, index.keys)
     # Places that line up with one template within the band are one candidate.
     candidates: dict[int, list[int]] = {}
