@@ -47,6 +47,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % folds
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, over all its tasks.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches, stored, worker_cache
+from .common import fold_of, free_name, small_batches, stored, worker_cache
 
 FOLDS, HELD_OUT = 4, 2
 ORDERS, BUCKET_BITS = (1, 2, 3), 15
@@ -210,7 +210,13 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least_score: float = LEAST_SCORE, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is known with at least ``least_score``."""
-    find = predictor(train(docs, sample))
-    marked = docs.withColumn("__language", find(F.col("text")))
-    return marked.where((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= least_score)).drop("__language")
+    """The rows of ``docs``, unchanged, whose language is known with at least ``least_score``.
+
+    Null texts and texts without a letter go; so do all rows when no language can be learned. Equal
+    scores go to the first language by name; texts are read whole, long ones too. Repeated rows
+    stay or go together. The id may be of any type. Further columns, whatever their names, are
+    returned as they are; an empty table gives no rows.
+    """
+    find, name = predictor(train(docs, sample)), free_name(docs, "language")
+    marked = docs.withColumn(name, find(F.col("text")))
+    return marked.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= least_score)).drop(name)

@@ -231,21 +231,23 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
 def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The first row of ``docs`` of each group; ``rows`` has ``root, doc_id, digest`` of every row.
 
-    Rows without an id come last, equal ids are ordered by a digest of the text, and of repeated
-    rows one stays.
+    Rows without an id come last, equal ids are ordered by a digest of the text, and of rows with
+    the same id and text the one stays whose columns come first as JSON.
     """
     rows = stored(rows, "copies-rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = stored(rows.groupBy("root").agg(F.min(place).alias("first")), "copies-first")
     counted = rows.join(first, "root").groupBy("root", "doc_id", "digest", place.eqNullSafe(F.col("first")).alias("wins")).agg(F.count(F.lit(1)).alias("n"))
-    gone = stored(counted.where("NOT wins OR n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "wins"), "copies-gone")
+    gone = stored(counted.where("NOT wins OR n > 1").select(F.col("doc_id").alias("id"), "digest", "wins"), "copies-gone")
     repeated = gone.where("wins").drop("wins")
 
     def same(table):
-        return docs["doc_id"].cast("long").eqNullSafe(table["__id"]) & (digest_of(docs["text"]) == table["__digest"])
+        return docs["doc_id"].cast("long").eqNullSafe(table["id"]) & (digest_of(docs["text"]) == table["digest"])
 
     out = docs.join(gone, same(gone), "left_anti")
     if repeated.limit(1).count():
-        again = docs.join(repeated, same(repeated), "left_semi").withColumn("__digest", digest_of(F.col("text")))
-        out = out.unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+        row = F.struct(*[docs[c] for c in docs.columns])
+        again = docs.join(repeated, same(repeated), "left_semi").groupBy(docs["doc_id"].cast("long"), digest_of(docs["text"])).agg(
+            F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row"))
+        out = out.unionByName(again.select("row.*"))
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import small_batches, stored, worker_cache
+from .common import free_name, small_batches, stored, worker_cache
 
 BAD, GOOD, ABSTAIN = 1, 2, 0
 LABELLERS = ("symbols", "tables", "repeats", "function words", "lines", "length", "variety")
@@ -199,6 +199,12 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def good_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, unchanged, that :func:`judge` keeps."""
+    """The rows of ``docs``, unchanged, that :func:`judge` keeps.
+
+    A null text is judged as an empty one; a score of exactly ``KEEP`` stays. Long texts are judged
+    whole, repeated rows stay or go together. Further columns, whatever their names, are returned
+    as they are; an empty table gives no rows.
+    """
     weights, _ = train(docs, sample)
-    return docs.withColumn("__quality", scorer(weights)(F.col("text"))).where(F.col("__quality") >= KEEP).drop("__quality")
+    name = free_name(docs, "quality")
+    return docs.withColumn(name, scorer(weights)(F.col("text"))).where(F.col(name) >= KEEP).drop(name)
