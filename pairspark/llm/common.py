@@ -64,6 +64,16 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def release_memory() -> None:
+    """Give what a task freed back to the system, since the worker stays for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator], Iterator]:
     """A ``mapInArrow`` function from one that maps a batch."""
 
@@ -72,6 +82,7 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+        release_memory()
 
     return run
 

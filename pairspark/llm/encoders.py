@@ -11,6 +11,12 @@ Special strings hold no white space, hence none is cut.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import worker_cache
 
 #: Entries after which a worker's cache starts anew, and the longest piece (bytes) it keeps: with the
@@ -72,3 +78,127 @@ def piece_cache(path: str, kind: str, value) -> PieceCache:
     if (path, kind) not in caches:
         caches[path, kind] = PieceCache(path, value)
     return caches[path, kind]
+
+
+#: Distinct words that a worker keeps (twice as many with the older half).
+KEPT_WORDS = 100_000
+# The characters of plain words, which lower case and composition treat one by one,
+# and the parts into which the word BPE cuts such a word in lower case.
+PLAIN = "[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+PARTS = "\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+WORD_END = "</w>"
+
+
+def _bytes_of_symbols() -> dict[str, int]:
+    """The printable stand-ins of byte-level BPE: visible Latin-1 stands for itself, the rest follows from 256 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in visible]
+    return {**{chr(b): b for b in visible}, **{chr(256 + i): b for i, b in enumerate(others)}}
+
+
+class PlainWords:
+    """Ids of plain words by merge ranks.
+
+    A part is encoded as its bytes and a space, which stands for the end of the word and is merged
+    first. The rank encoder joins any two neighbours whose bytes together are a token, the
+    tokenizer only the token's own two halves. Both do the same steps if only tokens are given
+    ranks that the tokenizer makes of their own symbols: as long as no token crosses the ends of a
+    span, merges inside happen as if it stood alone, so the last two pieces of such a token are its
+    halves, and any other token is never made.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        byte, vocab = _bytes_of_symbols(), model["vocab"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rank = {pair: i for i, pair in reversed(list(enumerate(pairs)))}
+
+        def raw(token):
+            ended = token.endswith(WORD_END)
+            return bytes(byte[c] for c in (token[:-len(WORD_END)] if ended else token)) + b" " * ended
+
+        def is_made(token):
+            ended = token.endswith(WORD_END)
+            at = list(token[:-len(WORD_END)] if ended else token)
+            if ended:
+                at[-1] += WORD_END
+            while len(at) > 1:
+                ranks = [rank.get(pair, len(pairs)) for pair in zip(at, at[1:])]
+                least = min(ranks)
+                if least == len(pairs):
+                    return False
+                i = ranks.index(least)
+                at[i:i + 2] = [at[i] + at[i + 1]]
+            return True
+
+        symbols = [*sorted(byte, key=byte.get)]
+        tokens = [*symbols, *(c + WORD_END for c in symbols if byte[c] != 32), *dict.fromkeys(a + b for a, b in pairs if is_made(a + b))]
+        self.ids = np.array([vocab.get(t, 0) for t in tokens], "<u4")
+        self.encoding = tiktoken.Encoding("words", pat_str=r"\n|[^ \n]+ ", special_tokens={}, mergeable_ranks={raw(t): i for i, t in enumerate(tokens)})
+        self.is_plain, self.parts = re.compile(PLAIN).fullmatch, re.compile(PARTS).findall
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of plain words without special strings."""
+        parts = self.parts("\n".join([*words, ""]).lower())
+        ranks = np.array(self.encoding.encode_ordinary(" ".join([*parts, ""])), np.int64)
+        ends = np.flatnonzero(ranks == 10)
+        raw, stops = self.ids[ranks].tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]
+
+
+class WordIds:
+    """Ids of whole columns of texts by word BPE, with what is known of words kept in the worker.
+
+    The words of a column are numbered by Arrow, so Python sees each distinct word of a batch once.
+    New plain words go to :class:`PlainWords`, all others to the library.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.words, self.older, self.plain = path, {}, {}, PlainWords(path)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words as little-endian unsigned 32-bit numbers."""
+        if len(self.words) > KEPT_WORDS:
+            self.older, self.words = self.words, {}
+        found = list(map(self.words.get, words))
+        plain, others = [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                word = words[i]
+                ids = self.older.get(word)
+                if ids is not None:
+                    found[i] = self.words[word] = ids
+                elif self.plain.is_plain(word) and "<|" not in word:
+                    plain.append(i)
+                else:
+                    others.append(i)
+        if plain:
+            for i, ids in zip(plain, self.plain.ids_of([words[i] for i in plain])):
+                found[i] = ids
+        for at in range(0, len(others), 4096):
+            some = others[at:at + 4096]
+            for i, enc in zip(some, encoded(self.path, [words[i] for i in some])):
+                found[i] = np.array(enc.ids, "<u4").tobytes()
+        self.words.update((words[i], found[i]) for i in (*plain, *others) if len(words[i]) <= CACHE_PIECE)
+        return found
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, bytes]:
+        """The number of ids of each text, null being empty, and the ids of all texts."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        numbered = split.flatten().dictionary_encode()
+        ids = self.of_words(numbered.dictionary.to_pylist())
+        sizes, codes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, numbered.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[codes])][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.diff(ends), b"".join(map(ids.__getitem__, codes.tolist()))
+
+
+def word_ids(path: str) -> WordIds:
+    known = worker_cache("words")
+    if path not in known:
+        known[path] = WordIds(path)
+    return known[path]

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_bytes
-from .encoders import piece_cache
+from .common import release_memory, small_batches, stored
+from .encoders import word_ids
 
 SEQUENCE, END_ID = 4096, 2
 
@@ -32,18 +32,18 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
         from pyspark import TaskContext
 
         part, local = TaskContext.get().partitionId(), 0
-        cache = piece_cache(path, "ids", lambda enc: np.array(enc.ids, "<u4").tobytes())
-        tail = np.array([end_id], "<u4").tobytes()
+        words = word_ids(path)
         for batch in batches:
-            words = [raw.split() for raw in text_bytes(batch.column(1))]
-            cache.prepare(words)
-            ids = [b"".join(map(cache.__getitem__, ws)) + tail for ws in words]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = local + np.cumsum(n) - n
-            local += int(n.sum())
+            n, flat = words.of_texts(batch.column(1))
+            ids = np.insert(np.frombuffer(flat, "<u4"), np.cumsum(n), end_id)
+            n += 1
+            ends = np.cumsum(n)
+            column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, 4 * ends].astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part), pa.int64()), pa.array(before), batch.column(0), pa.array(n), pa.array(ids, pa.binary())],
+                [pa.array(np.full(len(n), part), pa.int64()), pa.array(local + ends - n), batch.column(0), pa.array(n), column],
                 names=["part", "local", "doc_id", "n", "ids"])
+            local += int(n.sum())
+        release_memory()
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "part long, local long, doc_id long, n long, ids binary")
@@ -56,7 +56,9 @@ def pack(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_I
     ``cut_after`` (the document goes on in the sequence before or after) and ``padded_to``: every
     sequence but the last is full; the last is padded to ``length`` unless its size is a power of
     two. A null or empty text is one end id. Repeated rows are packed each; a null id stays null;
-    an empty table gives no rows. The order of documents is that of the stored partitions.
+    further columns, whatever their names, are ignored; an empty table gives no rows. A text longer
+    than a sequence has a piece in each sequence it spans. The order of documents is that of the
+    stored partitions.
     """
     encoded = stored(encode_documents(docs, path, end_id), "packing-ids")
     totals = encoded.groupBy("part").agg(F.sum("n").alias("total"))
@@ -65,7 +67,7 @@ def pack(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_I
     everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bases = stored(totals.select("part", F.coalesce(F.sum("total").over(upto), F.lit(0)).alias("base"),
                                  F.sum("total").over(everything).alias("grand")), "packing-bases")
-    if docs.rdd.getNumPartitions() <= BROADCAST_PARTITIONS:
+    if bases.count() <= BROADCAST_PARTITIONS:
         bases = F.broadcast(bases)
     placed = encoded.join(bases, "part").withColumn("first", F.col("base") + F.col("local"))
     window = F.sequence(F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("n") - 1) / length))
