@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lattice_lm, license_scan, packing, rp_forest, simhash, token_counts, weak_quality
+from . import chat, decontam, langid, lattice_lm, license_scan, packing, part_codes, rp_forest, simhash, token_counts, weak_quality
 from .common import table_at
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,3 +95,36 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(body + CASE WHEN opens THEN 13 + named ELSE 10 END + CASE WHEN closes THEN 11 ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM parts GROUP BY conv_id
 """
+
+
+@query
+def op11_part_codes(spark, folder):
+    return part_codes.code_digest(table_at(spark, folder, "embeddings"))
+
+
+def _code_rounds(rounds: int, width: int = 4) -> str:
+    """Codebooks and assignments of all rounds as common table expressions."""
+    cells = range(1, width + 1)
+    far = " + ".join(f"(x[{c}] - y[{c}]) * (x[{c}] - y[{c}])" for c in cells)
+    text = ""
+    for i in range(rounds + 1):
+        if i:
+            means = ", ".join(f"CAST(floor(sum(x[{c}]) / count(*)) AS BIGINT)" for c in cells)
+            text += f""", mean{i} AS (SELECT p, near.e AS e, [{means}] AS y FROM near{i - 1} GROUP BY p, near.e),
+book{i} AS (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM book{i - 1} b LEFT JOIN mean{i} m ON b.p = m.p AND b.e = m.e)"""
+        text += f""", near{i} AS (SELECT r, p, x, min({{'d': {far}, 'e': e}}) AS near FROM parts JOIN book{i} USING (p) GROUP BY r, p, x)"""
+    return text
+
+
+ORACLES["op11_part_codes"] = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, v[4 * p + 1:4 * p + 4] AS x FROM kept, range(16) AS t(p)),
+first AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS e, min(v) AS v FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT p, e, v[4 * p + 1:4 * p + 4] AS y FROM first, range(16) AS t(p)){_code_rounds(2)},
+coded AS (SELECT r, string_agg(printf('%02x', near.e), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
