@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lattice_lm, license_scan, packing, part_codes, rp_forest, simhash, token_counts, weak_quality, word_runs
+from . import chat, decontam, langid, lattice_lm, license_scan, packing, part_codes, piece_spans, rp_forest, simhash, token_counts, weak_quality, word_runs
 from .common import table_at
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -102,6 +102,11 @@ def op11_part_codes(spark, folder):
     return part_codes.code_digest(table_at(spark, folder, "embeddings"))
 
 
+@query
+def op12_piece_spans(spark, folder):
+    return piece_spans.piece_digest(table_at(spark, folder, "documents"), PIECES)
+
+
 @query
 def op13_word_runs(spark, folder):
     return word_runs.run_digest(word_runs.with_runs(table_at(spark, folder, "documents"), word_runs.planted_repeat))
