@@ -79,9 +79,6 @@ def piece_cache(path: str, kind: str, value) -> PieceCache:
         caches[path, kind] = PieceCache(path, value)
     return caches[path, kind]
 
-
-#: Distinct words that a worker keeps (twice as many with the older half).
-KEPT_WORDS = 100_000
 # The characters of plain words, which lower case and composition treat one by one,
 # and the parts into which the word BPE cuts such a word in lower case.
 PLAIN = "[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
@@ -142,59 +139,58 @@ class PlainWords:
         self.encoding = tiktoken.Encoding("words", pat_str=r"\n|[^ \n]+ ", special_tokens={}, mergeable_ranks={raw(t): i for i, t in enumerate(tokens)})
         self.is_plain, self.parts = re.compile(PLAIN).fullmatch, re.compile(PARTS).findall
 
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of plain words without special strings."""
-        parts = self.parts("\n".join([*words, ""]).lower())
-        ranks = np.array(self.encoding.encode_ordinary(" ".join([*parts, ""])), np.int64)
-        ends = np.flatnonzero(ranks == 10)
-        raw, stops = self.ids[ranks].tobytes(), (4 * ends).tolist()
-        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of ``words``, plain and without special strings, and all ids."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for at in range(0, len(words), 8192):
+            parts = self.parts("\n".join([*words[at:at + 8192], ""]).lower())
+            ranks = np.array(self.encoding.encode_ordinary(" ".join([*parts, ""])), np.int32)
+            end = ranks == 10
+            sizes.append(np.diff(np.r_[-1, np.flatnonzero(end)]) - 1)
+            ids.append(self.ids[ranks[~end]])
+        return np.concatenate(sizes), np.concatenate(ids)
+
+
+def together(sizes, ids, order) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of items in another order, which may name an item often or never."""
+    n = sizes[order]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    shift = (np.cumsum(sizes) - sizes)[order] - (ends - n)
+    return n, ids[np.repeat(shift, n) + np.arange(total)]
 
 
 class WordIds:
-    """Ids of whole columns of texts by word BPE, with what is known of words kept in the worker.
+    """Ids of whole columns of texts by word BPE.
 
-    The words of a column are numbered by Arrow, so Python sees each distinct word of a batch once.
-    New plain words go to :class:`PlainWords`, all others to the library.
+    The words of a column are numbered by Arrow, so each distinct word of a batch is encoded once.
+    Plain words go to :class:`PlainWords`, which is faster than keeping words would be; all others
+    go to the library.
     """
 
     def __init__(self, path: str):
-        self.path, self.words, self.older, self.plain = path, {}, {}, PlainWords(path)
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        found = list(map(self.words.get, words))
-        plain, others = [], []
-        for i, ids in enumerate(found):
-            if ids is None:
-                word = words[i]
-                ids = self.older.get(word)
-                if ids is not None:
-                    found[i] = self.words[word] = ids
-                elif self.plain.is_plain(word) and "<|" not in word:
-                    plain.append(i)
-                else:
-                    others.append(i)
-        if plain:
-            for i, ids in zip(plain, self.plain.ids_of([words[i] for i in plain])):
-                found[i] = ids
-        for at in range(0, len(others), 4096):
-            some = others[at:at + 4096]
-            for i, enc in zip(some, encoded(self.path, [words[i] for i in some])):
-                found[i] = np.array(enc.ids, "<u4").tobytes()
-        self.words.update((words[i], found[i]) for i in (*plain, *others) if len(words[i]) <= CACHE_PIECE)
-        return found
-
-    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, bytes]:
+        self.path, self.plain = path, PlainWords(path)
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of ``words``, and all ids."""
+        is_plain = self.plain.is_plain
+        odd = np.array([not is_plain(w) or "<|" in w for w in words], bool)
+        if not odd.any():
+            return self.plain.ids_of(words)
+        sizes, ids = self.plain.ids_of([w for w, o in zip(words, odd) if not o])
+        others = [enc.ids for enc in encoded(self.path, [w for w, o in zip(words, odd) if o])]
+        sizes = np.r_[sizes, [len(x) for x in others]].astype(np.int64)
+        ids = np.concatenate([ids, *(np.array(x, "<u4") for x in others)])
+        # Plain words were put first.
+        return together(sizes, ids, np.argsort(np.argsort(odd, kind="stable")))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, null being empty, and the ids of all texts."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         numbered = split.flatten().dictionary_encode()
-        ids = self.of_words(numbered.dictionary.to_pylist())
-        sizes, codes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, numbered.indices.to_numpy()
-        ends = np.r_[0, np.cumsum(sizes[codes])][split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return np.diff(ends), b"".join(map(ids.__getitem__, codes.tolist()))
+        n, ids = together(*self.of_words(numbered.dictionary.to_pylist()), numbered.indices.to_numpy())
+        ends = np.r_[0, np.cumsum(n)][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return np.diff(ends), ids
 
 
 def word_ids(path: str) -> WordIds:

@@ -35,7 +35,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
         words = word_ids(path)
         for batch in batches:
             n, flat = words.of_texts(batch.column(1))
-            ids = np.insert(np.frombuffer(flat, "<u4"), np.cumsum(n), end_id)
+            ids = np.insert(flat, np.cumsum(n), end_id)
             n += 1
             ends = np.cumsum(n)
             column = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, 4 * ends].astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
