@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions.text import hash_hex, hash_uniform
+from ..session import checkpointed
 from .ordering import HOT_ROWS, bucket_count, hash_running_totals, null_safe_join, smallest_hash_cut
 
 
@@ -91,38 +92,82 @@ def group_sizes(rows: DataFrame, group: str, fractions: Sequence[float], seed: i
         group, "size", place.alias("place"), F.lit(train).cast("long").alias("train_size"), F.lit(valid).cast("long").alias("valid_size"))
 
 
-def group_split_greedy(df: DataFrame, group: str, fractions: Sequence[float], seed: int,
-                       max_groups: int = 5_000_000) -> DataFrame:
+#: Groups left over from which on packing goes on in one task.
+ONE_TASK = 100_000
+
+
+def group_split_greedy(df: DataFrame, group: str, fractions: Sequence[float], seed: int, one_task: int = ONE_TASK) -> DataFrame:
     """The published packing: every group goes to train if it still fits, else valid, else test.
 
-    Packing depends on all earlier groups, so the (group, size) table is walked in order in
-    one task. That table is counted first; above ``max_groups`` the call refuses and
-    :func:`group_split` is the distributed way.
+    Big groups come first, each list in hashed order. Rows without a group are omitted. A bin is
+    filled in rounds that each leave less than half of its room (:func:`fill`), so the (group,
+    size) table may have any length.
     """
     _check_fractions(fractions)
     rows = df.where(F.col(group).isNotNull())
-    sizes = group_sizes(rows, group, fractions, seed)
-    groups = sizes.count()
-    if groups > max_groups:
-        raise ValueError(f"{groups} groups are too many for sequential packing; use group_split")
-    no_test = fractions[2] == 0
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place")
-        room = {"train": int(frame["train_size"].iloc[0]), "valid": int(frame["valid_size"].iloc[0])}
-        labels = []
-        for size in frame["size"]:
-            label = next((s for s in ("train", "valid") if size <= room[s]), "test")
-            if no_test and label != "train":
-                label = "valid"
-            if label in room:
-                room[label] -= size
-            labels.append(label)
-        return pd.DataFrame({group: frame[group], "split": labels})
-
-    kind = rows.schema[group].dataType.simpleString()
-    packed = sizes.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(pack, f"`{group}` {kind}, split string")
-    return rows.join(packed, group)
+    sizes = checkpointed(df.sparkSession, group_sizes(rows, group, fractions, seed))
+    ends = sizes.agg(F.max("train_size"), F.max("valid_size")).first()
+    if ends[0] is None:
+        return rows.withColumn("split", F.lit("test"))
+    in_train = fill(sizes, "place", "size", ends[0], one_task)
+    if fractions[2] == 0:
+        # Without a test share valid takes all the rest.
+        labelled = in_train.select(group, F.when(F.col("filled"), "train").otherwise("valid").alias("split"))
+    else:
+        in_train = checkpointed(df.sparkSession, in_train)
+        in_valid = fill(in_train.where("NOT filled").drop("filled"), "place", "size", ends[1], one_task)
+        labelled = in_train.where("filled").select(group, F.lit("train").alias("split")).unionByName(
+            in_valid.select(group, F.when(F.col("filled"), "valid").otherwise("test").alias("split")))
+    return rows.join(labelled, group)
+
+
+def fill(items: DataFrame, place: str, size: str, room: int, one_task: int = ONE_TASK) -> DataFrame:
+    """Mark as ``filled`` the items that a bin takes, walked by the unique text ``place``: each that still fits.
+
+    A round looks at the items after the last decided place that are no larger than the room. Of
+    the small ones, up to half the room, a running total tells the place where they use up more
+    than half; an item above half the room is taken at the first place where it fits besides the
+    small ones before it, and any other before that place can never fit, since the room only falls.
+    The round ends at the earlier of the two places, with less than half of the room left. So a
+    bin of n rows takes log2(n) rounds at most, each with one running total and one row to the
+    driver, and an item's fate is an expression on its place and size. When no more than
+    ``one_task`` items are left to look at, one task walks them.
+    """
+    after, taken, tail = "", F.lit(False), None
+    while room > 0:
+        left = items.where((F.col(place) > after) & (F.col(size) <= room))
+        if left.limit(one_task + 1).count() <= one_task:
+            tail = left.select(F.col(place).alias("__place"), F.col(size).cast("long").alias("__size"))
+            break
+        small = 2 * F.col(size) <= room
+        totals = hash_running_totals(left, place, {"__before": F.when(small, F.col(size)).otherwise(0)}, prefix=4)
+        used = F.col("__before") + F.col(size)
+        ends = totals.where(F.when(small, 2 * used > room).otherwise(used <= room))
+        end = ends.agg(F.min(F.struct(F.col(place).alias("place"), used.alias("used"), (~small).alias("large")))).first()[0]
+        inside = (F.col(place) > after) & small
+        if end is None:
+            # All small items fit and no other one does.
+            taken = taken | inside
+            break
+        taken = taken | (inside & (F.col(place) <= end["place"]))
+        if end["large"]:
+            taken = taken | (F.col(place) == end["place"])
+        after, room = end["place"], room - end["used"]
+    if tail is None:
+        return items.withColumn("filled", taken)
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        rest, kept = room, []
+        for at, n in sorted(zip(frame["__place"], frame["__size"])):
+            if n <= rest:
+                rest -= n
+                kept.append(at)
+        return pd.DataFrame({"__place": pd.Series(kept, dtype=object)})
+
+    walked = tail.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(walk, "__place string").withColumn("__kept", F.lit(True))
+    # At most ``one_task`` places.
+    marked = items.join(F.broadcast(walked), items[place] == walked["__place"], "left")
+    return marked.withColumn("filled", taken | F.coalesce("__kept", F.lit(False))).drop("__place", "__kept")
 
 
 def cold_split(df: DataFrame, entities: Sequence[str], fractions: Sequence[float], seed: int,

@@ -64,8 +64,9 @@ def group_split_many(spark, folder):
     return split.groupBy("l_orderkey", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("group_split_greedy", f"""
-  WITH RECURSIVE {_group_sql('lineitem', 'l_suppkey', 3, 0.7, 0.1)},
+def _greedy_sql(group: str, seed: int, train: float, valid: float) -> str:
+    return f"""
+  WITH RECURSIVE {_group_sql('lineitem', group, seed, train, valid)},
   w(rn, t, v, grp, split) AS (
     SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
     UNION ALL
@@ -73,13 +74,23 @@ def group_split_many(spark, folder):
            CASE WHEN w.t + size > tr AND w.v + size <= va THEN w.v + size ELSE w.v END, o.grp,
            CASE WHEN w.t + size <= tr THEN 'train' WHEN w.v + size <= va THEN 'valid' ELSE 'test' END
     FROM w JOIN o ON o.rn = w.rn + 1)
-  SELECT l_suppkey, split, count(*) AS n FROM lineitem JOIN w ON grp = l_suppkey GROUP BY 1, 2
-""")
+  SELECT {group}, split, count(*) AS n FROM lineitem JOIN w ON grp = {group} GROUP BY 1, 2
+"""
+
+
+@query("group_split_greedy", _greedy_sql("l_suppkey", 3, 0.7, 0.1))
 def group_split_greedy_query(spark, folder):
     split = sp.group_split_greedy(table(spark, folder, "lineitem", "l_suppkey"), "l_suppkey", [0.7, 0.1, 0.2], 3)
     return split.groupBy("l_suppkey", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("group_split_greedy_cut", _greedy_sql("l_suppkey", 4, 0.5, 0.3))
+def group_split_greedy_cut(spark, folder):
+    """By rounds down to the last two groups."""
+    split = sp.group_split_greedy(table(spark, folder, "lineitem", "l_suppkey"), "l_suppkey", [0.5, 0.3, 0.2], 4, one_task=2)
+    return split.groupBy("l_suppkey", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _draw_sql(name: str, source: str, column: str, fraction: float) -> str:
     return f"""{name} AS (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY md5('8:' || k)) AS r, count(*) OVER () AS n
         FROM (SELECT DISTINCT {column} AS k FROM {source})) WHERE r <= round(n * {fraction!r}::DOUBLE))"""

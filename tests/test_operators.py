@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -243,9 +245,43 @@ def test_group_splits_keep_groups_whole(spark):
                 assert "test" not in sizes
 
 
-def test_greedy_refuses_too_many_groups(spark):
-    with pytest.raises(ValueError, match="too many"):
-        splits.group_split_greedy(spark.range(10).withColumn("g", F.col("id")), "g", [0.6, 0.2, 0.2], 1, max_groups=9)
+def walked(sizes, room):
+    """Places that a bin takes, item by item."""
+    taken = []
+    for place, size in sorted(sizes):
+        if size <= room:
+            room -= size
+            taken.append(place)
+    return taken
+
+
+@pytest.mark.parametrize("one_task", [0, 3, 100])
+def test_filling_by_rounds_takes_what_a_walk_takes(spark, one_task):
+    rng = random.Random(4)
+    for _ in range(3):
+        sizes = [(f"{rng.randrange(16**8):08x}", rng.choice([1, 2, 3, rng.randrange(1, 40), rng.randrange(1, 400)])) for _ in range(120)]
+        room = rng.randrange(1, sum(n for _, n in sizes))
+        items = spark.createDataFrame(sizes, "place string, size long")
+        got = splits.fill(items, "place", "size", room, one_task).where("filled").collect()
+        assert sorted(r["place"] for r in got) == walked(sizes, room)
+
+
+def test_filling_alternating_large_and_small_items(spark):
+    """Every second item is just too large: rounds must not be spent on each."""
+    sizes = [(f"{i:04x}", 1 if i % 2 == 0 else 1000 - i) for i in range(200)]
+    items = spark.createDataFrame(sizes, "place string, size long")
+    got = splits.fill(items, "place", "size", 500, 0).where("filled").collect()
+    assert sorted(r["place"] for r in got) == walked(sizes, 500)
+
+
+def test_greedy_split_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "id int, g string")
+    assert splits.group_split_greedy(empty, "g", [0.6, 0.2, 0.2], 1).collect() == []
+    only_null = spark.createDataFrame([(1, None), (2, None)], "id int, g string")
+    assert splits.group_split_greedy(only_null, "g", [0.6, 0.2, 0.2], 1).collect() == []
+    one = spark.createDataFrame([(i, "a") for i in range(10)], "id int, g string")
+    assert {r["split"] for r in splits.group_split_greedy(one, "g", [0.5, 0.3, 0.2], 1, one_task=0).collect()} == {"test"}
+
 
 
 def test_cold_split_never_shares_an_entity(spark):
