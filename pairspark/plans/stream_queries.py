@@ -29,12 +29,11 @@ def stream_top_k_query(spark, folder):
     ligands = ligand_vectors(spark, folder).select("smiles", "ligand_vec")
 
     def score(chunk):
-        matrix = sc.screen_matrix(chunk, chunk.sparkSession.read.parquet(held), "smiles", "protein_id")
+        matrix = sc.screen_matrix(chunk, spark.read.parquet(held), "smiles", "protein_id")
         return sc.score_dot(matrix, "ligand_vec", "protein_vec").select("protein_id", "smiles", "prediction")
 
     best = screens.stream_top_k(
-        _stream(spark, ligands, "smiles", "ligand-chunks"), score, ["protein_id"], "prediction", 5, ["smiles"],
-        fresh_dir(spark, "state"), fresh_dir(spark, "checkpoint"))
+        _stream(spark, ligands, "smiles", "ligand-chunks"), score, ["protein_id"], "prediction", 5, ["smiles"], fresh_dir(spark, "checkpoint"))
     return best.select("protein_id", "smiles", F.round("prediction", 4).alias("prediction"), "rank")
 
 
@@ -62,6 +61,24 @@ def stream_distinct_query(spark, folder):
     return spark.read.parquet(sink).select("text")
 
 
+@query("stream_distinct_within", "SELECT DISTINCT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events")
+def stream_distinct_within_query(spark, folder):
+    """Users by hour: a key's events all come before it leaves the state, since chunks arrive in order of time."""
+    events = table(spark, folder, "events", "user_id", "ts").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.withColumn("hour", F.floor(F.unix_seconds("ts") / 3600))
+    path, sink = fresh_dir(spark, "event-chunks"), fresh_dir(spark, "stream-distinct-within")
+    # One file per quarter of the time, written one after the other: files arrive by their age.
+    first, last = events.agg(F.min("hour"), F.max("hour")).first()
+    if first is None:
+        return events.select("user_id", "hour")
+    quarter = F.floor((F.col("hour") - first) * 4 / (last - first + 1))
+    for i in range(4):
+        events.where(quarter == i).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    screens.stream_distinct_within(stream, ["user_id", "hour"], "ts", "2 hours", sink, fresh_dir(spark, "checkpoint"))
+    return spark.read.parquet(sink).select("user_id", "hour")
+
+
 @query("stream_cache_fill", """
   SELECT sha256(text) AS sha, CAST(length(text) AS BIGINT) AS value, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT text FROM conversations) WHERE length(text) >= 100
   UNION ALL SELECT sha256(text), NULL, 'too short' FROM (SELECT DISTINCT text FROM conversations) WHERE length(text) < 100
