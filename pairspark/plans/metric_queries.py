@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import export
 from ..operators import metrics as m
 from ..operators import screening as sc
 from .registry import CUT, ORACLES, query, table
@@ -335,3 +336,67 @@ def export_predictions_query(spark, folder):
     labels = ligands.select(F.col("label").alias("protein_id"), "smiles", F.lit(1).alias("classification_truth"))
     exported = m.export_predictions(scored.select("protein_id", "smiles", "prediction"), labels, ["protein_id", "smiles"])
     return exported.withColumn("prediction", F.round("prediction", 4) + F.lit(0.0))
+
+
+def _order_bundle(spark, folder):
+    """Orders as pairs of a customer and an order, their lines as residues, atoms and cliques."""
+    keys = [F.col("l_orderkey").alias("ligand")]
+    lines = table(spark, folder, "lineitem")
+    orders = table(spark, folder, "orders")
+    number = F.col("l_linenumber").alias("position")
+    pairs = orders.select(F.col("o_orderkey").alias("ligand"), F.col("o_custkey").cast("double").alias("regression_prediction"),
+                          ((F.col("o_custkey") % 100) / 100).alias("classification_prediction"))
+    labels = orders.where("o_orderkey % 3 <> 0").select(
+        F.col("o_orderkey").alias("ligand"), (F.col("o_custkey") + F.col("o_orderkey") % 5).cast("double").alias("regression_truth"),
+        (F.col("o_orderkey") % 2).alias("classification_truth"))
+    whole = F.col("l_quantity").cast("long")
+    return export.prediction_bundle(
+        pairs, ["ligand"], labels,
+        lines.where("l_linenumber <= 3").select(*keys, number, whole.alias("score"), F.array(whole, whole % 7).alias("layers")),
+        lines.where("l_linenumber > 3").select(*keys, number, whole.alias("score")),
+        lines.where("l_linenumber % 2 = 0").select(*keys, number, F.array(whole % 5).alias("layers")),
+        orders.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("ligand"), F.array(F.col("o_custkey").cast("double")).alias("mol_feature")))
+
+
+@query("prediction_bundle", """
+  WITH l AS (SELECT l_orderkey AS ligand, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+  e AS (SELECT ligand, coalesce(string_agg(q::VARCHAR, ',' ORDER BY n, q) FILTER (n <= 3), '') AS residue_score,
+          coalesce(string_agg(q || ':' || q % 7, ',' ORDER BY n, q) FILTER (n <= 3), '') AS residue_layer,
+          coalesce(string_agg(q::VARCHAR, ',' ORDER BY n, q) FILTER (n > 3), '') AS atom_score,
+          coalesce(string_agg((q % 5)::VARCHAR, ',' ORDER BY n, q % 5) FILTER (n % 2 = 0), '') AS clique_layer FROM l GROUP BY ligand)
+  SELECT o_orderkey AS ligand, o_custkey::DOUBLE AS regression_prediction, CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey + o_orderkey % 5)::DOUBLE END AS regression_truth,
+         CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 2)::DOUBLE END AS classification_truth,
+         coalesce(residue_score, '') AS residue_score, coalesce(residue_layer, '') AS residue_layer, coalesce(atom_score, '') AS atom_score, coalesce(clique_layer, '') AS clique_layer,
+         CASE WHEN o_orderkey % 4 = 0 THEN o_custkey::DOUBLE END AS mol_feature
+  FROM orders LEFT JOIN e ON ligand = o_orderkey
+""")
+def prediction_bundle_query(spark, folder):
+    def told(name):
+        return F.array_join(F.transform(f"explanation.{name}", lambda x: x.cast("long").cast("string")), ",").alias(name)
+
+    def layers(name):
+        return F.array_join(F.transform(f"explanation.{name}", lambda x: F.array_join(F.transform(x, lambda v: v.cast("long").cast("string")), ":")), ",").alias(name)
+
+    return _order_bundle(spark, folder).select(
+        "ligand", F.col("regression.prediction").alias("regression_prediction"), F.col("regression.truth").alias("regression_truth"),
+        F.col("classification.truth").alias("classification_truth"), told("residue_score"), layers("residue_layer"), told("atom_score"), layers("clique_layer"),
+        F.get("explanation.mol_feature", F.lit(0)).alias("mol_feature"))
+
+
+@query("bundle_report", """
+  WITH r AS (SELECT o_custkey::DOUBLE AS p, (o_custkey + o_orderkey % 5)::DOUBLE AS y, (o_custkey % 100) / 100.0 AS c, o_orderkey % 2 AS t FROM orders WHERE o_orderkey % 3 <> 0),
+  f AS (SELECT sum(CASE WHEN c > 0.5 AND t = 1 THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN c > 0.5 THEN 1.0 ELSE 0 END) AS said, sum(t) AS pos FROM r)
+  SELECT 'regression' AS family, 'mse' AS metric, round(avg((y - p) * (y - p)), 6)::DOUBLE AS value, false AS failed FROM r
+  UNION ALL SELECT 'regression', 'mae', round(avg(abs(y - p)), 6), false FROM r
+  UNION ALL SELECT 'regression', 'pearson', round(corr(y, p), 6), false FROM r
+  UNION ALL SELECT 'classification', 'precision', round(tp / said, 6), false FROM f
+  UNION ALL SELECT 'classification', 'recall', round(tp / pos, 6), false FROM f
+  UNION ALL SELECT 'multiclass', NULL, NULL, true
+""")
+def bundle_report_query(spark, folder):
+    """The multiclass family fails on purpose; the others are as they would be without it."""
+    bundle = _order_bundle(spark, folder)
+    failing = bundle.select(F.lit("any").alias("metric"), F.raise_error(F.lit("no multiclass head")).cast("double").alias("value"))
+    report = export.isolated_report(spark, {**export.bundle_families(bundle), "multiclass": lambda: failing})
+    shown = report.where("metric IS NULL OR metric IN ('mse', 'mae', 'pearson', 'precision', 'recall')")
+    return shown.select("family", "metric", F.round("value", 6).alias("value"), F.col("error").isNotNull().alias("failed"))
