@@ -298,7 +298,7 @@ def write_interpretation(spark, folder):
         F.posexplode("ligand_vec").alias("pos", "raw"))
     path = fresh_dir(spark, "interpretation")
     sinks.write_interpretation(rows.select("protein_id", "smiles", (F.col("pos") + 1).alias("residue_id"), F.col("raw").cast("double").alias("raw")), path)
-    back = spark.read.schema("residue_id int, raw double, protein_id string, pair_id string").parquet(path)
+    back = spark.read.schema("residue_id int, raw double, protein_id string, pair_id string").parquet(f"{path}/pairs")
     return back.select("protein_id", "pair_id", "residue_id", F.round("raw", 6).alias("raw"))
 
 

@@ -85,13 +85,11 @@ def stream_distinct_within_query(spark, folder):
 """)
 def stream_cache_fill_query(spark, folder):
     texts = table(spark, folder, "conversations", "conv_id", "text")
-    cache = FeatureCache(spark, fresh_dir(spark, "stream-cache"), "bigint")
-    failures = fresh_dir(spark, "stream-failures")
+    cache = FeatureCache(spark, fresh_dir(spark, "stream-cache"), "bigint", most_runs=2)
 
     def lengths(keys):
         return featurize_sql(keys, "text", F.length("text").cast("long"), F.when(F.length("text") < 100, "too short"))
 
-    screens.stream_cache_fill(_stream(spark, texts, "conv_id", "turn-chunks"), "text", cache, lengths, failures, fresh_dir(spark, "checkpoint"))
+    screens.stream_cache_fill(_stream(spark, texts, "conv_id", "turn-chunks"), "text", cache, lengths, fresh_dir(spark, "checkpoint"))
     stored = cache.table().select("sha", "value", F.lit(None).cast("string").alias("error"))
-    failed = spark.read.parquet(failures).select("sha", "error").distinct()
-    return stored.unionByName(failed.select("sha", F.lit(None).cast("long").alias("value"), "error"))
+    return stored.unionByName(cache.failures().select("sha", F.lit(None).cast("long").alias("value"), "error"))

@@ -62,6 +62,45 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+class Folder:
+    """A folder in whatever file system its path names, for the small files that steer tables."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self.path = spark._jvm, path
+        self._fs = self._at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def names(self) -> list[str]:
+        """Names of the files and folders in it, none if it does not exist."""
+        at = self._at(self.path)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read(self, name: str) -> str | None:
+        """The text of a file; none if it is gone."""
+        at = self._at(f"{self.path}/{name}")
+        if not self._fs.exists(at):
+            return None
+        stream = self._fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def publish(self, name: str, text: str) -> None:
+        """Write a file so that it appears with all its text, by one rename."""
+        draft = self._at(f"{self.path}/.{name}.draft")
+        stream = self._fs.create(draft, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self._fs.rename(draft, self._at(f"{self.path}/{name}")):
+            raise OSError(f"{self.path}/{name} could not be published")
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(f"{self.path}/{name}"), True)
+
+
 def checkpointed(spark: SparkSession, df):
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(spark)

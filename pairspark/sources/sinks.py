@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pair_key, safe_id
@@ -28,14 +28,40 @@ def append_scores(scores: DataFrame, path: str, heads: Heads) -> None:
     round_scores(scores, heads).write.mode("append").option("header", True).csv(path)
 
 
-def write_interpretation(rows: DataFrame, path: str) -> None:
-    """Explanation rows of the surviving pairs, one folder per protein and pair.
+#: Buckets of an interpretation table: as many files at most, however many pairs there are.
+BUCKETS = 64
 
-    ``rows`` are residue, atom or fingerprint rows with ``protein_id`` and ``smiles`` next
-    to their own columns. Rows of a pair are brought together first so that a folder gets
-    one file.
+
+def _bucket(pair_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(pair_id), F.lit(buckets)).cast("int")
+
+
+def write_interpretation(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Explanation rows of the surviving pairs, by hash buckets of the pair, sorted by pair.
+
+    ``rows`` are residue, atom or fingerprint rows with ``protein_id`` and ``smiles`` next to their
+    own columns. A bucket is one file, so their number does not grow with the pairs. ``path/pairs``
+    holds the rows, ``path/lookup`` one row per file: ``buckets, bucket, file, first_pair,
+    last_pair, pairs``.
     """
-    keyed = rows.withColumn("pair_id", pair_key(F.col("protein_id"), F.col("smiles"))).withColumn(
-        "protein_id", safe_id(F.col("protein_id")))
-    keyed.drop("smiles").repartition("protein_id", "pair_id").write.mode("overwrite").partitionBy(
-        "protein_id", "pair_id").parquet(path)
+    spark = rows.sparkSession
+    keyed = rows.withColumn("pair_id", pair_key(F.col("protein_id"), F.col("smiles"))).withColumn("protein_id", safe_id(F.col("protein_id")))
+    placed = keyed.drop("smiles").withColumn("bucket", _bucket(F.col("pair_id"), buckets))
+    placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "pair_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pairs")
+    written = spark.read.schema("protein_id string, pair_id string, bucket int").parquet(f"{path}/pairs")
+    lookup = written.select("bucket", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "pair_id").groupBy("bucket", "file", "pair_id").count()
+    lookup.groupBy(F.lit(buckets).alias("buckets"), "bucket", "file").agg(
+        F.min("pair_id").alias("first_pair"), F.max("pair_id").alias("last_pair"), F.count(F.lit(1)).alias("pairs")).coalesce(1).write.mode("overwrite").parquet(f"{path}/lookup")
+
+
+def read_pair(spark: SparkSession, path: str, protein_id: str, smiles: str, schema: str) -> DataFrame:
+    """The rows of one pair, from its bucket's file; ``schema`` names its own columns. No such pair gives no rows."""
+    pair = pair_key(F.lit(protein_id), F.lit(smiles))
+    files = spark.read.parquet(f"{path}/lookup").withColumn("pair", pair).where(
+        (F.col("bucket") == F.pmod(F.xxhash64("pair"), "buckets")) & F.col("pair").between(F.col("first_pair"), F.col("last_pair")))
+    files = files.select("bucket", "file", "pair").collect()
+    kind = f"protein_id string, pair_id string, {schema}"
+    if not files:
+        return spark.createDataFrame([], kind)
+    paths = [f"{path}/pairs/bucket={r['bucket']}/{r['file']}" for r in files]
+    return spark.read.schema(kind).parquet(*paths).where(F.col("pair_id") == files[0]["pair"])

@@ -171,15 +171,14 @@ def stream_distinct_within(stream: DataFrame, key: list[str], time: str, delay:
                         [p.stateOperators[0].numRowsTotal for p in progress])
 
 
-def stream_cache_fill(stream: DataFrame, key: str, cache: FeatureCache, compute: Transform, failures: str,
-                      checkpoint: str) -> None:
-    """Fill a feature cache chunk by chunk; failures go to a folder per batch.
+def stream_cache_fill(stream: DataFrame, key: str, cache: FeatureCache, compute: Transform, checkpoint: str) -> None:
+    """Fill a feature cache chunk by chunk; failures are kept there too (:meth:`FeatureCache.failures`).
 
-    A repeated batch finds its keys in the cache and adds nothing.
+    A repeated batch finds its keys in the cache; keys that fail again are listed once. The cache
+    merges its runs, so the folders don't grow with the chunks.
     """
     def each(chunk: DataFrame, batch: int) -> None:
-        result = cache.get_or_compute(chunk, key, compute)
-        result.failed.write.mode("overwrite").parquet(f"{failures}/batch={batch}")
+        cache.get_or_compute(chunk, key, compute)
 
     _run(stream, each, checkpoint)
 

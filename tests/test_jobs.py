@@ -64,7 +64,7 @@ def test_top_k_screen_with_interpretation(spark, job):
     run_screening(spark, job)
     rows = [(r["protein_id"], r["smiles"]) for r in scores(spark, job)]
     assert sorted(rows) == [("P2", "CCCC"), ("P2", "CCO"), ("P:1", "CCCC"), ("P:1", "CCO")]
-    residues = spark.read.parquet(job.interpretation)
+    residues = spark.read.parquet(f"{job.interpretation}/pairs")
     assert residues.count() == 2 * 3 + 2 * 2
     assert {r[0] for r in residues.select("protein_id").distinct().collect()} == {"P_1", "P2"}
     assert residues.where("residue_score < 0 OR residue_score > 1").count() == 0

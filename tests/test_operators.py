@@ -216,6 +216,49 @@ def test_cache_round_trip_and_skipped_entries(spark):
     assert {r["k"]: r["value"] for r in cache.attach(keys, "k", second.features).collect()} == {"a": "aa", "c": "cc"}
     assert second.failed.count() == 1 and cache.table().count() == 3
     assert calls == [4, 2]
+    assert {(r["error"]) for r in cache.failures().collect()} == {"division by zero", "oversize entry"}
+
+
+def lengths(keys):
+    return featurize.featurize_sql(keys, "k", F.length("k"), F.when(F.col("k") == "bad", "bad key"))
+
+
+def test_a_half_written_run_is_not_seen(spark, monkeypatch):
+    cache = featurize.FeatureCache(spark, fresh_dir(spark, "cache"), "int")
+    keys = frame(spark, [("a",), ("bb",)], "k string")
+    with monkeypatch.context() as lost:
+        lost.setattr(cache, "_commit", lambda run, replaces: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            cache.get_or_compute(keys, "k", lengths)
+    # The data are there, the commit is not.
+    assert len(cache._folders.names()) == 1 and cache.table().count() == 0
+    again = cache.get_or_compute(keys, "k", lengths)
+    assert again.misses.count() == 2 and cache.table().count() == 2
+
+
+def test_runs_are_merged_and_folders_bounded(spark):
+    cache = featurize.FeatureCache(spark, fresh_dir(spark, "cache"), "int", most_runs=3)
+    held = None
+    for i in range(12):
+        result = cache.get_or_compute(frame(spark, [(f"k{i}",), ("k0",), ("bad",)], "k string"), "k", lengths)
+        assert result.hits.count() == (i > 0)
+        # What a reader opened before a merge can still be read after it.
+        if held is not None:
+            assert held.count() == i
+        held = cache.table()
+    assert cache.table().count() == 12 and cache.failures().count() == 1
+    assert len(cache._visible()[0]) <= 4 and len(cache._folders.names()) <= 9 and len(cache._commits.names()) <= 9
+
+
+def test_lookups_read_only_the_prefixes_they_need(spark):
+    cache = featurize.FeatureCache(spark, fresh_dir(spark, "cache"), "int")
+    many = spark.range(200).selectExpr("concat('key', id) AS k")
+    cache.get_or_compute(many, "k", lengths)
+    assert cache._wanted_prefixes(many.selectExpr("sha2(k, 256) AS sha")) is None
+    some = cache._wanted_prefixes(many.limit(2).selectExpr("sha2(k, 256) AS sha"))
+    plan = cache._read(cache._visible()[0], some)
+    assert 0 < len(plan.inputFiles()) and plan.count() < 200
+    assert all(f"prefix={r[0][0]}" in r[1] for r in plan.select("sha", F.input_file_name()).collect())
 
 
 # --- splits ---

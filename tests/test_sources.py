@@ -4,7 +4,7 @@ import tarfile
 
 import pytest
 
-from pairspark.sources import files, structures
+from pairspark.sources import files, sinks, structures
 
 
 def write(path, text):
@@ -170,3 +170,18 @@ def test_fasta_split_inside_records(spark, tmp_path):
         assert fasta(spark, tmp_path, text) == dict(records)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_pairs_of_an_interpretation_table_lie_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "interpretation")
+    rows = spark.range(3000).selectExpr("concat('P:', id % 7) AS protein_id", "concat('C', id % 500) AS smiles", "id AS residue_id", "id / 2 AS raw")
+    sinks.write_interpretation(rows, path, buckets=4)
+    whole = spark.read.parquet(f"{path}/pairs")
+    assert len(whole.inputFiles()) <= 4 and whole.count() == 3000
+    lookup = spark.read.parquet(f"{path}/lookup").collect()
+    assert sum(r["pairs"] for r in lookup) == rows.select("protein_id", "smiles").distinct().count()
+    one = sinks.read_pair(spark, path, "P:3", "C3", "residue_id long, raw double")
+    assert len(one.inputFiles()) == 1
+    want = rows.where("protein_id = 'P:3' AND smiles = 'C3'")
+    assert sorted(r["residue_id"] for r in one.collect()) == sorted(r["residue_id"] for r in want.collect())
+    assert sinks.read_pair(spark, path, "P:3", "none", "residue_id long, raw double").collect() == []
