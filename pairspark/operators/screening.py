@@ -140,6 +140,38 @@ def check_scale(proteins: DataFrame, ligands: DataFrame, top_k: int | None = Non
     return size
 
 
+def scale_verdict(proteins: DataFrame, ligands: DataFrame, top_k: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """``proteins, ligands, pairs, allowed`` as one row: the counts of :func:`check_scale` without refusing.
+
+    Pairs are allowed if a top-K bounds the result or if they are within ``max_pairs``.
+    """
+    n = proteins.agg(F.count(F.lit(1)).alias("proteins")).join(F.broadcast(ligands.agg(F.count(F.lit(1)).alias("ligands"))))
+    pairs = F.col("proteins") * F.col("ligands")
+    bounded = F.lit(top_k is not None or max_pairs is None)
+    return n.select("proteins", "ligands", pairs.alias("pairs"), (bounded | (pairs <= F.lit(max_pairs or 0))).alias("allowed"))
+
+
+#: Models that a worker keeps, and where.
+HELD_MODELS, _HOLDER = 4, "_pairspark_models"
+
+
+def held_model(name: str, make: Callable[[], object], most: int = HELD_MODELS) -> object:
+    """A model under its name, built once per Python worker and kept over its tasks.
+
+    This code reaches workers by value, so its own globals last one task; the models are kept in a
+    module of the worker's interpreter instead. Of more than ``most`` models the one that was used
+    longest ago is dropped.
+    """
+    import sys
+    import types
+
+    models = sys.modules.setdefault(_HOLDER, types.ModuleType(_HOLDER)).__dict__.setdefault("models", {})
+    models[name] = models.pop(name) if name in models else make()
+    while len(models) > most:
+        models.pop(next(iter(models)))
+    return models[name]
+
+
 def check_target_coverage(proteins: DataFrame, features: DataFrame, key: str, shown: int = 20) -> None:
     """Raise when a protein's sequence has no features, naming some of the ids."""
     uncovered = missing_targets(proteins, features, key).select("protein_id").limit(shown).collect()
@@ -192,10 +224,11 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer], inputs: Sequence[str], keep: Sequence[str],
-                heads: Heads = Heads(), batch_size: int = 128) -> DataFrame:
+                heads: Heads = Heads(), batch_size: int = 128, model: str | None = None) -> DataFrame:
     """Score hydrated pairs with a pluggable batch model.
 
-    ``make_scorer`` builds the model once per task; the scorer gets up to ``batch_size``
+    ``make_scorer`` builds the model, once per worker if ``model`` names it (:func:`held_model`; a
+    new name for every change of the model), else once per task; the scorer gets up to ``batch_size``
     rows and returns any of ``regression``, ``class_logit`` and ``class_logits``
     (array of three). Activations and the class order are applied in SQL afterwards.
     """
@@ -204,7 +237,7 @@ def score_pairs(pairs: DataFrame, make_scorer: Callable[[], Scorer], inputs: Seq
     keep, inputs = list(keep), list(inputs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
+        scorer = make_scorer() if model is None else held_model(model, make_scorer)
         for frame in frames:
             for start in range(0, len(frame), batch_size):
                 batch = frame.iloc[start:start + batch_size]
@@ -225,13 +258,14 @@ BlockScorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 def screen_blocks(ligands: DataFrame, proteins: DataFrame, ligand_key: str, protein_key: str,
                   make_scorer: Callable[[], BlockScorer], k: int, slice_rows: int = 100_000,
-                  block_bytes: int = BROADCAST_BYTES, matrix_cells: int = 4_000_000) -> DataFrame:
+                  block_bytes: int = BROADCAST_BYTES, matrix_cells: int = 4_000_000, model: str | None = None) -> DataFrame:
     """Best ``k`` ligands per protein, scored block against block: ``protein, ligand, prediction``.
 
     Pairs never become rows. A task gets one slice of the ligands and one block of the
     proteins, the scorer returns their score matrix, and only the best ``k`` per protein
     leave the task; equal scores are kept in order of the ligand key. Slices follow from the
-    counted ligands and blocks from the measured proteins, so a task's memory is bounded.
+    counted ligands and blocks from the measured proteins, so a task's memory is bounded. A
+    scorer that ``model`` names is built once per worker, not once per cell.
     """
     rows = ligands.count()
     cores = ligands.sparkSession.sparkContext.defaultParallelism
@@ -248,7 +282,7 @@ def screen_blocks(ligands: DataFrame, proteins: DataFrame, ligand_key: str, prot
                               "prediction": np.empty(0)})
         if ligand_part.empty or protein_part.empty:
             return empty
-        scorer, kept = make_scorer(), empty
+        scorer, kept = make_scorer() if model is None else held_model(model, make_scorer), empty
         step = max(1, matrix_cells // len(protein_part))
         for start in range(0, len(ligand_part), step):
             chunk = ligand_part.iloc[start:start + step]

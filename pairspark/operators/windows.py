@@ -77,18 +77,73 @@ def window_starts(length: Column, window: int = fv.WINDOW_LENGTH, stride: int =
     return F.sequence(F.lit(0), last.cast("int"), F.lit(stride))
 
 
-def sliding_chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+def sliding_chunks(df: DataFrame, key: str, text: str, window: int = fv.WINDOW_LENGTH, stride: int = fv.WINDOW_STRIDE) -> DataFrame:
     """One row per window: ``key, chunk_start, chunk``; the last window is clipped."""
     return df.select(
-        key, text, F.explode(window_starts(F.length(text))).alias("chunk_start")
-    ).select(key, "chunk_start", F.substring(F.col(text), F.col("chunk_start") + 1, F.lit(fv.WINDOW_LENGTH)).alias("chunk"))
+        key, text, F.explode(window_starts(F.length(text), window, stride)).alias("chunk_start")
+    ).select(key, "chunk_start", F.substring(F.col(text), F.col("chunk_start") + 1, F.lit(window)).alias("chunk"))
 
 
 def merge_overlaps(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Average of the values that overlapping windows give one position (or position pair)."""
+    """Average of the values that overlapping windows give one position, for values that are one row each."""
     return values.groupBy(*by).agg(F.avg(value).alias(value))
 
 
+def _mean(a: Column, b: Column, vectors: bool) -> Column:
+    return F.zip_with(a, b, lambda x, y: (x + y) / 2) if vectors else (a + b) / 2
+
+
+def _stitched(windows: DataFrame, key: str, start: str, values: str, window: int, stride: int) -> tuple[DataFrame, Column, Column]:
+    """Each window with the one before it, the positions that are its own, and those it shares with that one."""
+    if window != 2 * stride:
+        raise ValueError("windows must overlap by half")
+    order = Window.partitionBy(key).orderBy(start)
+    held = windows.withColumns({"__before": F.lag(values).over(order), "__last": F.lead(start).over(order).isNull()})
+    # A window has the positions up to the next one's start to itself; the last has all of its own.
+    own = F.when(F.col("__last"), F.col(values)).otherwise(F.slice(values, 1, stride))
+    shared = F.slice("__before", stride + 1, stride)
+    return held, own, shared
+
+
+def merge_window_values(windows: DataFrame, key: str, start: str, values: str, vectors: bool = False,
+                        window: int = fv.WINDOW_LENGTH, stride: int = fv.WINDOW_STRIDE) -> DataFrame:
+    """``key, start, values``: the values of a sequence's positions, averaged where two windows overlap.
+
+    ``values`` is an array by position of the window, of numbers or of ``vectors``. A row of the
+    result has the positions from its window's start to the next one's, so a sequence is as many
+    rows as it has windows, and only whole windows move: neighbours are brought together by one
+    shuffle on the sequence, and overlaps are added as arrays.
+    """
+    held, own, shared = _stitched(windows, key, start, values, window, stride)
+    # Only the last window is shorter than the others, and it is longer than a stride.
+    merged = F.transform(own, lambda x, i: F.when(F.col("__before").isNotNull() & (i < F.size(shared)), _mean(x, F.get(shared, i), vectors)).otherwise(x))
+    return held.select(key, start, merged.alias(values))
+
+
+def merge_window_pairs(windows: DataFrame, key: str, start: str, rows: str,
+                       window: int = fv.WINDOW_LENGTH, stride: int = fv.WINDOW_STRIDE) -> DataFrame:
+    """``key, start, first_column, rows``: values of position pairs, averaged where two windows overlap.
+
+    ``rows`` is the square matrix of a window, an array by position of arrays by position. A
+    sequence's matrix is a band: a row of the result holds its lines from a window's start to the
+    next one's, each from ``first_column`` on. A line is put together from arrays: columns that
+    only the window before has, columns that both have, and columns of the window's own.
+    """
+    held, own, shared = _stitched(windows, key, start, rows, window, stride)
+
+    def line(x: Column, i: Column) -> Column:
+        before = F.get(shared, i)
+        both = F.least(F.lit(stride), F.size(x))
+        return F.concat(F.slice(before, 1, stride), _mean(F.slice(before, F.lit(stride + 1), both), F.slice(x, F.lit(1), both), True),
+                        F.slice(x, F.lit(stride + 1), F.greatest(F.size(x) - stride, F.lit(0))))
+
+    # Lines of the last window beyond the overlap lie left of no other window.
+    padded = F.when(F.col("__before").isNull(), own).otherwise(
+        F.transform(own, lambda x, i: F.when(i < F.size(shared), line(x, i)).otherwise(F.concat(F.array_repeat(F.lit(None).cast("double"), stride), x))))
+    first = F.when(F.col("__before").isNull(), F.col(start)).otherwise(F.col(start) - stride)
+    return held.select(key, start, first.alias("first_column"), padded.alias(rows))
+
+
 def rank_output(df: DataFrame, score: str = "prediction", rounded: bool = True, digits: int = 4) -> DataFrame:
     """Protein ascending, score descending.
 

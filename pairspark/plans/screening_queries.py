@@ -423,10 +423,36 @@ def sliding_chunks_query(spark, folder):
 def merge_overlaps_query(spark, folder):
     """Each window values a position by its letter and the window number; overlaps are averaged."""
     chunks = win.sliding_chunks(sequences(spark, folder).where("seq <> ''"), "doc_id", "seq")
-    values = chunks.select("doc_id", "chunk_start", F.posexplode(F.split("chunk", "")).alias("i", "aa")).select(
-        "doc_id", (F.col("chunk_start") + F.col("i") + 1).alias("pos"), (F.ascii("aa") + F.col("chunk_start") / 350).alias("v"))
-    merged = win.merge_overlaps(values, ["doc_id", "pos"], "v")
-    return merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("positions"), F.round(F.sum("v"), 2).alias("total"))
+    values = F.transform(F.split("chunk", ""), lambda aa: F.ascii(aa) + F.col("chunk_start") / 350)
+    merged = win.merge_window_values(chunks.select("doc_id", "chunk_start", values.alias("v")), "doc_id", "chunk_start", "v")
+    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x)
+    return merged.groupBy("doc_id").agg(F.sum(F.size("v")).alias("positions"), F.round(F.sum(total), 2).alias("total"))
+
+
+@query("merge_pair_overlaps", """
+  WITH w AS (SELECT p_partkey, p_name AS t, unnest(range(0, CASE WHEN length(p_name) <= 6 THEN 0
+       ELSE CAST(ceil((length(p_name) - 6) / 3.0) AS BIGINT) * 3 END + 1, 3)) AS s FROM part WHERE p_name <> ''),
+  c AS (SELECT p_partkey, s, substr(t, s + 1, 6) AS chunk FROM w),
+  i AS (SELECT p_partkey, s, chunk, unnest(range(0, length(chunk))) AS i FROM c),
+  p AS (SELECT p_partkey, s, i, unnest(range(0, length(chunk))) AS j, chunk FROM i),
+  m AS (SELECT p_partkey, s + i AS i, s + j AS j, avg(ascii(chunk[i + 1]) * 2.0 + ascii(chunk[j + 1]) + s) AS v FROM p GROUP BY 1, 2, 3)
+  SELECT p_partkey, count(*) AS pairs, round(sum(v), 2) AS total, round(sum(v * (i * 7 + j)), 2) AS placed FROM m GROUP BY 1
+""")
+def merge_pair_overlaps_query(spark, folder):
+    """Each window values a pair of letters; pairs that two windows hold are averaged, line by line."""
+    names = table(spark, folder, "part", "p_partkey", "p_name").where("p_name <> ''")
+    chunks = win.sliding_chunks(names, "p_partkey", "p_name", window=6, stride=3)
+    letters = F.split("chunk", "")
+    matrix = F.transform(letters, lambda a: F.transform(letters, lambda b: F.ascii(a) * 2.0 + F.ascii(b) + F.col("chunk_start")))
+    merged = win.merge_window_pairs(chunks.select("p_partkey", "chunk_start", matrix.alias("rows")), "p_partkey", "chunk_start", "rows", window=6, stride=3)
+    # Sums of the lines and of the values by place; lines that begin further right start with nulls.
+    known = F.transform("rows", lambda line: F.filter(line, lambda v: v.isNotNull()))
+    pairs = F.aggregate(known, F.lit(0), lambda n, line: n + F.size(line))
+    total = F.aggregate(known, F.lit(0.0), lambda t, line: t + F.aggregate(line, F.lit(0.0), lambda u, v: u + v))
+    placed = F.flatten(F.transform("rows", lambda line, i: F.transform(
+        line, lambda v, j: F.coalesce(v, F.lit(0.0)) * ((F.col("chunk_start") + i) * 7 + F.col("first_column") + j))))
+    return merged.groupBy("p_partkey").agg(
+        F.sum(pairs).alias("pairs"), F.round(F.sum(total), 2).alias("total"), F.round(F.sum(F.aggregate(placed, F.lit(0.0), lambda t, x: t + x)), 2).alias("placed"))
 
 
 @query("residue_table", """
@@ -512,3 +538,42 @@ def fingerprint_query(spark, folder):
     return prints.select("smiles", F.size("vec").cast("long").alias("width"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
 
 
+
+
+@query("scale_verdict", """
+  WITH n AS (SELECT (SELECT count(*) FROM supplier) AS proteins, (SELECT count(DISTINCT lower(trim(p_name))) FROM part) AS ligands),
+  t(top_k, max_pairs) AS (VALUES (NULL, NULL), (NULL, 1), (5, 1), (NULL, 1000000000000))
+  SELECT coalesce(top_k, 0) AS top_k, coalesce(max_pairs, 0) AS max_pairs, proteins, ligands, proteins * ligands AS pairs,
+         top_k IS NOT NULL OR max_pairs IS NULL OR proteins * ligands <= max_pairs AS allowed FROM n, t
+""")
+def scale_verdict(spark, folder):
+    """What the check before a screen says of the tables' sizes under several limits."""
+    proteins = table(spark, folder, "supplier", "s_suppkey")
+    ligands = table(spark, folder, "part").select(F.lower(F.trim("p_name")).alias("smiles")).distinct()
+    out = None
+    for top_k, limit in ((None, None), (None, 1), (5, 1), (None, 10**12)):
+        row = sc.scale_verdict(proteins, ligands, top_k, limit).select(
+            F.lit(top_k or 0).alias("top_k"), F.lit(limit or 0).cast("long").alias("max_pairs"), "proteins", "ligands", "pairs", "allowed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("head_columns", f"""
+  WITH {SCREEN_SQL}, h(heads, metric, columns) AS (VALUES
+    ('r', 'rmse', 1), ('c', 'roc', 2), ('m', 'macro_f1', 4), ('rc', 'rmse', 2), ('rm', 'rmse', 4), ('cm', 'roc', 5), ('rcm', 'rmse', 5))
+  SELECT heads, metric, columns, (SELECT count(*) FROM scored) AS scored, CASE WHEN contains(heads, 'r') THEN (SELECT round(sum(prediction), 2) FROM scored) ELSE 0 END AS total FROM h
+""")
+def head_columns(spark, folder):
+    """What each choice of heads makes of the scored pairs: the metric that selects, the columns, the predictions."""
+    pairs = sc.score_dot(sc.screen_matrix(ligand_vectors(spark, folder), centroids(spark, folder), "smiles", "protein_id"), "ligand_vec", "protein_vec")
+    raw = pairs.select("protein_id", "smiles", F.col("prediction").alias("__reg"), F.col("prediction").alias("__logit"),
+                       F.array(F.lit(0.0), F.col("prediction"), 2 * F.col("prediction")).alias("__logits"))
+    out = None
+    for names in ("r", "c", "m", "rc", "rm", "cm", "rcm"):
+        heads = sc.Heads("r" in names, "c" in names, "m" in names)
+        scored = sc.apply_heads(raw, ["protein_id", "smiles"], heads)
+        columns = [c for c in heads.score_columns() if c in scored.columns]
+        row = scored.agg(F.count(F.lit(1)).alias("scored"), F.round(F.sum("prediction"), 2).alias("total")).select(
+            F.lit(names).alias("heads"), F.lit(heads.selection_metric).alias("metric"), F.lit(len(columns)).alias("columns"), "scored", "total")
+        out = row if out is None else out.unionByName(row)
+    return out

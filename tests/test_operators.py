@@ -468,3 +468,65 @@ def test_block_screen_equals_row_screen_with_ties(spark):
     got = screening.screen_blocks(ligands, proteins, "smiles", "protein_id", screening.block_dot("lv", "pv"), 7,
                                   slice_rows=60, block_bytes=200, matrix_cells=100)
     assert got.count() == 63 and expected.exceptAll(got).count() == 0
+
+
+# --- overlapping windows as arrays, models held by workers ---
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 8, 9, 10, 11, 12, 13, 20])
+def test_windows_are_stitched_like_dense_matrices(spark, n):
+    rng = np.random.default_rng(n)
+    window, stride = 6, 3
+    starts = range(0, 1 if n <= window else -(-(n - window) // stride) * stride + 1, stride)
+    parts = {s: rng.integers(0, 50, (min(window, n - s),) * 2).astype(float) for s in starts}
+    total, count = np.zeros((n, n)), np.zeros((n, n))
+    for s, m in parts.items():
+        total[s:s + len(m), s:s + len(m)] += m
+        count[s:s + len(m), s:s + len(m)] += 1
+    want = np.where(count > 0, total / np.maximum(count, 1), np.nan)
+    rows = frame(spark, [("k", s, m.tolist(), m[0].tolist()) for s, m in parts.items()], "k string, s int, m array<array<double>>, v array<double>")
+    got = np.full((n, n), np.nan)
+    for r in windows.merge_window_pairs(rows, "k", "s", "m", window, stride).collect():
+        for i, line in enumerate(r["m"]):
+            for j, v in enumerate(line):
+                if v is not None:
+                    got[r["s"] + i, r["first_column"] + j] = v
+    assert np.array_equal(got, want, equal_nan=True)
+    sums, seen = np.zeros(n), np.zeros(n)
+    for s, m in parts.items():
+        sums[s:s + len(m)] += m[0]
+        seen[s:s + len(m)] += 1
+    flat = [x for r in sorted(windows.merge_window_values(rows, "k", "s", "v", False, window, stride).collect(), key=lambda r: r["s"]) for x in r["v"]]
+    assert flat == (sums / seen).tolist()
+    vectors = rows.withColumn("x", F.transform("v", lambda v: F.array(v, -v)))
+    both = [x for r in sorted(windows.merge_window_values(vectors, "k", "s", "x", True, window, stride).collect(), key=lambda r: r["s"]) for x in r["x"]]
+    assert both == [[x, -x] for x in (sums / seen).tolist()]
+
+
+def test_a_model_is_built_once_per_worker(spark, tmp_path):
+    built = str(tmp_path)
+
+    def make_scorer():
+        import os
+        import uuid
+
+        open(f"{built}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda batch: pd.DataFrame({"regression": batch["x"] * 2})
+
+    pairs = spark.range(64).selectExpr("id", "CAST(id AS DOUBLE) AS x").repartition(32)
+    for _ in range(2):
+        scored = screening.score_pairs(pairs, make_scorer, ["x"], ["id"], model=f"twice {built}")
+        assert {r["id"]: r["prediction"] for r in scored.collect()} == {i: 2.0 * i for i in range(64)}
+    builds = [name.split("-")[0] for name in __import__("os").listdir(built)]
+    assert len(builds) == len(set(builds)) and len(builds) < 32
+
+
+def test_models_in_use_are_kept():
+    made = []
+
+    def get(name):
+        return screening.held_model(f"kept {name}", lambda: made.append(name) or name, most=2)
+
+    for name in "abacab":
+        get(name)
+    assert made == ["a", "b", "c", "b"]
