@@ -41,6 +41,26 @@ def residue_features(aa: Column) -> Column:
     return F.array(*letters, *groups, *properties)
 
 
+def letter_counts(seq: Column) -> dict[str, Column]:
+    """How often a cleaned sequence holds each of the 21 letters, without a row per letter."""
+    return {letter: F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit(""))) for letter in fv.RESIDUES}
+
+
+def residue_totals(seq: Column) -> dict[str, Column]:
+    """Sums over a cleaned sequence of its residues' group flags and scaled properties, by name."""
+    counts = letter_counts(seq)
+
+    def total(values: list) -> Column:
+        terms = [counts[letter] * F.lit(v) for letter, v in zip(fv.RESIDUES, values) if v]
+        out = terms[0]
+        for term in terms[1:]:
+            out = out + term
+        return out
+
+    groups = {name: total([int(letter in members) for letter in fv.RESIDUES]) for name, members in fv.RESIDUE_GROUPS.items()}
+    return groups | {name: total([float(v) for v in normalized_property(name)]) for name in fv.RESIDUE_PROPERTIES}
+
+
 def atom_class_table(separate_halogens: bool = False) -> list[int]:
     """Class code by atomic number 0..118; 0 = none of the classes."""
     classes = [numbers for _, numbers in fv.ATOM_CLASSES]

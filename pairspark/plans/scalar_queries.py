@@ -91,11 +91,11 @@ def _values_sql() -> str:
 def residue_features_query(spark, folder):
     """Feature vectors of all residues, summed per sequence."""
     seqs = sequences(spark, folder).select("doc_id", tx.clean_sequence(F.col("seq"), "basic").alias("seq")).where("seq <> ''")
-    residues = seqs.select("doc_id", F.posexplode(F.split("seq", "")).alias("pos", "aa"))
-    flags = [F.sum(c).alias(name) for c, name in zip(chem.residue_group_flags(F.col("aa")), fv.RESIDUE_GROUPS)]
-    properties = [F.round(F.sum(chem.residue_property(F.col("aa"), name)), 5).alias(name) for name in fv.RESIDUE_PROPERTIES]
-    return residues.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("residues"), F.count_if(F.col("aa") == "X").alias("unknown"), *flags, *properties)
+    totals = chem.residue_totals(F.col("seq"))
+    per_row = seqs.select("doc_id", F.length("seq").alias("residues"), chem.letter_counts(F.col("seq"))["X"].alias("unknown"), *[c.alias(name) for name, c in totals.items()])
+    return per_row.groupBy("doc_id").agg(
+        F.sum("residues").alias("residues"), F.sum("unknown").alias("unknown"),
+        *[F.sum(name).alias(name) for name in fv.RESIDUE_GROUPS], *[F.round(F.sum(name), 5).alias(name) for name in fv.RESIDUE_PROPERTIES])
 
 
 @query("residue_vector", f"""

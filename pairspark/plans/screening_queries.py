@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.table_functions import register_table_functions
 from ..operators import screening as sc
 from ..operators import structure as st
 from ..operators import windows as win
@@ -577,3 +578,35 @@ def head_columns(spark, folder):
             F.lit(names).alias("heads"), F.lit(heads.selection_metric).alias("metric"), F.lit(len(columns)).alias("columns"), "scored", "total")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query("sql_sliding_windows", f"""
+  WITH {SEQ_SQL}, w AS (SELECT doc_id, seq, unnest(range(0, CASE WHEN length(seq) <= 700 THEN 0
+       ELSE CAST(ceil((length(seq) - 700) / 350.0) AS BIGINT) * 350 END + 1, 350)) AS s FROM seqs)
+  SELECT doc_id, CAST(s AS INTEGER) AS chunk_start, md5(substr(seq, s + 1, 700)) AS digest FROM w
+""")
+def sql_sliding_windows(spark, folder):
+    register_table_functions(spark)
+    sequences(spark, folder).createOrReplaceTempView("sequences_of_documents")
+    return spark.sql("SELECT doc_id, chunk_start, md5(chunk) AS digest FROM sequences_of_documents, LATERAL sliding_windows(seq)")
+
+
+@query("sql_best_rows", """
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 5
+""")
+def sql_best_rows(spark, folder):
+    register_table_functions(spark)
+    table(spark, folder, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice").createOrReplaceTempView("lines_by_supplier")
+    return spark.sql("""
+      SELECT * FROM best_rows(TABLE(lines_by_supplier) PARTITION BY l_suppkey ORDER BY (l_extendedprice DESC, l_orderkey, l_linenumber), 5)
+    """)
+
+
+@query("sql_batches", """
+  SELECT lang, doc_id, n_chars, (row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1) // 8 AS batch_no FROM documents
+""")
+def sql_batches(spark, folder):
+    register_table_functions(spark)
+    table(spark, folder, "documents", "lang", "doc_id", "n_chars").createOrReplaceTempView("documents_by_length")
+    return spark.sql("SELECT * FROM batches(TABLE(documents_by_length) PARTITION BY lang ORDER BY (n_chars, doc_id), 8)")

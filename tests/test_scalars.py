@@ -88,3 +88,16 @@ def test_heads():
     assert Heads().selection_metric == "rmse"
     assert Heads(False, True).selection_metric == "roc" and Heads(False, False, True).selection_metric == "macro_f1"
     assert Heads(True, True, True).score_columns()[-1] == "predicted_nonbinder"
+
+
+def test_table_functions_in_sql(spark):
+    from pairspark.functions.table_functions import register_table_functions
+
+    assert register_table_functions(spark) == ["sliding_windows", "best_rows", "batches"]
+    spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 5.0), (None, 0.5)], "k string, v double").createOrReplaceTempView("few_rows")
+    best = spark.sql("SELECT * FROM best_rows(TABLE(few_rows) PARTITION BY k ORDER BY (v DESC), 2)").collect()
+    assert sorted((r["k"] or "", r["v"], r["rank"]) for r in best) == [("", 0.5, 1), ("a", 2.0, 2), ("a", 3.0, 1), ("b", 5.0, 1)]
+    cut = spark.sql("SELECT * FROM batches(TABLE(few_rows) PARTITION BY k ORDER BY (v), 2)").collect()
+    assert sorted((r["k"] or "", r["v"], r["batch_no"]) for r in cut) == [("", 0.5, 0), ("a", 1.0, 0), ("a", 2.0, 0), ("a", 3.0, 1), ("b", 5.0, 0)]
+    parts = spark.sql("SELECT w.* FROM VALUES ('abcdefg'), (''), (NULL) AS t(x), LATERAL sliding_windows(x, 4, 2) AS w").collect()
+    assert sorted((r["chunk_start"], r["chunk"]) for r in parts) == [(0, ""), (0, "abcd"), (2, "cdef"), (4, "efg")]
