@@ -27,18 +27,32 @@ SHORT, SHORTEST = 15, 5
 
 # Notices as licenses and their stewards publish them.
 TEMPLATES = {
+    "AGPL-3.0": "Licensed under the GNU Affero General Public License v3.",
+    "AGPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-or-later-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "Licensed under the GNU Lesser General Public License v3.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Identifiers of the licenses that are named by a line of their own.
+SPDX = ("AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only "
+        "GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense")
+TEMPLATES |= {f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in SPDX.split()}
 
 _SIGNS = b".,;:()[]{}<>\"'`*#/!?-"
 _BLANKS = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
@@ -149,16 +163,26 @@ def scan_text(raw: bytes, index: Index, coverage: float = COVERAGE, band: int =
             part = ids[low:max(0, begin) + len(pattern) + band].tolist()
             matched, a, b = banded(pattern, part, band + band // 2)
             if matched >= coverage * len(pattern) and low + a >= end_before:
-                found.append((index.names[t], matched / len(pattern), low + a, low + b))
+                found.append((index.names[t], matched / len(pattern), low + a, low + b, matched / max(len(pattern), b - a)))
                 end_before = low + b
-    return found
+    return closest(found)
+
+
+def closest(found: list[tuple[str, float, int, int, float]]) -> list[tuple[str, float, int, int]]:
+    """The finds without those that share half of their words or more with a closer one: related licenses differ in few words.
+
+    The last number of a find tells how close it is: matched words to those of the template or, if
+    words were added in between, of the span.
+    """
+    return [f[:4] for f in found if not any(g[4] > f[4] and 2 * (min(f[3], g[3]) - max(f[2], g[2])) >= f[3] - f[2] for g in found)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, template, coverage, first_word, end_word``: one row per notice in each row of ``docs``.
 
     Words are counted from 0 over the text without punctuation; ``end_word`` lies behind the span.
-    A shorter notice inside a longer one is reported beside it. Null and empty texts hold none;
+    A shorter notice inside a longer one is reported beside it; of related notices on the same words
+    the closest is (:func:`closest`; equally close ones are all reported). Null and empty texts hold none;
     templates under three words find nothing; repeated rows are reported each; a null id stays
     null; other columns are ignored; an empty table gives no rows.
     """
