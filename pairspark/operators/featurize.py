@@ -6,9 +6,10 @@ import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -67,15 +68,26 @@ def canonicalize(strings: DataFrame, key: str, fn: Callable[[str], str | None] |
     return mapped.where("canonical IS NOT NULL"), mapped.where("canonical IS NULL").select(key)
 
 
+class RunCounters:
+    """Misses and failures of a written run, counted when they are asked for."""
+
+    def __init__(self, run: DataFrame):
+        self._run = run
+
+    @cached_property
+    def get(self) -> dict[str, int]:
+        return self._run.agg(F.count(F.lit(1)).alias("misses"), F.count("error").alias("failed")).first().asDict()
+
+
 @dataclass
 class CacheResult:
-    """Tables keyed by ``sha``. ``counters`` has the misses and failures once the run is done."""
+    """Tables keyed by ``sha``, and the counters of the run."""
 
     features: DataFrame
     failed: DataFrame
     hits: DataFrame
     misses: DataFrame
-    counters: Observation
+    counters: RunCounters
 
 
 class FeatureCache:
@@ -158,20 +170,17 @@ class FeatureCache:
         found = stored.join(hits, "sha", "left_semi").dropDuplicates(["sha"])
         addressed = keys.select(key, sha_key(F.col(key)).alias("sha"))
         lacking = addressed.join(missing, "sha", "left_semi").dropDuplicates(["sha"]).select(key)
-        seen = Observation("feature cache")
         computed = compute(lacking).withColumn("sha", sha_key(F.col(key)))
         if self.max_bytes is not None:
             size = F.octet_length(F.to_json(F.struct("value")))
             over = F.col("error").isNull() & (size > F.lit(self.max_bytes))
             computed = computed.withColumn("error", F.when(over, "oversize entry").otherwise(F.col("error")))
             computed = computed.withColumn("value", F.when(F.col("error").isNull(), F.col("value")))
-        observed = computed.select("sha", "value", "error").observe(
-            seen, F.count(F.lit(1)).alias("misses"), F.count("error").alias("failed"))
-        done = self._read([self._write(observed)])
+        done = self._read([self._write(computed.select("sha", "value", "error"))])
         good, failed = quarantine(done)
         if len(runs) >= self.most_runs:
             self.merge()
-        return CacheResult(found.unionByName(good), failed, hits, done.select("sha"), seen)
+        return CacheResult(found.unionByName(good), failed, hits, done.select("sha"), RunCounters(done))
 
     def merge(self) -> None:
         """Put all visible runs into one and remove what the merge before has replaced.
