@@ -6,8 +6,8 @@ Windows of ``WINDOW`` template words are hashed and joined with the benchmark's
 form without ``#p`` that does not depend on capitals; windows with too few plain words are matched
 by their raw words instead. A pair of text and item counts once the matched windows cover ``COVERAGE`` of the item's words. If the item
 has slots, the values in them are compared along each alignment, and one alignment must pass by
-itself: one value of the item must always stand against one value in the text, which a re-parameterised question keeps and a chance match
-does not.
+itself: one value of the item must always stand against one value in the text and the other way
+round, which a re-parameterised question keeps and a chance match does not.
 """
 
 from __future__ import annotations
@@ -23,15 +23,32 @@ LEAST_PLAIN, LEAST_WORDS = 2, 3
 #: Benchmark windows are broadcast up to this many rows (about 40 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
-UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg oz lb lbs pound pounds ton tons ml l liter liters "
-         "gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
-         "cent cents dollar dollars euro euros percent degree degrees")
+UNITS = ("mm cm m km millimeter millimeters millimetre millimetres centimeter centimeters centimetre centimetres meter meters metre metres "
+         "kilometer kilometers kilometre kilometres inch inches foot feet yard yards mile miles mg g kg milligram milligrams gram grams gramme grammes "
+         "kilogram kilograms kilogramme kilogrammes oz ounce ounces lb lbs pound pounds ton tons tonne tonnes ml l milliliter milliliters millilitre "
+         "millilitres liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months "
+         "year years mph kmh cent cents dollar dollars euro euros yen percent degree degrees")
+#: Signs beside a number stand for a unit's word.
+SIGNS = {"%": "percent", "$": "dollar", "€": "euro", "£": "pound", "¥": "yen"}
+
+
+def _whole_numbers(text: Column) -> Column:
+    """A number stays one word: separators between digits become letters of it; signs become words."""
+    out = F.regexp_replace(text, r"(?<=\p{Nd}),(?=\p{Nd}{3}(?!\p{Nd}))", "")
+    for sign, held in ((",", "\u0002"), ("[.]", "\u0003"), ("/", "\u0004")):
+        out = F.regexp_replace(out, rf"(?<=\p{{Nd}}){sign}(?=\p{{Nd}})", held)
+    out = F.regexp_replace(out, r"(?<=\p{Nd}) ?%", f" {SIGNS['%']} ")
+    for sign, word in SIGNS.items():
+        if sign != "%":
+            out = F.regexp_replace(out, rf"[{sign}] ?(?=\p{{Nd}})", f" {word} ")
+    return F.when(text.rlike(r"\p{Nd}(?:[.,/]\p{Nd}| ?%)|[$€£¥] ?\p{Nd}"), out).otherwise(text)
 
 
 def clean(text: Column) -> Column:
     """Lower-cased words with single spaces; a capitalised word inside a sentence is marked."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu})", "\u0001")
-    return F.replace(F.trim(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\x{1}]+", " "))), F.lit("ß"), F.lit("ss"))
+    free = F.translate(text, "\u0001\u0002\u0003\u0004", "    ")
+    marked = F.regexp_replace(_whole_numbers(free), r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu})", "\u0001")
+    return F.replace(F.trim(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\x{1}-\x{4}]+", " "))), F.lit("ß"), F.lit("ss"))
 
 
 def unmarked(cleaned: Column) -> Column:
@@ -42,7 +59,9 @@ def unmarked(cleaned: Column) -> Column:
 def template(cleaned: Column) -> Column:
     """The same words with typed placeholders, one for one."""
     typed = F.regexp_replace(F.regexp_replace(cleaned, r"(?<![^ ])\p{Nd}[^ ]*", "#n"), "\u0001[^ ]*", "#p")
-    return F.regexp_replace(typed, rf"(?<=#n )(?:{'|'.join(UNITS.split())})(?![^ ])", "#u")
+    after = F.regexp_replace(typed, rf"(?<=#n )(?:{'|'.join(UNITS.split())})(?![^ ])", "#u")
+    before = "|".join(word for sign, word in SIGNS.items() if sign != "%")
+    return F.regexp_replace(after, rf"(?<![^ ])(?:{before})(?= #n)", "#u")
 
 
 def _words(text: Column) -> Column:
@@ -64,23 +83,41 @@ def _plain(part: Column) -> Column:
     return F.size(F.filter(part, lambda x: ~x.startswith("#")))
 
 
+def _hashed(words: Column) -> Column:
+    """Words as numbers, so that a word is hashed once and a window combines its words' numbers."""
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
 def _keys(names: Column, low: Column, raw: Column) -> Column:
     """The hashes under which a window is indexed: of its words without regard to capitals, or of
     the raw words where too few are plain, and of the form with names."""
-    base = F.when(_plain(low) >= LEAST_PLAIN, F.xxhash64(low)).otherwise(F.xxhash64(raw, F.lit("raw")))
+    base = F.when(_plain(low) >= LEAST_PLAIN, F.xxhash64(_hashed(low))).otherwise(F.xxhash64(raw, F.lit("raw")))
     named = F.array_contains(names, "#p") & (_plain(names) >= LEAST_PLAIN)
     return F.when(named, F.array(base, F.xxhash64(names))).otherwise(F.array(base))
 
 
+def _starts(words: Column, size: int, slot: str, back: int) -> Column:
+    """Starts of windows that hold a word starting with ``slot`` among their first ``back + 1`` words."""
+    at = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).startswith(slot))
+    around = F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - back, F.lit(1)), p)))
+    return F.filter(F.array_distinct(around), lambda i: i <= F.size(words) - size + 1)
+
+
 def _hashes(sizes: list[int]) -> Column:
-    """All keys of the windows of ``t, l, r``; texts without numbers or names are spared their forms."""
+    """All keys of the windows of ``t, l, r`` and the hashed words ``lh``.
+
+    Only windows near a placeholder are looked at a second time: one with fewer than two plain
+    words (``LEAST_PLAIN``) has a placeholder first or second.
+    """
     none = F.array().cast("array<bigint>")
     out = []
     for s in sizes:
-        out.append(_windows(F.col("l"), s, lambda i, part: F.xxhash64(part)))
-        few = F.filter(_places(F.col("l"), s), lambda i: _plain(F.slice("l", i, s)) < LEAST_PLAIN)
-        out.append(F.when(F.array_contains("l", "#n"), F.transform(few, lambda i: F.xxhash64(F.slice("r", i, s), F.lit("raw")))).otherwise(none))
-        named = F.filter(_places(F.col("t"), s), lambda i: F.array_contains(F.slice("t", i, s), "#p"))
+        out.append(F.transform(_places(F.col("lh"), s), lambda i: F.xxhash64(*[F.get("lh", i + (j - 1)) for j in range(s)])))
+        few = _places(F.col("l"), 1) if s < LEAST_PLAIN else F.filter(
+            _starts(F.col("l"), s, "#", LEAST_PLAIN - 1), lambda i: _plain(F.slice("l", i, s)) < LEAST_PLAIN)
+        some = F.array_contains("l", "#n") | F.lit(s < LEAST_PLAIN)
+        out.append(F.when(some, F.transform(few, lambda i: F.xxhash64(F.slice("r", i, s), F.lit("raw")))).otherwise(none))
+        named = _starts(F.col("t"), s, "#p", s - 1)
         out.append(F.when(F.array_contains("t", "#p"), F.transform(named, lambda i: F.xxhash64(F.slice("t", i, s)))).otherwise(none))
     return F.array_distinct(F.concat(*out))
 
@@ -91,10 +128,10 @@ def _forms(cleaned: Column) -> list[Column]:
     return [_words(template(cleaned)).alias("t"), _words(template(raw)).alias("l"), _words(raw).alias("r")]
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, words, slots, size, place, h, kinds, raw`` per window of each item."""
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``item_id, words, slots, size, place, h, kinds, raw`` per window of each item of ``least_words`` or more."""
     cleaned = benchmark.select("item_id", clean(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
-    items = cleaned.select("item_id", "c", *_forms(F.col("c"))).where(F.size("t") >= LEAST_WORDS)
+    items = cleaned.select("item_id", "c", *_forms(F.col("c"))).where(F.size("t") >= max(least_words, 1))
     items = items.dropDuplicates(["item_id", "c"])
     size = F.least(F.lit(window), F.size("t"))
     rows = items.select(
@@ -106,14 +143,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.withColumn("h", F.explode(_keys(F.col("kinds"), F.col("low"), F.col("raw")))).drop("low")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY,
+                 least_words: int = LEAST_WORDS) -> DataFrame:
     """``digest, item_id, coverage, consistency, reparameterised`` per pair of a distinct text (by
     md5) and the item it holds; see :func:`leaks` for rows by document.
 
-    Null and empty texts match nothing, nor do items under ``LEAST_WORDS`` words; items under
-    ``window`` words match as one window of their own size. Repeated items count once.
+    Null and empty texts match nothing. Items under ``window`` words match as one window of their
+    own size; those of one or two words are looked for only with ``least_words`` 1 or 2 and then
+    flag every text that holds the word, or both in order. Repeated items count once.
     """
-    bench = stored(benchmark_windows(benchmark, window), "decontam-benchmark")
+    bench = stored(benchmark_windows(benchmark, window, least_words), "decontam-benchmark")
     sizes = sorted({window} | {r["size"] for r in bench.select("size").distinct().collect()})
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''")
     texts = texts.select(F.md5(F.encode("text", "utf-8")).alias("digest"), "text")
@@ -122,6 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
         index = F.broadcast(index)
     # The words are a column of their own: inside the window function they would be made per window.
     worded = texts.select("digest", clean(F.col("text")).alias("c")).select("digest", *_forms(F.col("c")))
+    worded = worded.withColumn("lh", _hashed(F.col("l")))
     found = worded.select("digest", F.explode(_hashes(sizes)).alias("h"))
     hits = found.join(index, "h").groupBy("digest", "item_id", "variant").agg(F.collect_set("place").alias("places"))
     # A list of places is no longer than its item.
@@ -149,7 +189,7 @@ def _alignments(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: lis
 
     An alignment is a shift of the item in the text, a run of shifts no further apart than a window
     (words were added or left out), or all shifts. The consistency is the share of slots whose item
-    value always meets one value of the text.
+    value always meets one value of the text, which meets no other value of the item.
     """
     wanted = pairs.select("digest").distinct()
     few = texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
@@ -169,8 +209,12 @@ def _alignments(texts: DataFrame, pairs: DataFrame, bench: DataFrame, sizes: lis
     slots = slots.where(F.col("kind").startswith("#")).select(
         *pair, "shift", (F.col("place") + F.col("k")).alias("slot"),
         F.get("raw", F.col("k")).alias("of_item"), F.get("text_raw", F.col("k")).alias("of_text")).distinct()
-    by_value = slots.groupBy(*pair, "shift", "of_item").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("of_text") == F.max("of_text")).alias("same"), F.max(F.col("of_text") != F.col("of_item")).alias("changed"))
+    met_values = slots.groupBy(*pair, "shift", "of_item", "of_text").agg(F.count(F.lit(1)).alias("n"))
+    # Windows over one item's slots at one shift, both on the same partitioning.
+    held, meets = (Window.partitionBy(*pair, "shift", c) for c in ("of_item", "of_text"))
+    one_to_one = (F.count(F.lit(1)).over(held) == 1) & (F.count(F.lit(1)).over(meets) == 1)
+    by_value = met_values.repartition(*pair, "shift").select(
+        *pair, "shift", "n", one_to_one.alias("same"), (F.col("of_text") != F.col("of_item")).alias("changed"))
     by_shift = by_value.groupBy(*pair, "shift").agg(
         F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("good"), F.sum("n").alias("n"), F.max("changed").alias("changed"))
     along = Window.partitionBy(*pair).orderBy("shift")

@@ -59,7 +59,7 @@ def op7_packing(spark, folder):
 
 @query
 def op8_template_leaks(spark, folder):
-    return decontam.leaks(table_at(spark, folder, "documents"), table_at(spark, folder, "benchmark"))
+    return decontam.leaks(table_at(spark, folder, "documents"), table_at(spark, folder, "benchmark"), least_words=1)
 
 
 @query
