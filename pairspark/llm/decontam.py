@@ -41,13 +41,25 @@ def _whole_numbers(text: Column) -> Column:
     for sign, word in SIGNS.items():
         if sign != "%":
             out = F.regexp_replace(out, rf"[{sign}] ?(?=\p{{Nd}})", f" {word} ")
-    return F.when(text.rlike(r"\p{Nd}(?:[.,/]\p{Nd}| ?%)|[$€£¥] ?\p{Nd}"), out).otherwise(text)
+    return out
 
 
-def clean(text: Column) -> Column:
-    """Lower-cased words with single spaces; a capitalised word inside a sentence is marked."""
-    free = F.translate(text, "\u0001\u0002\u0003\u0004", "    ")
-    marked = F.regexp_replace(_whole_numbers(free), r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu})", "\u0001")
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}")
+
+
+def clean(text: Column, digits: Column | None = None) -> Column:
+    """Lower-cased words with single spaces; a capitalised word inside a sentence is marked.
+
+    ``digits`` tells whether the text has a digit, if that is known already.
+    """
+    private = ["\u0001", "\u0002", "\u0003", "\u0004"]
+    taken = F.contains(text, F.lit(private[0]))
+    for mark in private[1:]:
+        taken = taken | F.contains(text, F.lit(mark))
+    free = F.when(taken, F.translate(text, "".join(private), " " * len(private))).otherwise(text)
+    whole = F.when(has_digit(text) if digits is None else digits, _whole_numbers(free)).otherwise(free)
+    marked = F.regexp_replace(whole, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu})", "\u0001")
     return F.replace(F.trim(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{M}\p{N}\x{1}-\x{4}]+", " "))), F.lit("ß"), F.lit("ss"))
 
 
@@ -104,7 +116,7 @@ def _starts(words: Column, size: int, slot: str, back: int) -> Column:
 
 
 def _hashes(sizes: list[int]) -> Column:
-    """All keys of the windows of ``t, l, r`` and the hashed words ``lh``.
+    """All keys of the windows of the words ``m, l, r`` and the hashed words ``lh``, see :func:`_lean_forms`.
 
     Only windows near a placeholder are looked at a second time: one with fewer than two plain
     words (``LEAST_PLAIN``) has a placeholder first or second.
@@ -117,8 +129,9 @@ def _hashes(sizes: list[int]) -> Column:
             _starts(F.col("l"), s, "#", LEAST_PLAIN - 1), lambda i: _plain(F.slice("l", i, s)) < LEAST_PLAIN)
         some = F.array_contains("l", "#n") | F.lit(s < LEAST_PLAIN)
         out.append(F.when(some, F.transform(few, lambda i: F.xxhash64(F.slice("r", i, s), F.lit("raw")))).otherwise(none))
-        named = _starts(F.col("t"), s, "#p", s - 1)
-        out.append(F.when(F.array_contains("t", "#p"), F.transform(named, lambda i: F.xxhash64(F.slice("t", i, s)))).otherwise(none))
+        named = F.transform(_starts(F.col("m"), s, "\u0001", s - 1), lambda i: F.xxhash64(F.transform(
+            F.sequence(i, i + (s - 1)), lambda j: F.when(F.get("m", j - 1).startswith("\u0001"), F.lit("#p")).otherwise(F.get("l", j - 1)))))
+        out.append(F.when(F.col("marked"), named).otherwise(none))
     return F.array_distinct(F.concat(*out))
 
 
@@ -128,6 +141,22 @@ def _forms(cleaned: Column) -> list[Column]:
     return [_words(template(cleaned)).alias("t"), _words(template(raw)).alias("l"), _words(raw).alias("r")]
 
 
+def _lean_forms(texts: DataFrame) -> DataFrame:
+    """``digest, marked, m, l, r, lh``: the forms of whole texts, each made only where it differs.
+
+    ``m`` are the words with their marks; one of ``t`` is ``#p`` where ``m`` is marked, else that of
+    ``l``, and ``l`` is ``r``, the words as they are, in texts without digits. Each step is a column,
+    so nothing is made twice.
+    """
+    found = texts.select("digest", "text", has_digit(F.col("text")).alias("digits"))
+    found = found.select("digest", "digits", clean(F.col("text"), F.col("digits")).alias("c"))
+    found = found.select("digest", "digits", "c", F.contains("c", F.lit("\u0001")).alias("marked"), _words(F.col("c")).alias("m"))
+    bare = F.when(F.col("marked"), F.transform("m", unmarked)).otherwise(F.col("m"))
+    found = found.select("digest", "digits", "c", "marked", "m", bare.alias("r"))
+    low = F.when(F.col("digits"), _words(template(unmarked(F.col("c"))))).otherwise(F.col("r"))
+    return found.select("digest", "marked", "m", "r", low.alias("l")).withColumn("lh", _hashed(F.col("l")))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """``item_id, words, slots, size, place, h, kinds, raw`` per window of each item of ``least_words`` or more."""
     cleaned = benchmark.select("item_id", clean(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
@@ -159,10 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     index = bench.select("h", "item_id", "variant", "place")
     if bench.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
-    # The words are a column of their own: inside the window function they would be made per window.
-    worded = texts.select("digest", clean(F.col("text")).alias("c")).select("digest", *_forms(F.col("c")))
-    worded = worded.withColumn("lh", _hashed(F.col("l")))
-    found = worded.select("digest", F.explode(_hashes(sizes)).alias("h"))
+    found = _lean_forms(texts).select("digest", F.explode(_hashes(sizes)).alias("h"))
     hits = found.join(index, "h").groupBy("digest", "item_id", "variant").agg(F.collect_set("place").alias("places"))
     # A list of places is no longer than its item.
     items = bench.select("item_id", "variant", "words", "slots", "size").distinct()
