@@ -75,7 +75,11 @@ def project_fingerprints(fingerprints: DataFrame, key: str, vector: str, k: int
     """Principal-component map of the fingerprints, ``key, xy``.
 
     The covariance is accumulated over partitions; its size depends on the vector width only.
+    An axis points to where its largest loading is positive, so repeated runs give the same map.
     """
     held = fingerprints.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
     model = PCA(k=k, inputCol="v", outputCol="m").fit(held)
-    return model.transform(held).select(key, vector_to_array("m").alias("xy"))
+    axes = model.pc.toArray().T
+    signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in axes]
+    turned = F.zip_with(vector_to_array("m"), F.array(*[F.lit(x) for x in signs]), lambda x, sign: x * sign)
+    return model.transform(held).select(key, turned.alias("xy"))

@@ -530,3 +530,15 @@ def test_models_in_use_are_kept():
     for name in "abacab":
         get(name)
     assert made == ["a", "b", "c", "b"]
+
+
+def test_projection_equals_plain_eigenvectors(spark):
+    from pairspark.operators import structure
+
+    rows = np.random.default_rng(6).normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.2] + [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, vec array<double>").repartition(3)
+    got = {r["id"]: r["xy"] for r in structure.project_fingerprints(df, "id", "vec").collect()}
+    values, vectors = np.linalg.eigh(np.cov(rows.T))
+    axes = vectors[:, np.argsort(values)[::-1][:2]]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    assert np.allclose([got[i] for i in range(60)], rows @ axes, atol=1e-8)
