@@ -542,3 +542,48 @@ def test_projection_equals_plain_eigenvectors(spark):
     axes = vectors[:, np.argsort(values)[::-1][:2]]
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
     assert np.allclose([got[i] for i in range(60)], rows @ axes, atol=1e-8)
+
+
+def plain_components(nodes, edges):
+    label = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for g, a, b in edges:
+            if a != b and (g, a) in label and (g, b) in label and label[g, a] != label[g, b]:
+                label[g, a] = label[g, b] = min(label[g, a], label[g, b])
+                changed = True
+    return {n: v[1] for n, v in label.items()}
+
+
+@pytest.mark.parametrize("small", [100_000, 12])
+def test_components_and_trees_whole_and_in_rounds(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = np.random.default_rng(3)
+    nodes = [(f"g{g}", f"n{i:02}") for g in range(12) for i in range(2 + 2 * g)]
+    edges = [(g, f"n{rng.integers(30):02}", n) for g, n in nodes for _ in range(2) if rng.random() < 0.6]
+    frame_n = frame(spark, [*nodes, (None, "n01"), ("g1", None)], "g string, node string").repartition(3)
+    frame_e = frame(spark, [*edges, (None, "n01", "n02"), ("g1", None, "n01"), ("zz", "n01", "n02")], "g string, src string, dst string").repartition(3)
+    jobs = []
+    got = components.component_labels(frame_e, frame_n, lambda df: jobs.append(1) or df.localCheckpoint()).collect()
+    labels = {(r["g"], r["node"]): r["label"] for r in got}
+    assert labels == plain_components(nodes, edges) and len(got) == len(nodes)
+    # Graphs that are solved whole need no rounds.
+    assert small == 12 or len(jobs) == 3
+    weighted = [(*e, int(rng.integers(1, 6))) for e in edges]
+    jobs.clear()
+    tree = components.max_overlap_tree(frame(spark, weighted, "g string, src string, dst string, weight int"), frame_n,
+                                       lambda df: jobs.append(1) or df.localCheckpoint()).collect()
+    assert small == 12 or len(jobs) == 3
+    best = {}
+    for g, a, b, w in weighted:
+        if a != b and (g, a) in labels and (g, b) in labels:
+            key = (g, *sorted((a, b)))
+            best[key] = max(best.get(key, 0), w)
+    label, expected = {n: n for n in nodes}, set()
+    for (g, a, b), w in sorted(best.items(), key=lambda x: (-x[1], x[0])):
+        if label[g, a] != label[g, b]:
+            expected |= {(g, a, b, w), (g, b, a, w)}
+            old, new = label[g, b], label[g, a]
+            label = {n: new if v == old else v for n, v in label.items()}
+    assert {tuple(r) for r in tree} == expected and len(tree) == len(expected)
