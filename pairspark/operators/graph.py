@@ -241,10 +241,19 @@ def connect_graphs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 # --- soft cluster pooling --------------------------------------------------------------
 
 
+def _listed(assigned: DataFrame) -> DataFrame:
+    """One row per node: its clusters and their numbers as an array ``v``."""
+    return assigned.groupBy("g", "node").agg(F.collect_list(F.struct("k", "s")).alias("v"))
+
+
 def soft_assignments(scores: DataFrame) -> DataFrame:
-    """Softmax over clusters of ``g, node, k, s``."""
-    return segment_softmax(scores.select("g", "node", "k", "s"), ["g", "node"], "s", "p").select(
-        "g", "node", "k", F.col("p").alias("s"))
+    """Softmax over clusters of ``g, node, k, s``; a node's few clusters are brought together once."""
+    known = F.filter("v", lambda x: x["s"].isNotNull())
+    top = _listed(scores).withColumn("top", F.array_max(F.transform(known, lambda x: x["s"])))
+    powers = top.select("g", "node", F.transform("v", lambda x: F.struct(x["k"].alias("k"), F.exp(x["s"] - F.col("top")).alias("e"))).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + F.coalesce(x["e"], F.lit(0.0)))
+    return powers.withColumn("t", total).select("g", "node", F.inline(F.transform("v", lambda x: F.struct(
+        x["k"].alias("k"), (x["e"] / F.col("t")).alias("s")))))
 
 
 def cluster_features(assigned: DataFrame, features: DataFrame) -> DataFrame:
@@ -252,14 +261,25 @@ def cluster_features(assigned: DataFrame, features: DataFrame) -> DataFrame:
     return assigned.join(features, ["g", "node"]).groupBy("g", "k", "f").agg(F.sum(F.col("s") * F.col("x")).alias("value"))
 
 
+def _linked(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    """``g, weight, a, b``: every edge once, with the listed clusters of its two ends."""
+    listed = _listed(assigned)
+    one = edges.select("g", "src", "dst", "weight").join(listed.select("g", F.col("node").alias("src"), F.col("v").alias("a")), ["g", "src"])
+    return one.join(listed.select("g", F.col("node").alias("dst"), F.col("v").alias("b")), ["g", "dst"]).select("g", "weight", "a", "b")
+
+
 def cluster_adjacency(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """S^T A S as ``g, k1, k2, a``; S^T A is folded before the second join to keep it narrow."""
-    half = (
-        assigned.select("g", F.col("node").alias("src"), F.col("k").alias("k1"), "s")
-        .join(edges, ["g", "src"]).groupBy("g", "k1", "dst").agg(F.sum(F.col("s") * F.col("weight")).alias("h"))
-    )
-    right = assigned.select("g", F.col("node").alias("dst"), F.col("k").alias("k2"), "s")
-    return half.join(right, ["g", "dst"]).groupBy("g", "k1", "k2").agg(F.sum(F.col("h") * F.col("s")).alias("a"))
+    """S^T A S as ``g, k1, k2, a``; an edge moves once, its cluster pairs are folded before they move."""
+    rows = _linked(assigned, edges).select("g", "weight", "b", F.explode("a").alias("x")).select("g", "weight", "x", F.explode("b").alias("y"))
+    return rows.groupBy("g", F.col("x.k").alias("k1"), F.col("y.k").alias("k2")).agg(F.sum(F.col("x.s") * F.col("weight") * F.col("y.s")).alias("a"))
+
+
+def cluster_trace(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    """tr(S^T A S) as ``g, num``: a number per edge, without the cells off the diagonal."""
+    same = F.aggregate("a", F.lit(0.0), lambda t, x: t + F.aggregate(
+        F.filter("b", lambda y: y["k"] == x["k"]), F.lit(0.0), lambda u, y: u + F.coalesce(x["s"] * y["s"], F.lit(0.0))))
+    shared = F.exists("a", lambda x: F.exists("b", lambda y: y["k"] == x["k"]))
+    return _linked(assigned, edges).where(shared).groupBy("g").agg(F.sum(F.col("weight") * same).alias("num"))
 
 
 def normalized_adjacency(pooled: DataFrame) -> DataFrame:
@@ -273,15 +293,14 @@ def normalized_adjacency(pooled: DataFrame) -> DataFrame:
 
 def cluster_gram(assigned: DataFrame) -> DataFrame:
     """S^T S as ``g, k1, k2, ss``, folded from one row per node so no row pairs are shuffled."""
-    listed = assigned.groupBy("g", "node").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("v"))
-    wide = listed.select("g", F.explode("v").alias("a"), "v").select("g", "a", F.explode("v").alias("b"))
+    wide = _listed(assigned).select("g", F.explode("v").alias("a"), "v").select("g", "a", F.explode("v").alias("b"))
     return wide.groupBy("g", F.col("a.k").alias("k1"), F.col("b.k").alias("k2")).agg(
         F.sum(F.col("a.s") * F.col("b.s")).alias("ss"))
 
 
 def mincut_loss(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     """-tr(S^T A S) / tr(S^T D S) per graph."""
-    top = cluster_adjacency(assigned, edges).where("k1 = k2").groupBy("g").agg(F.sum("a").alias("num"))
+    top = cluster_trace(assigned, edges)
     degree = edges.groupBy("g", F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
     low = assigned.join(degree, ["g", "node"]).groupBy("g").agg(F.sum(F.col("d") * F.col("s") * F.col("s")).alias("den"))
     return top.join(low, "g").select("g", (-F.col("num") / F.col("den")).alias("mincut_loss"))
@@ -300,7 +319,7 @@ def ortho_loss(gram: DataFrame) -> DataFrame:
 
 def modularity_loss(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     """-tr(S^T A S - S^T d d^T S / 2m) / 2m per graph; m is the weight sum of the graph itself."""
-    top = cluster_adjacency(assigned, edges).where("k1 = k2").groupBy("g").agg(F.sum("a").alias("num"))
+    top = cluster_trace(assigned, edges)
     degree = edges.groupBy("g", F.col("dst").alias("node")).agg(F.sum("weight").alias("d"))
     total = degree.groupBy("g").agg(F.sum("d").alias("m"))
     per_cluster = assigned.join(degree, ["g", "node"]).groupBy("g", "k").agg(F.sum(F.col("d") * F.col("s")).alias("c"))

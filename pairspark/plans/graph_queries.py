@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators import components as cp
 from ..operators import graph as gr
+from ..session import checkpointed
 from .registry import query, table
 from .views import CENTROID_SQL, EMBEDDING_WIDTH, ORDER_NODES_SQL, centroids, ligand_vectors, order_graphs
 
@@ -259,7 +260,8 @@ def _soft(spark, folder):
     nodes, edges = order_graphs(spark, folder)
     scores = nodes.select("g", "node", "l_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
     scores = scores.select("g", "node", "k", (((F.col("l_partkey") * (F.col("k") + 1)) % 11) / 4).alias("s"))
-    return nodes, edges, gr.soft_assignments(scores)
+    # Stored by order, so that what folds or pairs them again neither moves nor makes them anew.
+    return nodes, checkpointed(spark, edges), checkpointed(spark, gr.soft_assignments(scores))
 
 
 @query("soft_cluster_features", f"""

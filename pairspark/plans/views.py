@@ -72,7 +72,9 @@ def order_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     """
     from pyspark.sql import Window
 
-    parts = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("g"), "l_partkey").agg(F.max("l_quantity").alias("x"))
+    # One shuffle by order serves the fold, the ranks and the pairing.
+    lines_of = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity").repartition("g")
+    parts = lines_of.groupBy("g", "l_partkey").agg(F.max("l_quantity").alias("x"))
     node = F.row_number().over(Window.partitionBy("g").orderBy("l_partkey")).cast("long") - 1
     nodes = parts.select("g", node.alias("node"), "l_partkey", "x")
     a = nodes.select("g", F.col("node").alias("src"), F.col("l_partkey").alias("pa"))

@@ -587,3 +587,21 @@ def test_components_and_trees_whole_and_in_rounds(spark, monkeypatch, small):
             old, new = label[g, b], label[g, a]
             label = {n: new if v == old else v for n, v in label.items()}
     assert {tuple(r) for r in tree} == expected and len(tree) == len(expected)
+
+
+def test_cluster_adjacency_and_trace_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    scores = {(g, n): rng.normal(size=3) for g in (1, 2) for n in range(5)}
+    rows = [(g, n, k, float(s)) for (g, n), v in scores.items() for k, s in enumerate(v)]
+    edges = [(g, a, b, float(rng.integers(1, 5))) for g in (1, 2) for a in range(5) for b in range(5) if a != b and rng.random() < 0.5]
+    assigned = graph.soft_assignments(frame(spark, rows, "g int, node int, k int, s double"))
+    links = frame(spark, edges, "g int, src int, dst int, weight double")
+    # A cluster's row per node never moves by itself: the join's sides are one row per node and per edge.
+    plan = graph.cluster_trace(assigned, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and plan.count("Aggregate [g") <= 5
+    soft = {at: np.exp(v) / np.exp(v).sum() for at, v in scores.items()}
+    pooled = {g: sum(w * np.outer(soft[h, a], soft[h, b]) for h, a, b, w in edges if h == g) for g in (1, 2)}
+    cells = graph.cluster_adjacency(assigned, links).collect()
+    assert len(cells) == 18 and all(abs(r["a"] - pooled[r["g"]][r["k1"], r["k2"]]) < 1e-9 for r in cells)
+    traces = {r["g"]: r["num"] for r in graph.cluster_trace(assigned, links).collect()}
+    assert all(abs(traces[g] - np.trace(pooled[g])) < 1e-9 for g in (1, 2))
