@@ -89,6 +89,16 @@ def merge_overlaps(values: DataFrame, by: Sequence[str], value: str) -> DataFram
     return values.groupBy(*by).agg(F.avg(value).alias(value))
 
 
+def _over_shared(own: Column, shared: Column, both, alone) -> Column:
+    """The positions of ``own`` as an array: ``both(x, before)`` of those that ``shared`` has too, ``alone(x)`` of the rest.
+
+    The arrays are paired by ``zip_with``: an expression inside a lambda, a slice as well, is taken
+    anew for every element.
+    """
+    n = F.least(F.size(own), F.size(shared))
+    return F.concat(F.zip_with(F.slice(own, F.lit(1), n), F.slice(shared, F.lit(1), n), both), alone(F.slice(own, n + 1, F.size(own))))
+
+
 def _mean(a: Column, b: Column, vectors: bool) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + y) / 2) if vectors else (a + b) / 2
 
@@ -116,7 +126,8 @@ def merge_window_values(windows: DataFrame, key: str, start: str, values: str, v
     """
     held, own, shared = _stitched(windows, key, start, values, window, stride)
     # Only the last window is shorter than the others, and it is longer than a stride.
-    merged = F.transform(own, lambda x, i: F.when(F.col("__before").isNotNull() & (i < F.size(shared)), _mean(x, F.get(shared, i), vectors)).otherwise(x))
+    both = _over_shared(own, shared, lambda x, before: _mean(x, before, vectors), lambda rest: rest)
+    merged = F.when(F.col("__before").isNull(), own).otherwise(both)
     return held.select(key, start, merged.alias(values))
 
 
@@ -131,15 +142,14 @@ def merge_window_pairs(windows: DataFrame, key: str, start: str, rows: str,
     """
     held, own, shared = _stitched(windows, key, start, rows, window, stride)
 
-    def line(x: Column, i: Column) -> Column:
-        before = F.get(shared, i)
+    def line(x: Column, before: Column) -> Column:
         both = F.least(F.lit(stride), F.size(x))
         return F.concat(F.slice(before, 1, stride), _mean(F.slice(before, F.lit(stride + 1), both), F.slice(x, F.lit(1), both), True),
                         F.slice(x, F.lit(stride + 1), F.greatest(F.size(x) - stride, F.lit(0))))
 
     # Lines of the last window beyond the overlap lie left of no other window.
     padded = F.when(F.col("__before").isNull(), own).otherwise(
-        F.transform(own, lambda x, i: F.when(i < F.size(shared), line(x, i)).otherwise(F.concat(F.array_repeat(F.lit(None).cast("double"), stride), x))))
+        _over_shared(own, shared, line, lambda rest: F.transform(rest, lambda x: F.concat(F.array_repeat(F.lit(None).cast("double"), stride), x))))
     first = F.when(F.col("__before").isNull(), F.col(start)).otherwise(F.col(start) - stride)
     return held.select(key, start, first.alias("first_column"), padded.alias(rows))
 

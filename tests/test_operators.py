@@ -605,3 +605,9 @@ def test_cluster_adjacency_and_trace_against_numpy(spark):
     assert len(cells) == 18 and all(abs(r["a"] - pooled[r["g"]][r["k1"], r["k2"]]) < 1e-9 for r in cells)
     traces = {r["g"]: r["num"] for r in graph.cluster_trace(assigned, links).collect()}
     assert all(abs(traces[g] - np.trace(pooled[g])) < 1e-9 for g in (1, 2))
+
+
+def test_overlaps_are_not_cut_out_anew_for_every_position(spark):
+    rows = frame(spark, [("k", 0, [[1.0]], [1.0])], "k string, s int, m array<array<double>>, v array<double>")
+    for merged in (windows.merge_window_values(rows, "k", "s", "v"), windows.merge_window_pairs(rows, "k", "s", "m")):
+        assert "get(slice(" not in merged._jdf.queryExecution().optimizedPlan().toString()
