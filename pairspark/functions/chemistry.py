@@ -46,9 +46,12 @@ def letter_counts(seq: Column) -> dict[str, Column]:
     return {letter: F.length(seq) - F.length(F.replace(seq, F.lit(letter), F.lit(""))) for letter in fv.RESIDUES}
 
 
-def residue_totals(seq: Column) -> dict[str, Column]:
-    """Sums over a cleaned sequence of its residues' group flags and scaled properties, by name."""
-    counts = letter_counts(seq)
+def residue_totals(counts: dict[str, Column]) -> dict[str, Column]:
+    """Sums of a cleaned sequence's group flags and scaled properties, by name, from its letter counts.
+
+    Every count is in most of the sums, so ``counts`` had better be columns: an expression would be
+    taken anew in each of them.
+    """
 
     def total(values: list) -> Column:
         terms = [counts[letter] * F.lit(v) for letter, v in zip(fv.RESIDUES, values) if v]

@@ -91,8 +91,10 @@ def _values_sql() -> str:
 def residue_features_query(spark, folder):
     """Feature vectors of all residues, summed per sequence."""
     seqs = sequences(spark, folder).select("doc_id", tx.clean_sequence(F.col("seq"), "basic").alias("seq")).where("seq <> ''")
-    totals = chem.residue_totals(F.col("seq"))
-    per_row = seqs.select("doc_id", F.length("seq").alias("residues"), chem.letter_counts(F.col("seq"))["X"].alias("unknown"), *[c.alias(name) for name, c in totals.items()])
+    counts = chem.letter_counts(F.col("seq"))
+    counted = seqs.select("doc_id", F.length("seq").alias("residues"), *[c.alias(f"n_{letter}") for letter, c in counts.items()])
+    totals = chem.residue_totals({letter: F.col(f"n_{letter}") for letter in counts})
+    per_row = counted.select("doc_id", "residues", F.col("n_X").alias("unknown"), *[c.alias(name) for name, c in totals.items()])
     return per_row.groupBy("doc_id").agg(
         F.sum("residues").alias("residues"), F.sum("unknown").alias("unknown"),
         *[F.sum(name).alias(name) for name in fv.RESIDUE_GROUPS], *[F.round(F.sum(name), 5).alias(name) for name in fv.RESIDUE_PROPERTIES])
