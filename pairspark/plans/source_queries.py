@@ -14,7 +14,7 @@ from ..operators.featurize import FeatureCache, count_stages, featurize_sql, qua
 from ..operators.screening import Heads, score_dot, screen_matrix
 from ..operators.structure import annotate_structure, extract_sequence, residues
 from ..operators.windows import top_k
-from ..session import fresh_dir, spread
+from ..session import dealt, fresh_dir, spread
 from ..sources import files, sinks, structures
 from .registry import query, table
 from .views import SCREEN_SQL, centroids, ligand_vectors
@@ -201,7 +201,8 @@ def annotate_structure_query(spark, folder):
 def read_ligand_files(spark, folder):
     """A molecule per supplier, as SDF, MOL2 or PDBQT text by turns; SDF files carry a second molecule."""
     n = F.col("n")
-    base = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("m"), (F.lit(3) + F.col("s_suppkey") % 5).cast("int").alias("n"))
+    # The few rows become many files, which all cores write; rows of one molecule share a file.
+    base = dealt(table(spark, folder, "supplier", "s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("m"), (F.lit(3) + F.col("s_suppkey") % 5).cast("int").alias("n"))
     at = F.sequence(F.lit(0), n - 1)
 
     def symbol(i):
@@ -222,20 +223,14 @@ def read_ligand_files(spark, folder):
     conect = joined(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.format_string("CONECT%5d%5d", i, i + 1)))
     kinds = {"sdf": sdf, "mol2": mol2, "pdb": F.concat(pdb_atoms, F.lit("\n"), conect)}
     path = fresh_dir(spark, "ligands")
-    from pyspark.sql import DataFrame
-
-    atoms: DataFrame | None = None
-    bonds: DataFrame | None = None
     for turn, (suffix, text) in enumerate(kinds.items()):
         # The text writer names files .txt; the folder carries the molecule, the reader takes the suffix apart.
         rows = base.where(F.col("m") % 3 == turn).select(F.col("m").alias("molecule"), text.alias("value"))
-        rows.write.partitionBy("molecule").text(f"{path}/{suffix}")
-        texts = spark.read.text(f"{path}/{suffix}/molecule=*", wholetext=True).select(
-            F.col("_metadata.file_path").alias("path"), "value")
-        texts = texts.withColumn("path", F.concat(F.regexp_extract("path", r"(molecule=\d+)", 1), F.lit(f".{suffix}")))
-        a, b = structures.parse_ligands(texts)
-        atoms = a if atoms is None else atoms.unionByName(a)
-        bonds = b if bonds is None else bonds.unionByName(b)
+        # Each task puts its own files in place, where the driver would move them one by one.
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("molecule").text(f"{path}/{suffix}")
+    texts = spark.read.option("recursiveFileLookup", True).text([f"{path}/{suffix}" for suffix in kinds], wholetext=True)
+    name = F.concat(F.regexp_extract("path", r"(molecule=\d+)", 1), F.lit("."), F.regexp_extract("path", r"/([a-z0-9]+)/molecule=", 1))
+    atoms, bonds = structures.parse_ligands(texts.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("path", name))
     molecule = F.regexp_extract("path", r"molecule=(\d+)", 1).cast("long").alias("molecule")
     per_atom = atoms.groupBy(molecule).agg(
         F.count(F.lit(1)).alias("atoms"), F.count_if(F.col("symbol") == "C").alias("carbons"), F.round(F.sum("x"), 3).alias("x"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def _texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
@@ -52,7 +54,12 @@ def read_ligand_files(spark: SparkSession, path: str | list[str]) -> tuple[DataF
 
 
 def parse_ligands(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Atom and bond tables of whole files given as ``path, value``."""
+    """Atom and bond tables of whole files given as ``path, value``.
+
+    The files are read once: their texts are stored, put together in few partitions, since every
+    format and table takes a pass of its own.
+    """
+    texts = checkpointed(texts.sparkSession, texts.select("path", "value").hint("rebalance"))
     texts = texts.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     message = F.concat(F.lit("unknown structure suffix: "), "path")
     texts = texts.withColumn("suffix", F.when(F.col("suffix").isin(LIGAND_SUFFIXES), F.col("suffix")).otherwise(

@@ -185,3 +185,13 @@ def test_pairs_of_an_interpretation_table_lie_in_few_files(spark, tmp_path):
     want = rows.where("protein_id = 'P:3' AND smiles = 'C3'")
     assert sorted(r["residue_id"] for r in one.collect()) == sorted(r["residue_id"] for r in want.collect())
     assert sinks.read_pair(spark, path, "P:3", "none", "residue_id long, raw double").collect() == []
+
+
+def test_ligand_files_are_read_once(spark, tmp_path):
+    path = write(tmp_path / "a.pdb", "HETATM    1  C1  LIG A   1       1.000   2.000   3.000  1.00 20.00           C\n"
+                                     "HETATM    2  O1  LIG A   1       1.500   2.000   3.000  1.00 20.00           O\nCONECT    1    2\n")
+    atoms, bonds = structures.read_ligand_files(spark, path)
+    for rows in (atoms, bonds):
+        assert "FileScan" not in rows._jdf.queryExecution().toString()
+    assert [tuple(r)[1:] for r in atoms.orderBy("idx").collect()] == [(1, "C", 1.0, 2.0, 3.0), (2, "O", 1.5, 2.0, 3.0)]
+    assert [tuple(r)[1:] for r in bonds.collect()] == [(1, 2, "UNSPECIFIED")]
