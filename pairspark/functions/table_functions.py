@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SkipRestOfInputTableException
 
 from . import fixed_values as fv
 
@@ -53,9 +53,11 @@ class BestRows(_PerRow):
         return BestRows._result(rows)
 
     def eval(self, rows, k: int):
+        if self.seen >= k:
+            # The rest of the key's rows is passed over without a call.
+            raise SkipRestOfInputTableException()
         self.seen += 1
-        if self.seen <= k:
-            yield (*rows, self.seen)
+        yield (*rows, self.seen)
 
 
 class Batches(_PerRow):

@@ -101,3 +101,14 @@ def test_table_functions_in_sql(spark):
     assert sorted((r["k"] or "", r["v"], r["batch_no"]) for r in cut) == [("", 0.5, 0), ("a", 1.0, 0), ("a", 2.0, 0), ("a", 3.0, 1), ("b", 5.0, 0)]
     parts = spark.sql("SELECT w.* FROM VALUES ('abcdefg'), (''), (NULL) AS t(x), LATERAL sliding_windows(x, 4, 2) AS w").collect()
     assert sorted((r["chunk_start"], r["chunk"]) for r in parts) == [(0, ""), (0, "abcd"), (2, "cdef"), (4, "efg")]
+
+
+def test_best_rows_passes_over_the_rest_of_a_key():
+    from pyspark.sql.functions import SkipRestOfInputTableException
+
+    from pairspark.functions.table_functions import BestRows
+
+    best = BestRows()
+    assert [list(best.eval((v,), 2)) for v in "ab"] == [[("a", 1)], [("b", 2)]]
+    with pytest.raises(SkipRestOfInputTableException):
+        list(best.eval(("c",), 2))
