@@ -13,10 +13,11 @@ from .views import SCREEN_SQL, centroids, ligand_vectors
 
 
 def _stream(spark, df, key, label):
-    """The table as a stream of four chunks."""
+    """The table as a stream of four chunks, each of as many files as a quarter of the table's splits and the cores ask for."""
     path = fresh_dir(spark, label)
-    df.repartition(4, key).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, -(-max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism) // 4))
+    df.repartition(4 * files, key).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("stream_top_k", f"""

@@ -4,7 +4,7 @@ import datetime
 import os
 
 from pairspark.operators.windows import top_k
-from pairspark.session import fresh_dir
+from pairspark.session import fresh_dir, shared_dir
 from pairspark.streaming import screens
 
 SCHEMA = "protein string, smiles string, score double"
@@ -67,3 +67,20 @@ def test_late_rows_are_counted_and_state_shrinks(spark):
     report = screens.stream_distinct_within(stream, ["key"], "ts", "5 hours", sink, fresh_dir(spark, "checkpoint"))
     assert sorted(r["key"] for r in spark.read.parquet(sink).collect()) == [*range(100), 1000, 1001, 1002]
     assert sum(report.late) == 1 and max(report.state) >= 100 and report.state[-1] <= 3
+
+
+def test_chunks_of_a_stream_are_of_several_files(spark):
+    """A chunk's rows are no single task's: there are four chunks, each of as many files as a quarter of the cores."""
+    import os
+
+    from pairspark.plans import stream_queries
+
+    rows = spark.range(4000).selectExpr("id AS k", "concat('text ', id % 900) AS text")
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    stream = stream_queries._stream(spark, rows, "k", "dealt-chunks")
+    made = [f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("dealt-chunks") and f not in before]
+    files = [f for f in os.listdir(os.path.join(shared_dir(spark).removeprefix("file:"), made[0])) if f.endswith(".parquet")]
+    assert len(files) >= spark.sparkContext.defaultParallelism
+    sink = fresh_dir(spark, "dealt-sink")
+    screens.stream_distinct(stream.select("text"), ["text"], sink, fresh_dir(spark, "checkpoint"))
+    assert spark.read.parquet(sink).count() == 900
