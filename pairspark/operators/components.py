@@ -2,8 +2,8 @@
 
 A graph of up to ``SMALL`` rows is brought together by one shuffle and solved whole, thousands of
 graphs at a time in numpy. Larger ones are solved by joins in rounds, each of which contracts what
-it has joined; no task gets such a graph as a whole. Tables of a round go through the reliable
-checkpoint folder, which cuts the lineage. Only loop tests reach the driver.
+it has joined; no task gets such a graph as a whole. Tables of a round are stored by columns in the
+shared folder, which cuts the lineage. Only loop tests reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import stored
 from .graph import mirrored
 
 Checkpoint = Callable[[DataFrame], DataFrame]
@@ -26,7 +26,7 @@ SMALL, AT_ONCE = 100_000, 65_536
 
 
 def _default_checkpoint(df: DataFrame) -> Checkpoint:
-    return lambda table: checkpointed(df.sparkSession, table)
+    return lambda table: stored(df.sparkSession, table)
 
 
 def _by_graph(solve: Callable[[pa.Table], pa.Table]):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators import components as cp
 from ..operators import graph as gr
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from .registry import query, table
 from .views import CENTROID_SQL, EMBEDDING_WIDTH, ORDER_NODES_SQL, centroids, ligand_vectors, order_graphs
 
@@ -331,6 +331,7 @@ def component_labels_global(spark, folder):
     """One large graph of suppliers and parts."""
     e = table(spark, folder, "lineitem").select(
         F.lit(0).alias("g"), F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst")).distinct()
+    e = stored(spark, e)
     nodes = e.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
     return cp.component_labels(e, nodes).select("node", "label")
 

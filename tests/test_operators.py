@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairspark.functions import fixed_values as fv
 from pairspark.operators import components, featurize, graph, metrics, ordering, screening, splits, windows
-from pairspark.session import fresh_dir
+from pairspark.session import fresh_dir, stored
 
 
 @pytest.fixture
@@ -611,3 +611,25 @@ def test_overlaps_are_not_cut_out_anew_for_every_position(spark):
     rows = frame(spark, [("k", 0, [[1.0]], [1.0])], "k string, s int, m array<array<double>>, v array<double>")
     for merged in (windows.merge_window_values(rows, "k", "s", "v"), windows.merge_window_pairs(rows, "k", "s", "m")):
         assert "get(slice(" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+# --- tables stored between steps ---
+
+
+def test_stored_tables_keep_rows_names_and_types(spark):
+    rows = [(1, "a", [1.0, None], (2, "x")), (None, None, None, None), (1, "a", [1.0, None], (2, "x"))]
+    df = frame(spark, rows, "`a b (c)` int, s string, v array<double>, t struct<n: int, m: string>")
+    kept = stored(spark, df.repartition(2))
+    assert kept.dtypes == df.dtypes and kept.exceptAll(df).count() == df.exceptAll(kept).count() == 0
+    # A reader of one column takes no other.
+    assert "ReadSchema: struct<s:string>" in kept.select("s")._jdf.queryExecution().executedPlan().toString()
+    assert stored(spark, df.where("s = 'none'")).collect() == []
+
+
+def test_large_graphs_are_stored_by_columns_between_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", 3)
+    edges = frame(spark, [(1, i, i + 1) for i in range(9)] + [(1, 0, 1)], "g int, src int, dst int")
+    labels = components.component_labels(edges, frame(spark, [(1, i) for i in range(10)], "g int, node int"))
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "LogicalRDD" not in plan
+    assert {tuple(r) for r in labels.collect()} == {(1, i, 0) for i in range(10)}
