@@ -13,11 +13,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .graph import mirrored
+from .grouping import with_group_stats
 
 Checkpoint = Callable[[DataFrame], DataFrame]
 
@@ -241,46 +242,64 @@ def clique_overlap_graph(members: DataFrame, atoms: DataFrame, checkpoint: Check
     ``g, atom, clique`` and edges ``g, src, dst, weight``.
     """
     save = checkpoint or _default_checkpoint(members)
-    sized = members.join(members.groupBy("g", "clique").agg(F.count(F.lit(1)).alias("size")), ["g", "clique"])
-    rings = sized.where("size > 2")
-    a = rings.select("g", "atom", F.col("clique").alias("src"))
-    b = rings.select("g", "atom", F.col("clique").alias("dst"))
-    bridged = a.join(b, ["g", "atom"]).where("src < dst").groupBy("g", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    cliques = members.select("g", F.col("clique").alias("node")).distinct()
-    labels = component_labels(bridged.select("g", "src", "dst"), cliques, save)
-    merged = labels.join(labels.groupBy("g", "label").agg(F.count(F.lit(1)).alias("parts")), ["g", "label"])
-    united = save(
-        members.join(merged.select("g", F.col("node").alias("clique"), "label", "parts"), ["g", "clique"])
-        .groupBy("g", F.col("label").alias("clique"), "atom")
-        .agg(F.max(F.when(F.col("parts") > 1, F.lit(2)).otherwise(F.col("kind"))).alias("kind")))
-    sizes = united.groupBy("g", "clique").agg(F.count(F.lit(1)).alias("size"))
-    placed = united.join(sizes, ["g", "clique"])
-    crowd = placed.groupBy("g", "atom").agg(
-        F.count(F.lit(1)).alias("cs"), F.count_if(F.col("size") == 2).alias("bonds"), F.count_if(F.col("size") > 4).alias("rings"))
-    many_bonds = (F.col("bonds") > 2) | ((F.col("bonds") == 2) & (F.col("cs") > 2))
-    crowd = crowd.withColumn("link", F.when(F.col("cs") <= 1, F.lit(None)).when(many_bonds, 1).when(F.col("rings") > 2, 99))
-    top = united.groupBy("g").agg(F.max("clique").alias("top"))
+    rows = save(members.where("g IS NOT NULL AND clique IS NOT NULL").select("g", "clique", "atom", "kind"))
+    small, large = _split_by_size(rows, save)
+    placed = _placed_cliques(small, save, True)
+    if large is not None:
+        placed = placed.unionByName(_placed_cliques(large, save, False))
+    placed = save(placed)
     # A singleton's number is taken above every clique number of its molecule.
-    singles = crowd.where("link IS NOT NULL").join(top, "g").select(
-        "g", "atom", (F.col("top") + 1 + F.col("atom")).alias("single"), "link")
-    spokes = united.join(singles, ["g", "atom"]).select(
-        "g", F.col("clique").alias("src"), F.col("single").alias("dst"), F.col("link").alias("weight"))
-    plain = crowd.where("cs > 1 AND link IS NULL").select("g", "atom")
-    left = united.select("g", "atom", F.col("clique").alias("src"))
-    right = united.select("g", "atom", F.col("clique").alias("dst"))
-    # Atoms in these joins lie in few cliques: crowded ones were split off above.
-    touching = left.join(plain, ["g", "atom"], "left_semi").join(right, ["g", "atom"]).where("src < dst").select("g", "src", "dst").distinct()
-    shared = touching.join(left, ["g", "src"]).join(right, ["g", "dst", "atom"], "left_semi")
-    overlaps = shared.groupBy("g", "src", "dst").agg(F.least(F.count(F.lit(1)), F.lit(99)).alias("weight"))
-    lonely = atoms.join(united.select("g").distinct(), "g", "left_anti")
+    crowded = placed.where("link IS NOT NULL").withColumn("single", F.col("top") + 1 + F.col("atom"))
+    singles = crowded.select("g", "atom", "single").distinct()
+    spokes = crowded.where("atom IS NOT NULL").select("g", F.col("clique").alias("src"), F.col("single").alias("dst"), F.col("link").alias("weight"))
+    # Atoms in this join lie in few cliques: crowded ones were split off above.
+    plain = placed.where("cs > 1 AND link IS NULL AND atom IS NOT NULL")
+    ends = [plain.select("g", "atom", F.col("clique").alias(end)) for end in ("src", "dst")]
+    touching = ends[0].join(ends[1], ["g", "atom"]).where("src < dst").groupBy("g", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    # Of the cliques that touch, crowded atoms count too.
+    ends = [crowded.select("g", "atom", F.col("clique").alias(end)) for end in ("src", "dst")]
+    more = touching.join(ends[0], ["g", "src"]).join(ends[1], ["g", "dst", "atom"], "left_semi").groupBy("g", "src", "dst").agg(F.count(F.lit(1)).alias("more"))
+    overlaps = touching.join(more, ["g", "src", "dst"], "left").select(
+        "g", "src", "dst", F.least(F.col("n") + F.coalesce("more", F.lit(0)), F.lit(99)).alias("weight"))
+    lonely = atoms.join(placed.select("g").distinct(), "g", "left_anti")
     clique_rows = (
-        united.select("g", "clique", "kind").distinct()
+        placed.select("g", "clique", "kind").distinct()
         .unionByName(singles.select("g", F.col("single").alias("clique"), F.lit(3).alias("kind")))
         .unionByName(lonely.select("g", F.col("atom").alias("clique"), F.lit(3).alias("kind"))))
     membership = (
-        united.select("g", "atom", "clique")
+        placed.select("g", "atom", "clique")
         .unionByName(singles.select("g", "atom", F.col("single").alias("clique")))
         .unionByName(lonely.select("g", "atom", F.col("atom").alias("clique"))))
     links = overlaps.select("g", "src", "dst", F.col("weight").cast("long").alias("weight")).unionByName(
         spokes.select("g", "src", "dst", F.col("weight").cast("long").alias("weight")))
     return clique_rows, membership, links
+
+
+def _placed_cliques(rows: DataFrame, save: Checkpoint, whole: bool) -> DataFrame:
+    """``g, atom, clique, kind, cs, link, top`` of united cliques: how many hold the atom, its link if crowded, the molecule's last clique.
+
+    With ``whole`` the rows of a molecule are brought together by one shuffle, which serves every step.
+    """
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition("g") if whole else df
+
+    def with_stats(df: DataFrame, by: list[str], **stats: Column) -> DataFrame:
+        if not whole:
+            return with_group_stats(df, by, **stats)
+        return df.withColumns({name: stat.over(Window.partitionBy(*by)) for name, stat in stats.items()})
+
+    rings = with_stats(together(rows), ["g", "clique"], size=F.count(F.lit(1))).where("size > 2")
+    a = rings.select("g", "atom", F.col("clique").alias("src"))
+    b = rings.select("g", "atom", F.col("clique").alias("dst"))
+    bridged = save(a.join(b, ["g", "atom"]).where("src < dst").groupBy("g", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 2"))
+    # Only bridged rings can unite; their labels are few, other cliques keep their number.
+    ends = bridged.select("g", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    labels = component_labels(bridged.select("g", "src", "dst"), ends, save)
+    merged = together(labels.select("g", F.col("node").alias("clique"), "label"))
+    united = together(rows).join(merged, ["g", "clique"], "left").groupBy("g", F.coalesce("label", "clique").alias("clique"), "atom").agg(
+        F.max(F.when(F.col("label").isNotNull(), F.lit(2)).otherwise(F.col("kind"))).alias("kind"))
+    sized = with_stats(united, ["g", "clique"], size=F.count(F.lit(1)))
+    crowd = with_stats(sized, ["g", "atom"], cs=F.count(F.lit(1)), bonds=F.count_if(F.col("size") == 2), rings=F.count_if(F.col("size") > 4))
+    many_bonds = (F.col("bonds") > 2) | ((F.col("bonds") == 2) & (F.col("cs") > 2))
+    link = F.when(F.col("cs") <= 1, F.lit(None)).when(many_bonds, 1).when(F.col("rings") > 2, 99)
+    return with_stats(crowd, ["g"], top=F.max("clique")).select("g", "atom", "clique", "kind", "cs", link.alias("link"), "top")

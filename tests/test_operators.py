@@ -633,3 +633,57 @@ def test_large_graphs_are_stored_by_columns_between_rounds(spark, monkeypatch):
     plan = labels._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "LogicalRDD" not in plan
     assert {tuple(r) for r in labels.collect()} == {(1, i, 0) for i in range(10)}
+
+
+def plain_clique_graph(members):
+    """Cliques and links of one molecule, step by step."""
+    size = {c: sum(m[0] == c for m in members) for c, _, _ in members}
+    atoms = {c: {a for d, a, _ in members if d == c} for c in size}
+    label = {c: c for c in size}
+    for c in sorted(size) * len(size):
+        for d in size:
+            if c != d and size[c] > 2 and size[d] > 2 and len(atoms[c] & atoms[d]) > 2:
+                label[c] = label[d] = min(label[c], label[d])
+    kept, kind = {}, {}
+    for c, a, k in members:
+        kept.setdefault(label[c], set()).add(a)
+        kind.setdefault((label[c], a), set()).add(2 if list(label.values()).count(label[c]) > 1 else k)
+    cliques = {(c, max(ks)) for (c, _), ks in kind.items()}
+    links, plain = set(), set()
+    for a in {m[1] for m in members}:
+        own = [c for c in kept if a in kept[c]]
+        bonds, rings = sum(len(kept[c]) == 2 for c in own), sum(len(kept[c]) > 4 for c in own)
+        weight = None if len(own) <= 1 else 1 if bonds > 2 or (bonds == 2 and len(own) > 2) else 99 if rings > 2 else None
+        if weight:
+            single = max(kept) + 1 + a
+            cliques.add((single, 3))
+            links |= {(c, single, weight) for c in own}
+        else:
+            plain |= {(c, d) for c in own for d in own if c < d}
+    return cliques, links | {(c, d, min(99, len(kept[c] & kept[d]))) for c, d in plain}
+
+
+@pytest.mark.parametrize("small", [100_000, 12])
+def test_clique_graphs_whole_and_by_joins_against_a_plain_model(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(40):
+        cliques = [rng.choice(7, rng.integers(1, 7), replace=False).tolist() for _ in range(rng.integers(1, 7))]
+        rows += [(g, c, int(a), int(len(atoms) == 2)) for c, atoms in enumerate(cliques) for a in atoms]
+    members = frame(spark, [*rows, (None, 0, 1, 0), (3, None, 1, 0)], "g int, clique int, atom int, kind int").repartition(3)
+    found, membership, links = components.clique_overlap_graph(members, members.select("g", "atom").distinct())
+    expected = {g: plain_clique_graph([m[1:] for m in rows if m[0] == g]) for g in range(40)}
+    assert {tuple(r) for r in links.collect()} == {(g, *link) for g in expected for link in expected[g][1]}
+    got = {tuple(r) for r in found.where("g IS NOT NULL").collect()}
+    assert got == {(g, *c) for g in expected for c in expected[g][0]}
+    assert any(k == 2 for _, _, k in got) and any(k == 3 for _, _, k in got)
+
+
+def test_molecules_move_once_for_all_steps_of_their_cliques(spark):
+    rows = frame(spark, [(1, c, a, 0) for c in (0, 1) for a in range(4)], "g int, clique int, atom int, kind int")
+    saved = []
+    components.clique_overlap_graph(rows, rows.select("g", "atom"), lambda df: saved.append(df) or stored(spark, df))
+    placed = saved[-1]._jdf.queryExecution().executedPlan().toString()
+    # The rows, and the labels of the few rings that unite.
+    assert "Window" in placed and placed.count("Exchange hashpartitioning") <= 2
