@@ -190,6 +190,22 @@ def global_row_number(
     return ranked.withColumn(out, (F.col(out) + 1).cast("long"))
 
 
+def row_id_number(df: DataFrame, row_id: str, out: str) -> DataFrame:
+    """1-based row number along the ids of ``monotonically_increasing_id``, stored with all their rows.
+
+    Such an id is a block's number (the upper bits) and the row's place in the block, so only the
+    rows per block are counted and broadcast. Raises if a block has lost rows.
+    """
+    block, place = F.shiftright(row_id, 33), F.col(row_id).bitwiseAND(F.lit((1 << 33) - 1))
+    blocks = df.groupBy(block.alias("__block")).agg(F.count(F.lit(1)).alias("__n"), F.max(place).alias("__last"))
+    whole = F.when(F.col("__last") + 1 != F.col("__n"), F.raise_error(F.lit("row ids are missing")).cast("long")).otherwise(F.col("__n"))
+    # One row per block, as many as the table had splits.
+    before = Window.partitionBy(F.lit(0)).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("__block", F.coalesce(F.sum(whole).over(before), F.lit(0)).alias("__before"), whole.alias("__n"))
+    joined = df.withColumn("__block", block).join(F.broadcast(offsets.where("__n > 0").drop("__n")), "__block")
+    return joined.withColumn(out, F.col("__before") + place + 1).drop("__block", "__before")
+
+
 def hash_running_totals(
     df: DataFrame,
     hashed: str,

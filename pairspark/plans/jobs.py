@@ -18,7 +18,7 @@ from ..operators import screening as sc
 from ..operators import splits
 from ..operators.featurize import FeatureCache, canonicalize, featurize
 from ..operators.windows import minmax_per_group, percentile_rank, top_k
-from ..session import checkpointed
+from ..session import checkpointed, stored
 from ..sources.files import read_fasta, read_pairs, read_smiles_auto
 from ..sources.sinks import write_interpretation, write_scores
 
@@ -129,7 +129,7 @@ def score_given_pairs(pairs: DataFrame, job: PairScoring) -> DataFrame:
         raise ValueError(f"columns named like scores: {sorted(taken)}")
 
     def features(name: str, key: str, fn: Callable[[str], object], out: str) -> DataFrame:
-        keys = pairs.where(F.col(key).isNotNull()).select(key).distinct()
+        keys = stored(spark, pairs.where(F.col(key).isNotNull()).select(key).distinct())
         cache = FeatureCache(spark, f"{job.cache}/{name}", job.feature_type)
         run = cache.get_or_compute(keys, key, lambda missing: featurize(missing, key, fn, job.feature_type))
         return cache.attach(keys, key, run.features).withColumnRenamed("value", out)
@@ -138,7 +138,7 @@ def score_given_pairs(pairs: DataFrame, job: PairScoring) -> DataFrame:
     proteins = features("proteins", "Protein", job.protein_features, "protein_feature")
     unique = pairs.select("Protein", "Ligand").distinct()
     hydrated = sc.hydrate_pairs(unique, ligands, proteins, "Ligand", "Protein")
-    scored = checkpointed(spark, sc.score_pairs(
+    scored = stored(spark, sc.score_pairs(
         hydrated, job.make_scorer, ["protein_feature", "ligand_feature"], ["Protein", "Ligand"], job.heads, job.batch_size))
     return sc.attach_predictions(pairs, scored, ["Protein", "Ligand"])
 
@@ -150,9 +150,9 @@ def score_pair_list(spark: SparkSession, path: str, output: str, job: PairScorin
     """
     raw = spark.read.option("header", True).csv(path)
     # Stored, so that a row keeps its number whatever reads it.
-    placed = checkpointed(spark, raw.withColumn("__place", F.monotonically_increasing_id()))
-    pairs = sc.assign_pair_id(placed, "__place").drop("__place")
-    scored = checkpointed(spark, score_given_pairs(pairs, job))
+    placed = stored(spark, raw.withColumn("__place", F.monotonically_increasing_id()))
+    pairs = sc.assign_pair_id(placed, "__place", row_ids=True).drop("__place")
+    scored = stored(spark, score_given_pairs(pairs, job))
     scored.write.mode("overwrite").option("header", True).csv(output)
     rows, done = scored.agg(F.count(F.lit(1)), F.count("prediction")).first()
     return {"pairs": rows, "scored": done, "unscored": rows - done}
@@ -163,8 +163,8 @@ def evaluate_folder(spark: SparkSession, folder: str, output: str, job: PairScor
 
     Returns the metrics (metric, value) of the heads; pairs that have no score count in none.
     """
-    test = read_pairs(spark, folder).where("split = 'test'").drop("split")
-    scored = checkpointed(spark, score_given_pairs(test, job))
+    test = stored(spark, read_pairs(spark, folder).where("split = 'test'").drop("split"))
+    scored = stored(spark, score_given_pairs(test, job))
     scored.write.mode("overwrite").option("header", True).csv(f"{output}/predictions.csv")
     known, heads = scored.where("prediction IS NOT NULL"), job.heads
     regression = binary = multiclass = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairspark.functions.sql import register_functions, register_tables
 from pairspark.__main__ import main
+from pairspark.operators import screening
 from pairspark.operators.metrics import evaluate
 from pairspark.operators.screening import Heads
 from pairspark.plans.jobs import PairScoring, Screening, evaluate_folder, run_screening, score_pair_list, write_splits
@@ -210,3 +211,15 @@ def test_command_line(spark, tmp_path, capsys):
     printed = capsys.readouterr().out
     assert '"scored": 3' in printed and '"mae": 0.5' in printed and '"pairs": 2' in printed
     assert read_csv(spark, str(tmp_path / "out2")).count() == 1
+
+
+def test_rows_of_a_pair_list_are_numbered_in_order_of_the_file_without_a_sort(spark, tmp_path, monkeypatch):
+    def sort(*args, **kwargs):
+        raise AssertionError("rows are sorted")
+
+    monkeypatch.setattr(screening, "global_row_number", sort)
+    lines = [f"MKT,{'C' * (i % 5 + 1)},{i}" for i in range(300)]
+    (tmp_path / "pairs.csv").write_text("\n".join(["Protein,Ligand,my note (x)", *lines]) + "\n")
+    assert score_pair_list(spark, str(tmp_path / "pairs.csv"), str(tmp_path / "out"), pair_job(spark)) == {"pairs": 300, "scored": 300, "unscored": 0}
+    rows = read_csv(spark, str(tmp_path / "out")).collect()
+    assert {(r["ID"], r["my note (x)"], r["prediction"]) for r in rows} == {(f"PAIR_{i}", str(i), str(3.0 * (i % 5 + 1) + 0.5)) for i in range(300)}

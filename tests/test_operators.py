@@ -687,3 +687,34 @@ def test_molecules_move_once_for_all_steps_of_their_cliques(spark):
     placed = saved[-1]._jdf.queryExecution().executedPlan().toString()
     # The rows, and the labels of the few rings that unite.
     assert "Window" in placed and placed.count("Exchange hashpartitioning") <= 2
+
+
+def test_stored_row_ids_are_numbered_without_a_sort(spark):
+    rows = spark.range(0, 500, 1, 7).where("id % 3 <> 1").withColumn("at", F.monotonically_increasing_id())
+    kept = stored(spark, rows)
+    got = ordering.row_id_number(kept, "at", "n")
+    assert sorted((r["n"], r["id"]) for r in got.collect()) == list(enumerate([i for i in range(500) if i % 3 != 1], 1))
+    ids = screening.assign_pair_id(kept, "at", row_ids=True).exceptAll(screening.assign_pair_id(kept, "at"))
+    assert ids.count() == 0
+    with pytest.raises(Exception, match="row ids are missing"):
+        ordering.row_id_number(kept.where("id <> 0"), "at", "n").collect()
+    assert ordering.row_id_number(kept.where("id < 0"), "at", "n").collect() == []
+
+
+def test_scores_of_all_batches_leave_as_one_frame(spark):
+    def make():
+        def score(batch):
+            out = pd.DataFrame({"regression": batch["x"].to_numpy() * 2})
+            if len(batch) == 4:  # the last batch has no other heads
+                out["class_logit"] = batch["x"].to_numpy()
+            return out
+        return score
+
+    pairs = spark.range(0, 10, 1, 1).withColumn("x", F.col("id").cast("double"))
+    heads = screening.Heads(True, True)
+    got = sorted(screening.score_pairs(pairs, make, ["x"], ["id"], heads, 4).collect())
+    assert [(r["id"], r["prediction"]) for r in got] == [(i, 2.0 * i) for i in range(10)]
+    logits = [r["predicted_binary_interaction"] for r in got]
+    assert logits[8:] == [None, None] and logits[0] == 0.5 and None not in logits[:8]
+    with pytest.raises(Exception, match="3 scores for 4 pairs"):
+        screening.score_pairs(pairs, lambda: lambda batch: pd.DataFrame({"regression": [1.0] * 3}), ["x"], ["id"], heads, 4).collect()
