@@ -5,9 +5,9 @@ Edges are ``g, src, dst[, weight]`` and nodes ``g, node[, ...]``; ``g`` is the g
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import bond_code
@@ -240,46 +240,104 @@ def connect_graphs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 # --- soft cluster pooling --------------------------------------------------------------
 
+# Scores and assignments are rows ``g, node, k, s`` or, listed, one row per node ``g, node, v`` with an
+# array of ``k, s``. With ``placed`` the tables lie by ``g``, as after ``repartition("g")``: clusters are then
+# brought to the edges by windows, which leave all rows where they are, where joins would move them by node.
+
 
 def _listed(assigned: DataFrame) -> DataFrame:
     """One row per node: its clusters and their numbers as an array ``v``."""
-    return assigned.groupBy("g", "node").agg(F.collect_list(F.struct("k", "s")).alias("v"))
+    return assigned if "v" in assigned.columns else assigned.groupBy("g", "node").agg(F.collect_list(F.struct("k", "s")).alias("v"))
+
+
+def _rows(assigned: DataFrame) -> DataFrame:
+    return assigned.select("g", "node", F.inline("v")) if "v" in assigned.columns else assigned
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is made once even where ``then`` uses it for every element of a list."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def soft_assignments(scores: DataFrame) -> DataFrame:
-    """Softmax over clusters of ``g, node, k, s``; a node's few clusters are brought together once."""
-    known = F.filter("v", lambda x: x["s"].isNotNull())
-    top = _listed(scores).withColumn("top", F.array_max(F.transform(known, lambda x: x["s"])))
-    powers = top.select("g", "node", F.transform("v", lambda x: F.struct(x["k"].alias("k"), F.exp(x["s"] - F.col("top")).alias("e"))).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + F.coalesce(x["e"], F.lit(0.0)))
-    return powers.withColumn("t", total).select("g", "node", F.inline(F.transform("v", lambda x: F.struct(
-        x["k"].alias("k"), (x["e"] / F.col("t")).alias("s")))))
+    """Softmax over clusters of ``g, node, k, s``; a node's few clusters are brought together once.
+
+    Listed scores give listed assignments.
+    """
+    powers = _with(F.array_max("v.s"), lambda top: F.transform(
+        "v", lambda x: F.struct(x["k"].alias("k"), F.exp(x["s"] - top).alias("e"))))
+    total = lambda p: F.aggregate(p["e"], F.lit(0.0), lambda t, e: t + F.coalesce(e, F.lit(0.0)))
+    shares = _with(powers, lambda p: _with(total(p), lambda t: F.transform(
+        p, lambda x: F.struct(x["k"].alias("k"), (x["e"] / t).alias("s")))))
+    # Above an explode, here of one element, the lists are not made anew for each use or in filters of the input.
+    assigned = _listed(scores).select("g", "node", F.explode(F.array(shares)).alias("v"))
+    return assigned if "v" in scores.columns else _rows(assigned)
 
 
 def cluster_features(assigned: DataFrame, features: DataFrame) -> DataFrame:
     """X' = S^T X as ``g, k, f, value`` from features ``g, node, f, x``."""
-    return assigned.join(features, ["g", "node"]).groupBy("g", "k", "f").agg(F.sum(F.col("s") * F.col("x")).alias("value"))
-
+    return _rows(assigned).join(features, ["g", "node"]).groupBy("g", "k", "f").agg(F.sum(F.col("s") * F.col("x")).alias("value"))
 
-def _linked(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """``g, weight, a, b``: every edge once, with the listed clusters of its two ends."""
-    listed = _listed(assigned)
-    one = edges.select("g", "src", "dst", "weight").join(listed.select("g", F.col("node").alias("src"), F.col("v").alias("a")), ["g", "src"])
-    return one.join(listed.select("g", F.col("node").alias("dst"), F.col("v").alias("b")), ["g", "dst"]).select("g", "weight", "a", "b")
 
+def _linked(assigned: DataFrame, edges: DataFrame, how: str = "inner", placed: bool = False) -> DataFrame:
+    """``g, weight, a, b``: every edge once, with the listed clusters of its two ends.
 
-def cluster_adjacency(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+    ``how`` left keeps edges with an end that has no clusters.
+    """
+    listed, edges = _listed(assigned), edges.select("g", "src", "dst", "weight")
+    if not placed:
+        one = edges.join(listed.select("g", F.col("node").alias("src"), F.col("v").alias("a")), ["g", "src"], how)
+        return one.join(listed.select("g", F.col("node").alias("dst"), F.col("v").alias("b")), ["g", "dst"], how).select("g", "weight", "a", "b")
+    # Nodes stand beside the edges that leave them, then beside those that reach them.
+    known = listed.where("g IS NOT NULL AND node IS NOT NULL").select("g", F.col("node").alias("src"), F.col("node").alias("dst"), F.col("v").alias("a"), F.lit(False).alias("edge"))
+    both = known.unionByName(edges.withColumn("edge", F.lit(True)), allowMissingColumns=True)
+    own = F.when(~F.col("edge"), F.col("a"))
+    found = lambda end: F.first(own, ignorenulls=True).over(Window.partitionBy("g", end))
+    left = both.withColumn("a", found("src")).select("g", "dst", "weight", "edge", "a")
+    linked = left.withColumn("b", found("dst")).where("edge").select("g", "weight", "a", "b")
+    return linked.where("a IS NOT NULL AND b IS NOT NULL") if how == "inner" else linked
+
+
+def cluster_adjacency(assigned: DataFrame, edges: DataFrame, placed: bool = False) -> DataFrame:
     """S^T A S as ``g, k1, k2, a``; an edge moves once, its cluster pairs are folded before they move."""
-    rows = _linked(assigned, edges).select("g", "weight", "b", F.explode("a").alias("x")).select("g", "weight", "x", F.explode("b").alias("y"))
+    rows = _linked(assigned, edges, placed=placed).select("g", "weight", "b", F.explode("a").alias("x")).select("g", "weight", "x", F.explode("b").alias("y"))
     return rows.groupBy("g", F.col("x.k").alias("k1"), F.col("y.k").alias("k2")).agg(F.sum(F.col("x.s") * F.col("weight") * F.col("y.s")).alias("a"))
 
 
-def cluster_trace(assigned: DataFrame, edges: DataFrame) -> DataFrame:
+def _shared() -> Column:
+    """Whether the ends of a linked edge share a cluster."""
+    return F.exists("a", lambda x: F.exists("b", lambda y: y["k"] == x["k"]))
+
+
+def _products(x: str, y: str) -> Column:
+    """The numbers of the list ``x`` that are of the same clusters as those of ``y``, multiplied and added."""
+    return F.aggregate(x, F.lit(0.0), lambda t, p: t + F.aggregate(
+        F.filter(y, lambda q: q["k"] == p["k"]), F.lit(0.0), lambda u, q: u + F.coalesce(p["s"] * q["s"], F.lit(0.0))))
+
+
+def cluster_trace(assigned: DataFrame, edges: DataFrame, placed: bool = False) -> DataFrame:
     """tr(S^T A S) as ``g, num``: a number per edge, without the cells off the diagonal."""
-    same = F.aggregate("a", F.lit(0.0), lambda t, x: t + F.aggregate(
-        F.filter("b", lambda y: y["k"] == x["k"]), F.lit(0.0), lambda u, y: u + F.coalesce(x["s"] * y["s"], F.lit(0.0))))
-    shared = F.exists("a", lambda x: F.exists("b", lambda y: y["k"] == x["k"]))
-    return _linked(assigned, edges).where(shared).groupBy("g").agg(F.sum(F.col("weight") * same).alias("num"))
+    return _linked(assigned, edges, placed=placed).where(_shared()).groupBy("g").agg(F.sum(F.col("weight") * _products("a", "b")).alias("num"))
+
+
+def edge_sums(assigned: DataFrame, edges: DataFrame, placed: bool = False) -> DataFrame:
+    """What losses take from the edges, all in one pass, as ``g, num, den, m, cc``.
+
+    tr(S^T A S), tr(S^T D S) with the weights from a node as D, the weight sum, and the squared weights
+    into the clusters, added. Graphs without an edge inside a cluster have no row.
+    """
+    cells = _linked(assigned, edges, "left", placed).select("g", "weight", "a", F.posexplode_outer("b").alias("i", "y"))
+    cells = cells.withColumn("same", F.filter("a", lambda x: x["k"] == F.col("y.k")))
+    some, known = F.size("same") > 0, F.exists("a", lambda x: x["s"].isNotNull())
+    product = F.aggregate("same", F.lit(0.0), lambda t, x: t + F.coalesce(x["s"] * F.col("y.s"), F.lit(0.0)))
+    squares = F.aggregate("a", F.lit(0.0), lambda t, x: t + F.coalesce(x["s"] * x["s"], F.lit(0.0)))
+    # What an edge has once goes with the first of its cells.
+    once = F.coalesce("i", F.lit(0)) == 0
+    folded = cells.groupBy("g", F.col("y.k").alias("k")).agg(
+        F.sum(F.when(some, F.col("weight") * product)).alias("num"), F.sum(F.when(once & known, F.col("weight") * squares)).alias("den"),
+        F.sum(F.when(once, F.col("weight"))).alias("m"), F.sum(F.col("weight") * F.col("y.s")).alias("c"), F.count_if(some).alias("some"))
+    sums = folded.groupBy("g").agg(*[F.sum(x).alias(x) for x in ("num", "den", "m", "some")], F.sum(F.col("c") * F.col("c")).alias("cc"))
+    return sums.where("some > 0").select("g", "num", "den", "m", "cc")
 
 
 def normalized_adjacency(pooled: DataFrame) -> DataFrame:
@@ -298,53 +356,58 @@ def cluster_gram(assigned: DataFrame) -> DataFrame:
         F.sum(F.col("a.s") * F.col("b.s")).alias("ss"))
 
 
-def mincut_loss(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """-tr(S^T A S) / tr(S^T D S) per graph."""
-    top = cluster_trace(assigned, edges)
-    degree = edges.groupBy("g", F.col("src").alias("node")).agg(F.sum("weight").alias("d"))
-    low = assigned.join(degree, ["g", "node"]).groupBy("g").agg(F.sum(F.col("d") * F.col("s") * F.col("s")).alias("den"))
-    return top.join(low, "g").select("g", (-F.col("num") / F.col("den")).alias("mincut_loss"))
+def mincut_loss(assigned: DataFrame, edges: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """-tr(S^T A S) / tr(S^T D S) per graph; ``sums`` are those of the edges, where they are at hand."""
+    sums = edge_sums(assigned, edges) if sums is None else sums
+    return sums.select("g", (-F.col("num") / F.col("den")).alias("mincut_loss"))
+
 
+def gram_sums(gram: DataFrame) -> DataFrame:
+    """What losses take from the cells of SS, all in one pass, as ``g, squares, trace, k, rows, roots, row_squares``.
 
-def ortho_loss(gram: DataFrame) -> DataFrame:
-    """|| SS/||SS|| - I/sqrt(k) || per graph, from the cells of SS."""
-    sums = gram.groupBy("g").agg(
-        F.sqrt(F.sum(F.col("ss") * F.col("ss"))).alias("norm"),
-        F.sum(F.when(F.col("k1") == F.col("k2"), F.col("ss")).otherwise(F.lit(0.0))).alias("trace"),
-        F.count_if(F.col("k1") == F.col("k2")).alias("k"))
+    The squares of all cells, the diagonal and its length, the rows of clusters, the roots of the diagonal
+    and the squared sums of rows, each added.
+    """
+    own, ss = F.col("k1") == F.col("k2"), F.col("ss")
+    by_row = gram.groupBy("g", "k1").agg(
+        F.sum(ss * ss).alias("squares"), F.sum(F.when(own, ss).otherwise(F.lit(0.0))).alias("trace"), F.count_if(own).alias("k"),
+        F.sum(F.when(own, F.sqrt(ss + F.lit(EPS)))).alias("roots"), F.sum(ss).alias("r"))
+    return by_row.groupBy("g").agg(
+        *[F.sum(x).alias(x) for x in ("squares", "trace", "k", "roots")],
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("r") * F.col("r")).alias("row_squares"))
+
+
+def ortho_loss(gram: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """|| SS/||SS|| - I/sqrt(k) || per graph, from the cells of SS; ``sums`` are theirs, where they are at hand."""
+    sums = gram_sums(gram) if sums is None else sums
     # ||A - B||^2 with both of norm one is 2 - 2<A, B>.
-    inner = F.col("trace") / F.col("norm") / F.sqrt(F.col("k").cast("double"))
+    inner = F.col("trace") / F.sqrt("squares") / F.sqrt(F.col("k").cast("double"))
     return sums.select("g", F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * inner)).alias("ortho_loss"))
 
 
-def modularity_loss(assigned: DataFrame, edges: DataFrame) -> DataFrame:
-    """-tr(S^T A S - S^T d d^T S / 2m) / 2m per graph; m is the weight sum of the graph itself."""
-    top = cluster_trace(assigned, edges)
-    degree = edges.groupBy("g", F.col("dst").alias("node")).agg(F.sum("weight").alias("d"))
-    total = degree.groupBy("g").agg(F.sum("d").alias("m"))
-    per_cluster = assigned.join(degree, ["g", "node"]).groupBy("g", "k").agg(F.sum(F.col("d") * F.col("s")).alias("c"))
-    squares = per_cluster.groupBy("g").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-    m = F.col("m")
-    return top.join(total, "g").join(squares, "g").select(
-        "g", (-(F.col("num") - F.col("cc") / 2 / m) / 2 / m).alias("modularity_loss"))
+def modularity_loss(assigned: DataFrame, edges: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """-tr(S^T A S - S^T d d^T S / 2m) / 2m per graph; m is the weight sum of the graph itself.
+
+    ``sums`` are those of the edges, where they are at hand.
+    """
+    sums, m = edge_sums(assigned, edges) if sums is None else sums, F.col("m")
+    return sums.select("g", (-(F.col("num") - F.col("cc") / 2 / m) / 2 / m).alias("modularity_loss"))
 
 
-def cluster_size_loss(gram: DataFrame, nodes: DataFrame) -> DataFrame:
-    """||row sums of SS|| / n * sqrt(k) - 1 per graph."""
-    rows = gram.groupBy("g", "k1").agg(F.sum("ss").alias("r"))
-    norms = rows.groupBy("g").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.count(F.lit(1)).alias("k"))
+def cluster_size_loss(gram: DataFrame, nodes: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """||row sums of SS|| / n * sqrt(k) - 1 per graph; ``sums`` are those of SS, where they are at hand."""
+    sums = gram_sums(gram) if sums is None else sums
     sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return norms.join(sizes, "g").select(
-        "g", (F.col("norm") / F.col("n") * F.sqrt(F.col("k").cast("double")) - 1).alias("cluster_size_loss"))
+    return sums.join(sizes, "g").select(
+        "g", (F.sqrt("row_squares") / F.col("n") * F.sqrt(F.col("rows").cast("double")) - 1).alias("cluster_size_loss"))
 
 
-def balance_loss(gram: DataFrame, nodes: DataFrame) -> DataFrame:
-    """-tr(sqrt(SS + eps)) / sqrt(n k) per graph, element-wise root."""
-    diagonal = gram.where("k1 = k2").groupBy("g").agg(
-        F.sum(F.sqrt(F.col("ss") + F.lit(EPS))).alias("t"), F.count(F.lit(1)).alias("k"))
+def balance_loss(gram: DataFrame, nodes: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """-tr(sqrt(SS + eps)) / sqrt(n k) per graph, element-wise root; ``sums`` are those of SS, where they are at hand."""
+    sums = (gram_sums(gram) if sums is None else sums).where("k > 0")
     sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return diagonal.join(sizes, "g").select(
-        "g", (-F.col("t") / F.sqrt((F.col("n") * F.col("k")).cast("double"))).alias("balance_loss"))
+    return sums.join(sizes, "g").select(
+        "g", (-F.col("roots") / F.sqrt((F.col("n") * F.col("k")).cast("double"))).alias("balance_loss"))
 
 
 # --- random thinning -------------------------------------------------------------------

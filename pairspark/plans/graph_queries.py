@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators import components as cp
 from ..operators import graph as gr
-from ..session import checkpointed, stored
+from ..session import stored
 from .registry import query, table
 from .views import CENTROID_SQL, EMBEDDING_WIDTH, ORDER_NODES_SQL, centroids, ligand_vectors, order_graphs
 
@@ -257,11 +257,11 @@ SOFT_SQL = f"""
 
 
 def _soft(spark, folder):
-    nodes, edges = order_graphs(spark, folder)
-    scores = nodes.select("g", "node", "l_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("k"))
-    scores = scores.select("g", "node", "k", (((F.col("l_partkey") * (F.col("k") + 1)) % 11) / 4).alias("s"))
-    # Stored by order, so that what folds or pairs them again neither moves nor makes them anew.
-    return nodes, checkpointed(spark, edges), checkpointed(spark, gr.soft_assignments(scores))
+    """Nodes, edges and listed assignments, all lying by order from one shuffle of the lines."""
+    nodes, edges = order_graphs(spark, folder, placed=True)
+    score = lambda k: F.struct(k.alias("k"), (((F.col("l_partkey") * (k + 1)) % 11) / 4).alias("s"))
+    scores = nodes.select("g", "node", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")), score).alias("v"))
+    return nodes, edges, gr.soft_assignments(scores)
 
 
 @query("soft_cluster_features", f"""
@@ -300,8 +300,10 @@ def soft_cluster_pool(spark, folder):
 def cluster_losses(spark, folder):
     nodes, edges, assigned = _soft(spark, folder)
     gram = gr.cluster_gram(assigned)
-    out = gr.mincut_loss(assigned, edges)
-    for part in (gr.ortho_loss(gram), gr.modularity_loss(assigned, edges), gr.cluster_size_loss(gram, nodes), gr.balance_loss(gram, nodes)):
+    # One row per order each: the losses take their sums over edges and cells from them.
+    linked, cells = stored(spark, gr.edge_sums(assigned, edges, placed=True)), stored(spark, gr.gram_sums(gram))
+    out = gr.mincut_loss(assigned, edges, linked)
+    for part in (gr.ortho_loss(gram, cells), gr.modularity_loss(assigned, edges, linked), gr.cluster_size_loss(gram, nodes, cells), gr.balance_loss(gram, nodes, cells)):
         out = out.join(part, "g")
     return out.select("g", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in out.columns if c != "g"])
 

@@ -77,15 +77,18 @@ ORDER_NODES_SQL = """
 """
 
 
-def order_graphs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def order_graphs(spark: SparkSession, folder: str, placed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes ``g, node, l_partkey, x`` and symmetric edges ``g, src, dst, weight`` of the orders.
 
-    An order holds a handful of parts, so the in-order pairing stays small.
+    An order holds a handful of parts, so the in-order pairing stays small. With ``placed`` both keep
+    lying by ``g``, in splits that the planner doesn't join to larger ones, for work that makes much of a row.
     """
     from pyspark.sql import Window
 
     # One shuffle by order serves the fold, the ranks and the pairing.
-    lines_of = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity").repartition("g")
+    lines_of = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("g"), "l_partkey", "l_quantity")
+    splits = [max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * lines_of.rdd.getNumPartitions())] if placed else []
+    lines_of = lines_of.repartition(*splits, "g")
     parts = lines_of.groupBy("g", "l_partkey").agg(F.max("l_quantity").alias("x"))
     node = F.row_number().over(Window.partitionBy("g").orderBy("l_partkey")).cast("long") - 1
     nodes = parts.select("g", node.alias("node"), "l_partkey", "x")

@@ -2,11 +2,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pairspark.functions import fixed_values as fv
 from pairspark.operators import components, featurize, graph, metrics, ordering, screening, splits, windows
+from pairspark.plans import graph_queries
 from pairspark.session import fresh_dir, stored
 
 
@@ -607,6 +610,73 @@ def test_cluster_adjacency_and_trace_against_numpy(spark):
     assert all(abs(traces[g] - np.trace(pooled[g])) < 1e-9 for g in (1, 2))
 
 
+def shuffles(df):
+    """The planner's own shuffles, without those a query asks for."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def order_lines(tmp_path):
+    """Lines of 40 orders of up to 9 parts as ``lineitem``, with repeated lines and a null order; returns the parts by order."""
+    rng = np.random.default_rng(11)
+    rows = [(int(g), int(p), float(q)) for g in range(40) for p, q in zip(rng.integers(1, 60, g % 10), rng.integers(1, 50, 9))]
+    rows += rows[:20] + [(None, 5, 1.0), (None, 7, 1.0)]
+    table = pa.table({"l_orderkey": [r[0] for r in rows], "l_partkey": [r[1] for r in rows], "l_quantity": [r[2] for r in rows]})
+    pq.write_table(table, tmp_path / "lineitem.parquet")
+    return {g: sorted({p for h, p, _ in rows if h == g}) for g in range(40)}
+
+
+def soft_orders(parts):
+    """Assignments and weights of the orders, dense, by order with at least one edge."""
+    for g, own in parts.items():
+        p = np.array(own, float)
+        e = np.exp((np.outer(p, np.arange(1, 4)) % 11) / 4)
+        w = np.array([[1.0 + (a + b) % 7 if a != b and (a + b) % 3 == 0 else 0.0 for b in own] for a in own])
+        if w.any():
+            yield g, e / e.sum(axis=1, keepdims=True), w
+
+
+def test_cluster_losses_of_orders_from_one_shuffle(spark, tmp_path):
+    """Losses against numpy; what the edges and cells give is folded where the orders lie, and no row by node or edge is stored."""
+    want = {}
+    for g, s, w in soft_orders(order_lines(tmp_path)):
+        ss, m = s.T @ s, w.sum()
+        trace = np.trace(s.T @ w @ s)
+        want[g] = (-trace / (w.sum(axis=1) @ (s * s).sum(axis=1)), np.linalg.norm(ss / np.linalg.norm(ss) - np.eye(3) / 3 ** 0.5),
+                   -(trace - ((w.sum(axis=0) @ s) ** 2).sum() / 2 / m) / 2 / m, np.linalg.norm(ss.sum(axis=1)) / len(s) * 3 ** 0.5 - 1,
+                   -np.sqrt(np.diag(ss) + 1e-15).sum() / (len(s) * 3) ** 0.5)
+    got = {r["g"]: tuple(r)[1:] for r in graph_queries.cluster_losses(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[g], want[g], atol=1e-5) for g in want)
+    _, edges, assigned = graph_queries._soft(spark, str(tmp_path))
+    assert shuffles(graph.edge_sums(assigned, edges, placed=True)) == 0 and shuffles(graph.gram_sums(graph.cluster_gram(assigned))) == 0
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_edge_sums_by_joins_and_where_graphs_lie(spark, listed):
+    """Ends without clusters, unknown ends, missing numbers and weights; sums against plain loops."""
+    clusters = {(1, 0): {0: 0.5, 1: 0.5}, (1, 1): {0: 0.2, 1: 0.8}, (1, 2): {0: None, 1: 1.0}, (2, 0): {0: 1.0}, (2, 1): {1: 1.0}, (3, 0): {0: 1.0}, (3, 1): {0: 0.5}}
+    links = [(1, 0, 1, 2.0), (1, 1, 0, 3.0), (1, 1, 0, 3.0), (1, 0, 2, 4.0), (1, 2, 0, None), (1, 0, 9, 5.0), (1, 9, 1, 6.0), (1, 0, None, 7.0), (1, None, 1, 8.0),
+             (2, 0, 1, 1.0), (3, 0, 1, 2.0), (None, 0, 1, 1.0)]
+    want = {}
+    for g in (1, 3):
+        num = den = m = 0.0
+        c = {}
+        for a, b, w in [(clusters.get((g, x), {}), clusters.get((g, y), {}), w or 0.0) for h, x, y, w in links if h == g]:
+            num += w * sum((a[k] or 0) * (b[k] or 0) for k in a if k in b)
+            den += w * sum((s or 0) ** 2 for s in a.values())
+            m += w
+            for k, s in b.items():
+                c[k] = c.get(k, 0) + w * (s or 0)
+        want[g] = (num, den, m, sum(x * x for x in c.values()))
+    rows = frame(spark, [(g, n, k, s) for (g, n), v in clusters.items() for k, s in v.items()] + [(None, 0, 0, 1.0), (1, None, 0, 1.0)], "g int, node int, k int, s double")
+    assigned = graph._listed(rows) if listed else rows
+    edges = frame(spark, links, "g int, src int, dst int, weight double")
+    for placed in (False, True):
+        got = {r["g"]: (r["num"], r["den"], r["m"], r["cc"]) for r in graph.edge_sums(assigned, edges, placed).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[g], want[g]) for g in want)
+        cells = graph.cluster_adjacency(assigned, edges, placed).where("g = 1 AND k1 = 1 AND k2 = 1").collect()
+        assert len(cells) == 1 and abs(cells[0]["a"] - (2 * 0.5 * 0.8 + 6 * 0.8 * 0.5 + 4 * 0.5)) < 1e-9
+
+
 def test_overlaps_are_not_cut_out_anew_for_every_position(spark):
     rows = frame(spark, [("k", 0, [[1.0]], [1.0])], "k string, s int, m array<array<double>>, v array<double>")
     for merged in (windows.merge_window_values(rows, "k", "s", "v"), windows.merge_window_pairs(rows, "k", "s", "m")):
