@@ -341,12 +341,21 @@ def edge_sums(assigned: DataFrame, edges: DataFrame, placed: bool = False) -> Da
 
 
 def normalized_adjacency(pooled: DataFrame) -> DataFrame:
-    """Zero diagonal, then a / sqrt(d_row) / sqrt(d_column) with a small floor."""
-    open_ = pooled.withColumn("a", F.when(F.col("k1") == F.col("k2"), F.lit(0.0)).otherwise(F.col("a")))
-    degree = open_.groupBy("g", "k1").agg((F.sqrt(F.sum("a")) + F.lit(EPS)).alias("d1"))
-    other = degree.select("g", F.col("k1").alias("k2"), F.col("d1").alias("d2"))
-    return open_.join(degree, ["g", "k1"]).join(other, ["g", "k2"]).select(
-        "g", "k1", "k2", (F.col("a") / F.col("d1") / F.col("d2")).alias("a"))
+    """Zero diagonal, then a / sqrt(d_row) / sqrt(d_column) with a small floor.
+
+    A cell meets the degrees of its row and its column by windows, so that the cells are made once
+    and those of a graph stay together. A column that is no row has no degree, its cells are left out.
+    """
+    known = pooled.where("g IS NOT NULL AND k1 IS NOT NULL AND k2 IS NOT NULL")
+    open_ = known.select("g", "k1", "k2", F.when(F.col("k1") == F.col("k2"), F.lit(0.0)).otherwise(F.col("a")).alias("a"))
+    added = F.sum("a").over(Window.partitionBy("g", "k1"))
+    rows = open_.select("g", "k1", "k2", "a", (F.sqrt(added) + F.lit(EPS)).alias("d1"))
+    # Each cell comes once by its row, to be added there, and once by its column.
+    sides = rows.select("g", "k1", "k2", "a", "d1", F.explode(F.array(F.struct(F.col("k1").alias("k"), F.lit(True).alias("own")), F.struct(F.col("k2").alias("k"), F.lit(False).alias("own")))).alias("at"))
+    sides = sides.select("g", "k1", "k2", "a", "d1", "at.k", "at.own")
+    degree = F.first(F.when(F.col("own"), F.struct("d1")), ignorenulls=True).over(Window.partitionBy("g", "k"))
+    return sides.withColumn("d2", degree).where("NOT own AND d2 IS NOT NULL").select(
+        "g", "k1", "k2", (F.col("a") / F.col("d1") / F.col("d2.d1")).alias("a"))
 
 
 def cluster_gram(assigned: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def soft_cluster_features(spark, folder):
 """)
 def soft_cluster_pool(spark, folder):
     _, edges, assigned = _soft(spark, folder)
-    pooled = gr.normalized_adjacency(gr.cluster_adjacency(assigned, edges))
+    pooled = gr.normalized_adjacency(gr.cluster_adjacency(assigned, edges, placed=True))
     return pooled.select("g", "k1", "k2", F.round("a", 5).alias("a"))
 
 

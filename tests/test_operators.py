@@ -650,6 +650,26 @@ def test_cluster_losses_of_orders_from_one_shuffle(spark, tmp_path):
     assert shuffles(graph.edge_sums(assigned, edges, placed=True)) == 0 and shuffles(graph.gram_sums(graph.cluster_gram(assigned))) == 0
 
 
+def test_pooled_orders_from_one_shuffle(spark, tmp_path):
+    want = {}
+    for g, s, w in soft_orders(order_lines(tmp_path)):
+        a = s.T @ w @ s
+        np.fill_diagonal(a, 0)
+        d = np.sqrt(a.sum(axis=1)) + 1e-15
+        want[g] = a / d[:, None] / d
+    pooled = graph_queries.soft_cluster_pool(spark, str(tmp_path))
+    assert shuffles(pooled) == 0
+    cells = pooled.collect()
+    assert len(cells) == 9 * len(want) and all(abs(r["a"] - want[r["g"]][r["k1"], r["k2"]]) < 1e-4 for r in cells)
+
+
+def test_degrees_of_cells_without_a_row_of_their_column(spark):
+    cells = frame(spark, [(1, 0, 1, 4.0), (1, 1, 0, 4.0), (1, 0, 2, 5.0), (1, 1, 1, 9.0), (2, 0, 0, 3.0), (None, 0, 0, 1.0), (3, None, 0, 1.0)], "g int, k1 int, k2 int, a double")
+    got = {(r["g"], r["k1"], r["k2"]): r["a"] for r in graph.normalized_adjacency(cells).collect()}
+    assert set(got) == {(1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0)}
+    assert abs(got[1, 0, 1] - 4 / 3 / 2) < 1e-9 and abs(got[1, 1, 0] - 4 / 3 / 2) < 1e-9 and got[1, 1, 1] == got[2, 0, 0] == 0
+
+
 @pytest.mark.parametrize("listed", [False, True])
 def test_edge_sums_by_joins_and_where_graphs_lie(spark, listed):
     """Ends without clusters, unknown ends, missing numbers and weights; sums against plain loops."""
